@@ -1 +1,163 @@
+"""Group statistics, tests and regressions over the order study."""
 
+from pyspark.sql import functions as F
+
+from checks.adapters import rounded, with_study
+from checks.registry import check
+from sproutscope import schemas as S
+from sproutscope.functions.scalars import indicator
+from sproutscope.operators import stats
+
+RANK_SQL = """
+ranked AS (
+  SELECT {label} AS label, {value} AS value,
+    rank() OVER (ORDER BY {value}) + (count(*) OVER (PARTITION BY {value}) - 1) / 2.0 AS midrank
+  FROM study WHERE {value} IS NOT NULL
+),
+ties AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM ranked GROUP BY value)),
+sides AS (
+  SELECT count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n2,
+    sum(midrank) FILTER (label = 1) AS r1 FROM ranked
+),
+tested AS (SELECT n1, n2, r1 - n1 * (n1 + 1) / 2.0 AS u, ties, CAST(n1 + n2 AS DOUBLE) AS n FROM sides, ties)
+"""
+
+
+def _test_sql(value: str) -> str:
+    return with_study("").rstrip() + "," + RANK_SQL.format(value=value, label="is_sustainable") + """
+SELECT n1, n2, round(u, 6) AS u,
+  round((greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5)
+    / sqrt(n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1)))), 6) AS z FROM tested
+"""
+
+
+@check("sta1_mann_whitney_divergence", _test_sql("divergence_ratio"))
+def _(t):
+    return rounded(stats.mann_whitney(t.study, "divergence_ratio").drop("p"))
+
+
+@check("sta1_mann_whitney_spend", _test_sql("spend"))
+def _(t):
+    return rounded(stats.mann_whitney(t.study, "spend").drop("p"))
+
+
+@check(
+    "sta1_mann_whitney_lineitem",
+    """
+WITH ranked AS (
+  SELECT CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END AS label, l_extendedprice AS value,
+    rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS midrank FROM lineitem
+)
+SELECT count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n2,
+  round(sum(midrank) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0, 6) AS u
+FROM ranked
+""",
+)
+def _(t):
+    """Many distinct values: ranks over every line."""
+    rows = t.table("lineitem").select(
+        "l_extendedprice", indicator(F.col("l_linestatus") == "O").alias("open")
+    )
+    return rounded(stats.mann_whitney(rows, "l_extendedprice", "open").select("n1", "n2", "u"))
+
+
+@check(
+    "sta2_point_biserial",
+    with_study("""
+SELECT n, round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t FROM (
+  SELECT count(*) AS n, corr(is_sustainable, divergence_ratio) AS r FROM study WHERE divergence_ratio IS NOT NULL)
+"""),
+)
+def _(t):
+    return rounded(stats.point_biserial(t.study, "divergence_ratio").drop("p"))
+
+
+@check(
+    "sta3_standardize",
+    with_study("""
+SELECT repo_name, round((spend - avg(spend) OVER ()) / stddev_pop(spend) OVER (), 6) AS spend,
+  round((balance - avg(balance) OVER ()) / stddev_pop(balance) OVER (), 6) AS balance FROM study
+"""),
+)
+def _(t):
+    return rounded(stats.standardize(t.study.select("repo_name", "spend", "balance"), ["spend", "balance"]))
+
+
+@check("sta4_simple_logit")
+def _(t):
+    return stats.balanced_logit(t.study.where(F.col("divergence_ratio").isNotNull()), ["divergence_ratio"])
+
+
+@check("sta5_logit_with_controls")
+def _(t):
+    ready = t.study.withColumns(
+        {
+            "star_count": F.col("urgent"),
+            "has_license": F.col("balance") > 0,
+            "has_cicd": F.col("nation") % 3 == 0,
+            "fork_owner_type": F.when(F.col("segment") == "BUILDING", "Organization").otherwise("User"),
+        }
+    )
+    return stats.logit_with_controls(ready)
+
+
+GROUP_SQL = """
+SELECT b.name AS divergence_group, count(s.repo_name) AS count, CAST(coalesce(sum(is_sustainable), 0) AS BIGINT) AS sustainable,
+  round(avg(is_sustainable) * 100, 6) AS sustainability_rate, round(avg(divergence_ratio), 6) AS avg_divergence
+FROM (VALUES (0.0, 0.33, 'Low (0.0-0.33)'), (0.33, 0.66, 'Medium (0.33-0.66)'), (0.66, 1.01, 'High (0.66-1.0)'), (2.0, 3.0, 'Empty')) b(lo, hi, name)
+LEFT JOIN study s ON divergence_ratio > b.lo::DOUBLE AND divergence_ratio <= b.hi::DOUBLE GROUP BY 1
+"""
+
+
+@check("agg19_fn14_group_stats", with_study(GROUP_SQL))
+def _(t):
+    bins = [*S.DIVERGENCE_BINS, (2.0, 3.0, "Empty")]
+    return rounded(stats.group_stats(t.study, bins=bins))
+
+
+@check(
+    "agg20_class_summary",
+    with_study("""
+SELECT is_sustainable AS label, count(*) AS n, round(avg(spend), 6) AS mean, round(median(spend), 6) AS median
+FROM study GROUP BY 1
+"""),
+)
+def _(t):
+    return rounded(stats.class_summary(t.study, "spend"))
+
+
+@check(
+    "agg20_feature_coverage",
+    with_study("""
+SELECT count(*) AS total, count(divergence_ratio) AS with_value, count(*) - count(divergence_ratio) AS missing,
+  round(avg(is_sustainable) * 100, 6) AS rate_all,
+  round(avg(CASE WHEN divergence_ratio IS NOT NULL THEN is_sustainable END) * 100, 6) AS rate_with_value FROM study
+"""),
+)
+def _(t):
+    return rounded(stats.feature_coverage(t.study, "divergence_ratio"))
+
+
+@check(
+    "agg20_class_summary_lineitem",
+    """SELECT CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END AS label, count(*) AS n, round(avg(l_extendedprice), 6) AS mean,
+         round(median(l_extendedprice), 6) AS median FROM lineitem GROUP BY 1""",
+)
+def _(t):
+    rows = t.table("lineitem").select(
+        "l_extendedprice", indicator(F.col("l_linestatus") == "O").alias("open")
+    )
+    return rounded(stats.class_summary(rows, "l_extendedprice", "open"))
+
+
+@check(
+    "fn13_indicators",
+    """SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS building,
+         CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS in_credit FROM customer""",
+)
+def _(t):
+    return t.table("customer").select(
+        "c_custkey",
+        indicator(F.col("c_mktsegment") == "BUILDING").alias("building"),
+        indicator(F.col("c_acctbal") > 0).alias("in_credit"),
+    )

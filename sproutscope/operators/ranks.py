@@ -44,7 +44,7 @@ def running_tallies(
     value = F.col(value) if isinstance(value, str) else value
     series = F.lit("all") if series is None else series
     distinct = (
-        df.select(series.cast("string").alias("series"), value.cast("double").alias("value"), "*")
+        df.withColumns({"series": series.cast("string"), "value": value.cast("double")})
         .where(F.col("value").isNotNull())
         .groupBy("series", "value")
         .agg(*[tally.alias(name) for name, tally in tallies.items()])

@@ -72,7 +72,7 @@ def feature_coverage(df: DataFrame, value: str, label: str = "is_sustainable") -
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: min(1.0, math.erfc(v / math.sqrt(2.0))), na_action="ignore")
 
@@ -94,7 +94,7 @@ def _student_two_sided(t: float, dof: float) -> float:
     return min(1.0, 2 * tail)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _student_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([_student_two_sided(a, b) for a, b in zip(t, dof)], dtype="float64")
 

@@ -3,8 +3,14 @@
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import sproutscope
+
+# the few Python helpers travel with the job, so workers need no copy of the package
+cloudpickle.register_pickle_by_value(sproutscope)
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Settings every job relies on: UTC clock, adaptive plans, skew-aware joins."""

@@ -15,9 +15,13 @@ __all__ = [
 SHARD_NUMBER = r"(\d+)\.json$"
 
 
-def read_commit_series(spark: SparkSession, glob) -> DataFrame:
-    """Commit-series documents, each file one JSON array."""
-    return spark.read.schema(S.COMMIT_SERIES).option("multiLine", "true").json(glob)
+def read_commit_series(spark: SparkSession, glob, one_per_line: bool = False) -> DataFrame:
+    """Commit-series documents: each file one JSON array, or one document per line.
+
+    A file holding an array is read by one task; the line form splits.
+    """
+    multi_line = "false" if one_per_line else "true"
+    return spark.read.schema(S.COMMIT_SERIES).option("multiLine", multi_line).json(glob)
 
 
 def union_shards(spark: SparkSession, glob, schema: StructType = S.COMMIT_SERIES) -> DataFrame:
