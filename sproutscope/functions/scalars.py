@@ -116,7 +116,7 @@ def interval_label(value: Column, bins=S.DIVERGENCE_BINS) -> Column:
 
 def feature_of_condition(text: Column) -> Column:
     """Feature name out of a rule such as ``1.00 < stars <= 5.00``; the text itself if none."""
-    pieces = F.transform(F.split(text, r"<=|>=|<|>|="), F.trim)
+    pieces = F.transform(F.split(text, r"<=|>=|<|>|="), lambda piece: F.trim(piece))
     names = F.filter(pieces, lambda piece: ~piece.rlike(r"^[-+]?\d+(\.\d+)?$"))
     return F.coalesce(F.try_element_at(names, F.lit(1)), text)
 

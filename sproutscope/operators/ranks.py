@@ -45,7 +45,7 @@ def running_tallies(
     series = F.lit("all") if series is None else series
     distinct = (
         df.withColumns({"series": series.cast("string"), "value": value.cast("double")})
-        .where(F.col("value").isNotNull())
+        .where(F.col("value").isNotNull() & F.col("series").isNotNull())
         .groupBy("series", "value")
         .agg(*[tally.alias(name) for name, tally in tallies.items()])
     )

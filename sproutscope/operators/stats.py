@@ -103,26 +103,33 @@ def _exact(column: Column) -> Column:
     return column.cast(T.DecimalType(38, 0))
 
 
-def rank_statistics(df: DataFrame, value: str, label: str) -> DataFrame:
-    """One row ``(n1, n2, u, ties)``: U of the positive class over midranks, ties as sum(t^3 - t).
+def rank_statistics(
+    df: DataFrame, value: str, label: str, series: Column | None = None
+) -> DataFrame:
+    """``(series, n1, n2, u, ties)``: U of the positive class over midranks, ties as sum(t^3 - t).
 
-    Ranks are doubled so that all sums stay whole numbers.
+    Ranks are doubled so that all sums stay whole numbers. ``series`` ranks several groups
+    (folds) separately.
     """
+    known = df.where(F.col(value).isNotNull() & F.col(label).isNotNull())
     placed = running_tallies(
-        _known(df, value, label),
-        "value",
-        {"pos": F.count_if(F.col("label") == 1), "neg": F.count_if(F.col("label") == 0)},
+        known,
+        value,
+        {"pos": F.count_if(F.col(label) == 1), "neg": F.count_if(F.col(label) == 0)},
+        series,
     )
     tied = F.col("pos") + F.col("neg")
     doubled_rank = 2 * (F.col("before_pos") + F.col("before_neg")) + tied + 1
-    folded = placed.agg(
+    folded = placed.groupBy("series").agg(
         F.max("total_pos").alias("n1"),
         F.max("total_neg").alias("n2"),
         F.sum(_exact(F.col("pos")) * doubled_rank).cast("double").alias("doubled"),
         F.sum(tied.cast("double") * tied * tied - tied).alias("ties"),
     )
     n1 = F.col("n1").cast("double")
-    return folded.select("n1", "n2", ((F.col("doubled") - n1 * (n1 + 1)) / 2).alias("u"), "ties")
+    return folded.select(
+        "series", "n1", "n2", ((F.col("doubled") - n1 * (n1 + 1)) / 2).alias("u"), "ties"
+    )
 
 
 def mann_whitney(df: DataFrame, value: str, label: str = "is_sustainable") -> DataFrame:
