@@ -7,7 +7,7 @@ from sproutscope import schemas as S
 from sproutscope.functions.scalars import strict_timestamp
 
 __all__ = [
-    "read_events", "parse_event_lines", "split_corrupt", "read_archive", "in_file_dates",
+    "read_events", "parse_event_lines", "split_corrupt", "read_archive", "in_file_dates", "stream_events",
     "flatten_events", "land_events", "scan_months",
 ]
 
@@ -17,17 +17,20 @@ ARCHIVE_FILE_NAME = r"^(\d{4}-\d{2}-\d{2})-\d{1,2}\.json"
 
 def read_events(spark: SparkSession, path) -> DataFrame:
     """Newline-delimited JSON events; a malformed line keeps only its text in ``_corrupt``."""
-    return (
-        spark.read.schema(S.RAW_EVENT)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", S.CORRUPT)
-        .option("ignoreMissingFiles", "true")
-        .json(path)
-    )
+    return parse_event_lines(_lines(spark.read, path))
+
+
+def _lines(reader, path) -> DataFrame:
+    """Text lines of a batch or stream reader.
+
+    Lines are parsed by an expression rather than by the JSON source because that source
+    refuses queries that look at malformed lines alone, such as counting them.
+    """
+    return reader.option("ignoreMissingFiles", "true").text(path)
 
 
 def parse_event_lines(lines: DataFrame, text: str = "value") -> DataFrame:
-    """The same rows as :func:`read_events`, from a string column; blank lines are skipped."""
+    """Events out of a string column of JSON texts; blank ones are skipped."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT}
     return (
         lines.where(F.trim(F.col(text)) != "")
@@ -54,11 +57,17 @@ def read_archive(spark: SparkSession, root: str, start: str, end: str) -> DataFr
 
     The date predicate uses file metadata only, so files outside the range are not opened.
     """
-    raw = read_events(spark, root)
-    good, _ = split_corrupt(in_file_dates(raw, F.col("_metadata.file_name"), start, end))
+    lines = in_file_dates(_lines(spark.read, root), F.col("_metadata.file_name"), start, end)
+    good, _bad = split_corrupt(parse_event_lines(lines))
     return good
 
 
+def stream_events(spark: SparkSession, folder: str, files_per_batch: int) -> DataFrame:
+    """The rows of :func:`read_events` as files appear in ``folder``."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    return parse_event_lines(_lines(reader, folder))
+
+
 def flatten_events(raw: DataFrame) -> DataFrame:
     """Raw archive events to :data:`schemas.FLAT_EVENT`, parsing each payload once.
 

@@ -15,7 +15,7 @@ from sproutscope.operators.activity import activity_measures
 from sproutscope.operators.features import assemble
 from sproutscope.operators.windows import events_in_window
 from sproutscope.sizing import BROADCAST_ROWS, fits
-from sproutscope.sources.events import flatten_events, split_corrupt
+from sproutscope.sources.events import flatten_events, split_corrupt, stream_events
 
 __all__ = [
     "stream_archive", "stream_activity", "read_activity", "stream_labels", "read_labels",
@@ -27,14 +27,7 @@ _ADDITIVE = [c for c in S.ACTIVITY_COLUMNS if c != "unique_commit_authors"]
 
 def stream_archive(spark: SparkSession, folder: str, files_per_batch: int = 24) -> DataFrame:
     """Flat events of the files that appear in ``folder``; malformed lines are passed over."""
-    raw = (
-        spark.readStream.schema(S.RAW_EVENT)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", S.CORRUPT)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .json(folder)
-    )
-    good, _bad = split_corrupt(raw)
+    good, _bad = split_corrupt(stream_events(spark, folder, files_per_batch))
     return flatten_events(good)
 
 
