@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sproutscope import schemas as S
+from sproutscope.session import stage
 
 
 class Tables:
@@ -77,7 +78,7 @@ class Tables:
 
     @cached_property
     def cohort(self) -> DataFrame:
-        """One repository per supplier, created at its first shipment."""
+        """One repository per supplier, created at its first shipment; a stored table."""
         created = (
             self.table("lineitem")
             .groupBy("l_suppkey")
@@ -87,7 +88,7 @@ class Tables:
         parent = F.when(
             F.col("s_suppkey") % 5 != 0, F.concat(F.lit("o/"), F.col("s_nationkey"))
         )
-        return created.join(
+        repositories = created.join(
             self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")
         ).select(
             F.concat(F.lit("o/"), F.col("s_suppkey")).alias("repo_name"),
@@ -96,6 +97,7 @@ class Tables:
             owner.alias("fork_owner_type"),
             parent.alias("parent_repo"),
         )
+        return stage(repositories, "cohort")
 
     @cached_property
     def commits(self) -> DataFrame:
@@ -111,7 +113,9 @@ class Tables:
 
     @cached_property
     def commit_cohort(self) -> DataFrame:
-        return self.commits.groupBy("repo_name").agg(F.min("event_ts").alias("created_at"))
+        return stage(
+            self.commits.groupBy("repo_name").agg(F.min("event_ts").alias("created_at")), "cohort"
+        )
 
     @cached_property
     def feed(self) -> DataFrame:
@@ -210,16 +214,13 @@ class Tables:
             F.col("c_mktsegment").alias("segment"),
             F.col("c_nationkey").alias("nation"),
         )
-        return (
+        ratio = F.when(F.col("total_commits") > 1, F.col("urgent") / F.col("total_commits"))
+        wide = (
             features.join(labels(self.commits, cohort), "repo_name")
             .join(customers, "repo_name")
-            .withColumn(
-                "divergence_ratio",
-                F.when(
-                    F.col("total_commits") > 1, F.col("urgent") / F.col("total_commits")
-                ),
-            )
+            .withColumn("divergence_ratio", ratio)
         )
+        return stage(wide, "study")
 
 
 # ---------------------------------------------------------------------------

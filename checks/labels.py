@@ -12,7 +12,6 @@ from sproutscope.operators import labels as lab
 from sproutscope.operators import profiles
 from sproutscope.operators.cohort import pending
 from sproutscope.plans import study
-from sproutscope.session import stage
 
 
 @check("agg12_labels", with_commits("SELECT * FROM labelled"))
@@ -97,10 +96,9 @@ JOIN (SELECT c.repo_name, CAST(max(CASE WHEN type = 'PushEvent'
 
 @check("jon6_study_dataset", with_archive(DATASET_SQL))
 def study_dataset(t):
-    cohort = stage(t.cohort, "cohort")
     pushes = t.archive.where(F.col("type") == S.PUSH)
     return rounded(
-        study.labelled_dataset(t.archive, cohort, gov.divergence(pushes, cohort))
+        study.labelled_dataset(t.archive, t.cohort, gov.divergence(pushes, t.cohort))
     )
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks.activity import ACTIVITY_SQL
 from checks.adapters import with_archive
 from checks.registry import check
-from sproutscope.session import new_path, stage
+from sproutscope.session import new_path
 from sproutscope.streaming import archive as st
 
 
@@ -18,7 +18,7 @@ def _folder(t) -> str:
 
 @check("str1_str2_stream_activity", with_archive(ACTIVITY_SQL))
 def _(t):
-    cohort = stage(t.cohort, "cohort")
+    cohort = t.cohort
     table, checkpoint = new_path(t.spark, "activity"), new_path(t.spark, "progress")
     st.drain(st.stream_activity(st.stream_archive(t.spark, _folder(t), 2), cohort, table, checkpoint))
     return st.read_activity(t.spark.read.parquet(table), cohort)
@@ -33,7 +33,7 @@ FROM cohort c LEFT JOIN archive a ON a.repo_name = c.repo_name GROUP BY 1
 """),
 )
 def _(t):
-    cohort = stage(t.cohort, "cohort")
+    cohort = t.cohort
     table, checkpoint = new_path(t.spark, "labels"), new_path(t.spark, "progress")
     st.drain(st.stream_labels(st.stream_archive(t.spark, _folder(t), 2), cohort, table, checkpoint))
     return st.read_labels(t.spark.read.schema("repo_name string").parquet(table), cohort)
@@ -42,7 +42,7 @@ def _(t):
 @check("str4_stream_contributor_months", with_archive("SELECT * FROM cm"))
 def _(t):
     """Files hold all dates mixed, hence a lateness as long as the archive."""
-    cohort = stage(t.cohort, "cohort")
+    cohort = t.cohort
     table, checkpoint = new_path(t.spark, "months"), new_path(t.spark, "progress")
     st.drain(
         st.stream_contributor_months(

@@ -1,6 +1,6 @@
 """Contributor health: concentration, retention and the first outside contribution.
 
-No window ever runs over the contributors of one repository. Concentration works on the
+No window ever holds all contributors of one repository. Concentration works on the
 histogram of row sizes, which has at most about ``sqrt(2 * commits)`` rows, and the monthly
 metrics on (first month, month) pairs, which are bounded by the square of the months.
 """
@@ -102,11 +102,10 @@ def cohort_matrix(cm: DataFrame) -> DataFrame:
     ``(repo_name, first_month, month, contributors, active_month)`` with ``active_month``
     the 1-based index of ``month`` among the repository's active months.
     """
-    careers = cm.groupBy("repo_name", "contributor").agg(
-        F.array_sort(F.collect_set("month")).alias("months")
-    )
+    career = Window.partitionBy("repo_name", "contributor")
     counts = (
-        careers.select("repo_name", F.col("months")[0].alias("first_month"), F.explode("months").alias("month"))
+        cm.select("repo_name", "contributor", "month")
+        .withColumn("first_month", F.min("month").over(career))
         .groupBy("repo_name", "first_month", "month")
         .agg(F.count("*").alias("contributors"))
     )

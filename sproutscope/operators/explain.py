@@ -107,7 +107,9 @@ def explain_local(
         F.xxhash64(F.col(key), F.lit(seed)).alias("mixed"),
         F.array(*[F.col(f).cast("double") for f in features]).alias("origin"),
     )
-    perturbed = instances.mapInPandas(
+    # a drawn sample sits in one partition; scoring it should not
+    spread = instances.repartition(instances.sparkSession.sparkContext.defaultParallelism, "instance")
+    perturbed = spread.mapInPandas(
         perturb, "instance string, same array<byte>, vector array<double>"
     )
     scored = model.transform(perturbed.withColumn("features", array_to_vector("vector"))).select(

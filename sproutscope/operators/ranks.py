@@ -1,7 +1,7 @@
 """Global order statistics without a global sort in one task.
 
 Values are first collapsed to ``(value, tallies)``, so repeated values cost nothing. The
-distinct values are then cut into buckets of similar size; running tallies are taken inside
+distinct values are then cut into buckets of similar weight; running tallies are taken inside
 each bucket and shifted by the totals of the buckets before it. Only the edges and totals,
 at most ``buckets`` rows per series, are ever gathered.
 """
@@ -13,18 +13,28 @@ BUCKETS = 64
 ACCURACY = 10_000
 
 
-def _edges(distinct: DataFrame, buckets: int) -> DataFrame:
-    """Approximate quantiles per series, fixed once so that every use sees the same edges."""
+def _edges(rows: DataFrame, buckets: int) -> dict[str, list[float]]:
+    """Approximate quantiles per series, fixed once so that every use sees the same edges.
+
+    Taken over the rows, in one pass of mergeable sketches: a bucket then holds few rows
+    besides copies of one value, hence few distinct values.
+    """
     probabilities = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     found = (
-        distinct.groupBy("series")
+        rows.groupBy("series")
         .agg(F.percentile_approx("value", probabilities, F.lit(ACCURACY)).alias("edges"))
         .collect()
     )
-    return distinct.sparkSession.createDataFrame(
-        [(row["series"], sorted(set(row["edges"]))) for row in found],
-        "series string, edges array<double>",
-    )
+    return {row["series"]: sorted(set(row["edges"])) for row in found}
+
+
+def _bucket(edges: dict[str, list[float]]) -> Column:
+    """Number of edges of the row's series below its value."""
+    ladder = F.lit(0)
+    for series, cuts in edges.items():
+        below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda cut: cut < F.col("value")))
+        ladder = F.when(F.col("series") == series, below).otherwise(ladder)
+    return ladder
 
 
 def running_tallies(
@@ -43,17 +53,13 @@ def running_tallies(
     """
     value = F.col(value) if isinstance(value, str) else value
     series = F.lit("all") if series is None else series
-    distinct = (
-        df.withColumns({"series": series.cast("string"), "value": value.cast("double")})
-        .where(F.col("value").isNotNull() & F.col("series").isNotNull())
-        .groupBy("series", "value")
-        .agg(*[tally.alias(name) for name, tally in tallies.items()])
+    rows = df.withColumns({"series": series.cast("string"), "value": value.cast("double")}).where(
+        F.col("value").isNotNull() & F.col("series").isNotNull()
+    )
+    distinct = rows.groupBy("series", "value").agg(
+        *[tally.alias(name) for name, tally in tallies.items()]
     )
-    edges = _edges(distinct, buckets)
-    # bounded: one row per series
-    bucketed = distinct.join(F.broadcast(edges), "series").withColumn(
-        "_bucket", F.size(F.filter("edges", lambda edge: edge < F.col("value")))
-    ).drop("edges")
+    bucketed = distinct.withColumn("_bucket", _bucket(_edges(rows, buckets)))
     names = list(tallies)
     inside = (
         Window.partitionBy("series", "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sproutscope import schemas as S
 from sproutscope.functions.scalars import month_of, month_prefix, month_start, plus_months, safe_ratio
+from sproutscope.session import stage
 from sproutscope.sizing import attach
 
 
@@ -38,7 +39,8 @@ def commits_after(
     named = commits.select(
         F.col(repo).alias("repo_name"), F.col(ts).alias("ts"), F.col(event_id).alias("event_id")
     )
-    first = named.groupBy("repo_name").agg(F.min("ts").alias("first_ts"))
+    # staged: counted for the join and read by it
+    first = stage(named.groupBy("repo_name").agg(F.min("ts").alias("first_ts")), "first-commits")
     late = F.col("ts") >= plus_months(F.col("first_ts"), months)
     return (
         attach(named, first, "repo_name", spread=F.col("event_id"))
