@@ -587,6 +587,21 @@ def _(t):
     return gov.issue_state(_issue_responses(t))
 
 
+def _dated_forks(t):
+    """A fork event per customer, last updated at a fixed time."""
+    return t.table("customer").select(
+        F.struct(F.concat(F.lit("up/p"), F.col("c_nationkey")).alias("name")).alias("repo"),
+        F.to_json(
+            F.struct(
+                F.struct(
+                    F.concat(F.lit("c/"), F.col("c_custkey")).alias("full_name"),
+                    F.lit("1997-06-15T00:00:00Z").alias("updated_at"),
+                ).alias("forkee")
+            )
+        ).alias("payload"),
+    )
+
+
 @check(
     "gov5_enriched_forks",
     f"""
@@ -605,21 +620,35 @@ LEFT JOIN ({ISSUE_STATE_SQL}) i USING (repo_name)
 """,
 )
 def _(t):
-    forks = t.table("customer").select(
-        F.struct(F.concat(F.lit("up/p"), F.col("c_nationkey")).alias("name")).alias("repo"),
-        F.to_json(
-            F.struct(
-                F.struct(
-                    F.concat(F.lit("c/"), F.col("c_custkey")).alias("full_name"),
-                    F.lit("1997-06-15T00:00:00Z").alias("updated_at"),
-                ).alias("forkee")
-            )
-        ).alias("payload"),
-    )
-    rows = gov.enriched_forks(forks, t.commits, _issue_responses(t))
+    rows = gov.enriched_forks(_dated_forks(t), t.commits, _issue_responses(t))
     return rows.select(
         "repo_name", "parent_owner", "parent_name", "child_owner", "child_name", "fork_time",
         F.coalesce(F.size("commit_times"), F.lit(0)).cast("long").alias("months"),
         F.coalesce(F.aggregate(F.map_values("commit_times"), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).alias("commits"),
         "commits_post", "status", "open_issues_count", "stars",
     )
+
+
+@check(
+    "flt12_agg11_eda_table",
+    f"""
+WITH monthly AS (
+  SELECT 'c/' || o_custkey AS repo, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS commits FROM orders
+  WHERE o_orderdate >= TIMESTAMP '1997-06-15 00:00:00' GROUP BY 1, 2
+), halves AS (
+  SELECT repo, CAST(sum(CASE WHEN i <= 3 THEN commits ELSE 0 END) AS BIGINT) AS early_commits,
+    CAST(sum(CASE WHEN i > 3 THEN commits ELSE 0 END) AS BIGINT) AS sustained_commits
+  FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY month) AS i FROM monthly) GROUP BY 1
+)
+SELECT repo, early_commits, sustained_commits, stars,
+  coalesce(open_issues_count, 0) + coalesce(closed_issues_count, 0) AS total_issues,
+  round(CASE WHEN coalesce(open_issues_count, 0) + coalesce(closed_issues_count, 0) > 0
+    THEN closed_issues_count / (open_issues_count + closed_issues_count)::DOUBLE ELSE 0 END, 6) AS issue_closure_rate,
+  CASE WHEN sustained_commits >= 2 THEN 1 ELSE 0 END AS healthy
+FROM halves JOIN ({ISSUE_STATE_SQL}) i ON i.repo_name = repo WHERE early_commits + sustained_commits >= 15
+""",
+)
+def _(t):
+    from sproutscope.plans.series_track import eda_table
+
+    return rounded(eda_table(_dated_forks(t), t.commits, _issue_responses(t)))

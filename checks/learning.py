@@ -11,6 +11,7 @@ from sproutscope.operators import explain as ex
 from sproutscope.operators import prep
 from sproutscope.operators import training as tr
 from sproutscope.operators.smote import smote
+from sproutscope.plans import analysis
 
 FEATURES = ["total_commits", "unique_commit_authors", "spend", "urgent", "active_seconds", "balance", "nation"]
 
@@ -279,6 +280,48 @@ def _(t):
     return tr.compare_importance(ranked(rows.where(wealthy)), ranked(rows.where(~wealthy)))
 
 
+def _dataset(t):
+    """The order study under the dataset's column names."""
+    return t.study.select(
+        "repo_name", "is_sustainable", "total_commits", "unique_commit_authors", "divergence_ratio",
+        F.col("urgent").alias("star_count"),
+        F.when(F.col("active_seconds") > 0, F.col("active_seconds") / 3600.0).alias("avg_issue_first_response_hrs"),
+        (F.col("balance") > 0).alias("has_license"),
+        (F.col("nation") % 3 == 0).alias("has_cicd"),
+        F.when(F.col("segment") == "BUILDING", "Organization").otherwise("User").alias("fork_owner_type"),
+        F.col("segment").alias("primary_language"),
+        F.when(F.col("nation") > 3, F.concat(F.lit("n"), F.col("nation"))).alias("parent_language"),
+    )
+
+
+@check("ml4_ml5_cohort_comparison")
+def _(t):
+    data, owned = _dataset(t), F.col("fork_owner_type") == "Organization"
+    tables = analysis.compare_cohorts(data.where(owned), data.where(~owned), k=2, rounds=3, depth=3)
+    return tables["importance"]
+
+
+@check("ml5_ml8_threshold_analysis")
+def _(t):
+    return analysis.threshold_analysis(_dataset(t), rounds=5, depth=3)["thresholds"]
+
+
+@check("ml10_ml11_explanation_analysis")
+def _(t):
+    return analysis.explanation_analysis(_dataset(t), instances=100, rounds=5, depth=3)
+
+
+@check("sta_divergence_analysis")
+def _(t):
+    """All statistics of the divergence question as ``(table, row)`` in JSON."""
+    tables = analysis.divergence_analysis(_dataset(t))
+    rows = [df.select(F.lit(name).alias("table"), F.to_json(F.struct("*")).alias("row")) for name, df in tables.items()]
+    merged = rows[0]
+    for part in rows[1:]:
+        merged = merged.unionByName(part)
+    return merged
+
+
 @check("ml10_local_explanations")
 def _(t):
     rows = _training_rows(t)

@@ -208,3 +208,14 @@ BOOSTER_DEFAULTS = {
     "rounds": 500, "depth": 5, "learning_rate": 0.05, "row_sample": 0.8,
     "feature_sample": 0.8, "min_leaf_rows": 5, "min_gain": 0.1,
 }
+
+# the learner's own defaults, used with a single train/test split
+PLAIN_BOOSTER = {
+    "rounds": 100, "depth": 6, "learning_rate": 0.3, "row_sample": 1.0,
+    "feature_sample": 1.0, "min_leaf_rows": 1, "min_gain": 0.0,
+}
+
+EDA_COLUMNS = [
+    "repo", "early_commits", "sustained_commits", "stars", "total_issues",
+    "issue_closure_rate", "healthy",
+]
