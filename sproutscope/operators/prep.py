@@ -1,6 +1,6 @@
 """From the dataset to model features: column choice, imputation, encoding."""
 
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,15 +75,28 @@ def impute_generic(df: DataFrame, skip=_LABELS) -> DataFrame:
 def label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
     """Text replaced by its rank in the alphabet of the column; null is the category ``nan``."""
     named = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols})
+    alphabets = {c: [] for c in cols}
+    for row in _categories(_category_counts(named, cols)):
+        alphabets[row["column"]].append(row["category"])
     codes = [f"_code_{i}" for i in range(len(cols))]
-    indexer = StringIndexer(inputCols=cols, outputCols=codes, stringOrderType="alphabetAsc")
-    coded = indexer.fit(named).transform(named)
+    indexer = StringIndexerModel.from_arrays_of_labels(
+        [sorted(alphabets[c]) for c in cols], inputCols=cols, outputCols=codes
+    )
+    coded = indexer.transform(named)
     order = [
         F.col(codes[cols.index(c)]).cast("int").alias(c) if c in cols else F.col(c) for c in df.columns
     ]
     return coded.select(*order)
 
 
+def _categories(counts: DataFrame) -> list:
+    """The ``(column, category)`` rows on the driver, refused beyond :data:`MAX_CATEGORIES`."""
+    found = counts.select("column", "category").limit(MAX_CATEGORIES + 1).collect()
+    if len(found) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories to encode")
+    return found
+
+
 def _category_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """``(column, category, count)``, nulls left out."""
     text = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
@@ -114,9 +127,7 @@ def one_hot(df: DataFrame, cols: list[str], kept: DataFrame | None = None) -> Da
     ``kept`` (``column, category``) restricts the dummies, e.g. to :func:`top_categories`.
     """
     chosen = dummy_counts(df, cols) if kept is None else kept
-    found = chosen.select("column", "category").limit(MAX_CATEGORIES + 1).collect()
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories in {cols}")
+    found = _categories(chosen)
     dummies = [
         indicator(F.col(c).cast("string") == category).alias(f"{c}_{category}")
         for c, category in sorted((row["column"], row["category"]) for row in found)

@@ -73,6 +73,8 @@ def _blocks(vectors: DataFrame, rows: int, block_rows: int) -> tuple[DataFrame,
         F.collect_list("vec").alias("vecs"),
         F.collect_list("radius").alias("radii"),
         F.collect_list("copies").alias("copies"),
+        F.min("radius").alias("least"),
+        F.max("radius").alias("most"),
     )
     return stage(packed, "blocks"), stage(parts, "parts"), edges
 
@@ -83,24 +85,31 @@ def _band(radius, edges: list[float]):
     return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < radius))
 
 
-def _reach(blocks: DataFrame, k: int) -> DataFrame:
-    """``(band, part, low, high)``: radii between which better neighbours may lie."""
+def _bounded(blocks: DataFrame, k: int) -> DataFrame:
+    """Adds to each block the distance of every vector's k-th neighbour inside the block
+    (``bounds``), beyond which no better one lies, and the radii ``low``..``high`` in reach."""
 
     def per_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for band, part, vecs, radii in zip(batch.band, batch.part, batch.vecs, batch.radii):
-                points, radii = _matrix(vecs), np.asarray(radii, dtype="float64")
-                if len(points) <= k:
-                    out.append((band, part, -np.inf, np.inf))
-                    continue
-                apart = np.sort(_distances(points, points), axis=1)[:, k]
-                slack = 1e-9 * (1.0 + np.abs(radii) + apart)
-                out.append((band, part, (radii - apart - slack).min(), (radii + apart + slack).max()))
-            yield pd.DataFrame(out, columns=["band", "part", "low", "high"])
-
-    return blocks.select("band", "part", "vecs", "radii").mapInPandas(
-        per_block, "band int, part long, low double, high double"
+            bounds = []
+            for vecs in batch.vecs:
+                points = _matrix(vecs)
+                if len(points) > k:
+                    bounds.append(np.partition(_distances(points, points), k, axis=1)[:, k])
+                else:
+                    bounds.append(np.full(len(points), np.inf))
+            yield pd.DataFrame({"band": batch.band, "part": batch.part, "bounds": bounds})
+
+    bounds = blocks.select("band", "part", "vecs").mapInPandas(
+        per_block, f"band int, part long, bounds {_VECTOR}"
+    )
+    bounded = blocks.join(bounds, ["band", "part"])
+    # room for rounding in the comparison of radii and distances
+    slack = lambda r, b: F.lit(1e-9) * (F.lit(1.0) + F.abs(r) + b)
+    return bounded.select(
+        "*",
+        F.array_min(F.zip_with("radii", "bounds", lambda r, b: r - b - slack(r, b))).alias("low"),
+        F.array_max(F.zip_with("radii", "bounds", lambda r, b: r + b + slack(r, b))).alias("high"),
     )
 
 
@@ -108,37 +117,46 @@ def nearest(vectors: DataFrame, width: int, k: int, block_rows: int = BLOCK_ROWS
     """Exact ``k`` nearest other vectors: ``(vec, near)``, ``near`` sorted (distance, vec, copies)."""
     vectors = stage(_with_radius(vectors, width), "vectors")
     blocks, parts, edges = _blocks(vectors, vectors.count(), block_rows)
-    reach = _reach(blocks, k).select(
+    bounded = stage(_bounded(blocks, k), "bounded")
+    reach = bounded.select(
         "band", "part",
         F.explode(F.sequence(_band(F.col("low"), edges), _band(F.col("high"), edges))).alias("other_band"),
     )
     pairs = reach.join(parts.withColumnRenamed("band", "other_band"), "other_band").select(
         "band", "part", "other_band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other_part"),
     )
-    mine = blocks.select("band", "part", "vecs")
+    mine = bounded.select("band", "part", "vecs", "radii", "bounds")
     theirs = blocks.select(
         F.col("band").alias("other_band"), F.col("part").alias("other_part"),
-        F.col("vecs").alias("other_vecs"), F.col("copies").alias("other_copies"),
+        F.col("vecs").alias("other_vecs"), F.col("copies").alias("other_copies"), "least", "most",
     )
     met = pairs.join(mine, ["band", "part"]).join(theirs, ["other_band", "other_part"])
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                points, others = _matrix(row.vecs), _matrix(row.other_vecs)
-                copies = np.asarray(row.other_copies)
-                apart = _distances(points, others)
+                radii = np.asarray(row.radii, dtype="float64")
+                bounds = np.asarray(row.bounds, dtype="float64")
+                bounds = bounds + 1e-9 * (1.0 + np.abs(radii) + bounds)
+                near = np.flatnonzero((radii - bounds <= row.most) & (radii + bounds >= row.least))
+                if not len(near):
+                    continue
+                others, copies = _matrix(row.other_vecs), np.asarray(row.other_copies)
+                apart = _distances(_matrix([row.vecs[i] for i in near]), others)
                 if (row.band, row.part) == (row.other_band, row.other_part):
-                    np.fill_diagonal(apart, np.inf)
+                    apart[np.arange(len(near)), near] = np.inf
                 keep = min(k, len(others))
                 picked = np.argpartition(apart, keep - 1, axis=1)[:, :keep]
-                rows = np.repeat(np.arange(len(points)), keep)
+                rows = np.repeat(np.arange(len(near)), keep)
                 columns = picked.ravel()
                 found = apart[rows, columns]
-                rows, columns, found = (x[np.isfinite(found)] for x in (rows, columns, found))
+                useful = np.isfinite(found) & (found <= bounds[near[rows]])
+                if not useful.any():
+                    continue
+                rows, columns, found = rows[useful], columns[useful], found[useful]
                 yield pd.DataFrame(
                     {
-                        "vec": [row.vecs[i] for i in rows],
+                        "vec": [row.vecs[near[i]] for i in rows],
                         "distance": found,
                         "near_vec": [row.other_vecs[j] for j in columns],
                         "near_copies": copies[columns],
@@ -148,7 +166,7 @@ def nearest(vectors: DataFrame, width: int, k: int, block_rows: int = BLOCK_ROWS
     found = met.mapInPandas(
         candidates, f"vec {_VECTOR}, distance double, near_vec {_VECTOR}, near_copies long"
     )
-    # at most k candidates per pair of blocks
+    # at most k candidates per pair of blocks, none farther than the vector's own bound
     ranked = F.slice(
         F.array_sort(F.collect_list(F.struct("distance", "near_vec", "near_copies"))), 1, k
     )

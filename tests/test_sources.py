@@ -50,10 +50,10 @@ def test_hourly_archive_range(spark, tmp_path):
     for day, hour in [("2024-01-01", 23), ("2024-01-02", 0), ("2024-01-02", 13), ("2024-01-03", 5)]:
         with gzip.open(tmp_path / f"{day}-{hour}.json.gz", "wt") as out:
             out.write(json.dumps(_push(f"{day}-{hour}")) + "\nnot json\n")
+    # a file that cannot be read, outside the range: it must not be opened
+    (tmp_path / "2024-01-04-1.json.gz").write_text("not gzip")
     got = src.read_archive(spark, str(tmp_path), "2024-01-02", "2024-01-02")
     assert {r.id for r in got.collect()} == {"2024-01-02-0", "2024-01-02-13"}
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "Location" in plan
 
 
 def test_land_and_scan(spark, tmp_path):
