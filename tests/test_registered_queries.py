@@ -12,7 +12,7 @@ ORACLE = entry.oracle_sql()
 QUERIES = entry.queries()
 
 # rows of these need more data than the smallest tables hold
-MAY_BE_EMPTY = {"flt9_min_commits", "flt12_eda_population", "flt8_active_only", "ded2_duplicate_rows"}
+MAY_BE_EMPTY = {"flt9_min_commits", "flt12_agg11_eda_table", "flt12_eda_population", "flt8_active_only", "ded2_duplicate_rows"}
 
 
 @pytest.fixture(scope="module")
