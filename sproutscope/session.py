@@ -12,8 +12,15 @@ import sproutscope
 cloudpickle.register_pickle_by_value(sproutscope)
 
 
+CLUSTER_PARTITIONS = "200"  # Spark's default
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Settings every job relies on: UTC clock, adaptive plans, skew-aware joins."""
+    """Settings every job relies on: UTC clock, adaptive plans, skew-aware joins.
+
+    The number of shuffle partitions is the cluster's; only a local session left at the
+    default gets one per core.
+    """
     for key, value in {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
@@ -21,6 +28,10 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
     }.items():
         spark.conf.set(key, value)
+    local = spark.sparkContext.master.startswith("local")
+    if local and spark.conf.get("spark.sql.shuffle.partitions") == CLUSTER_PARTITIONS:
+        # streaming state takes the setting as it is, 200 tasks for a handful of cores
+        spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
     return spark
 
 
