@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from checks.adapters import rounded, with_study
 from checks.registry import check
-from sproutscope import schemas as S
 from sproutscope.functions.scalars import feature_of_condition, indicator
 from sproutscope.operators import evaluation as ev
 from sproutscope.operators import explain as ex
