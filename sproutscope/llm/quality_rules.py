@@ -15,9 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sproutscope.llm.batches import add_columns, as_bytes
+from sproutscope.llm.batches import as_bytes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -67,14 +66,10 @@ def measure(text: bytes | None) -> tuple[int, ...]:
     return len(words), chars, symbols, len(lines), len(lines) - len(set(lines)), repeated_words(words), most
 
 
-def measurements(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the measurement columns in place of the text."""
-
-    def compute(part):
-        rows = np.array([measure(t) for t in as_bytes(part.column(text))], dtype=np.int64)
-        return [pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(MEASURES))]
-
-    return add_columns(docs, text, [T.StructField(m, T.LongType()) for m in MEASURES], compute)
+@F.arrow_udf(", ".join(f"{m} long" for m in MEASURES))
+def measured(text: pa.Array) -> pa.Array:
+    rows = np.array([measure(t) for t in as_bytes(text)], dtype=np.int64).reshape(-1, len(MEASURES))
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(MEASURES))], names=MEASURES)
 
 
 @dataclass(frozen=True)
@@ -120,7 +115,9 @@ def failure_bits(rules=RULES) -> Column:
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: its other columns, the measurements and ``failed_bits``."""
-    return measurements(docs, text).withColumn("failed_bits", failure_bits())
+    others = [c for c in docs.columns if c not in (text, "failed_bits", *MEASURES)]
+    rows = docs.select(*others, measured(text).alias("__m")).select(*others, "__m.*")
+    return rows.withColumn("failed_bits", failure_bits())
 
 
 def passes(policy: str) -> Column:
@@ -156,6 +153,5 @@ def ablations(rows: DataFrame, policy: str = "v2") -> DataFrame:
 
 def filter_documents(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """The documents that pass; their columns are unchanged."""
-    columns = docs.columns
-    verdicts = judge(ledger(docs.withColumn("__text", F.col("text")), "__text"), policy)
-    return verdicts.where("kept").select(*columns)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    return judge(ledger(rows), policy).where("kept").select("__row.*")

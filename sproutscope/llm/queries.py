@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sproutscope.llm import byte_bpe, chat_prefixes, quality_rules, token_orc
+from sproutscope.llm import byte_bpe, chat_prefixes, decontaminate, language_id, near_dup, quality_rules, token_orc
 from sproutscope.session import stage, tune
 
 _QUERIES: dict[str, Callable] = {}
@@ -79,6 +79,50 @@ def op1(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed_bits", "base_failed", "kept")
 
 
+@query("op2_language_id")
+def op2(spark, sf_dir):
+    """The language of every document, by models of the documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
+
+@query("op3_near_duplicates")
+def op3(spark, sf_dir):
+    """The class of near-duplicates of every document."""
+    found = near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "n_in_class")
+
+
+def _masks_sql(tokens: str, name: str, extra: str) -> str:
+    """Keys of all masks at all positions of lists of tokens."""
+    parts = []
+    for k, mask in enumerate(decontaminate.MASKS):
+        words = ", ".join(f"w[i + {offset}]" for offset in mask)
+        parts.append(f"SELECT {extra}, i, {k} AS mask, [{words}] AS seed FROM {tokens}, range(1, len(w) - {mask[-1]} + 1) AS t(i)")
+    return f"{name} AS ({' UNION ALL '.join(parts)})"
+
+
+DECONTAMINATION_SQL = rf"""WITH
+d AS (SELECT text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+b AS (SELECT item_id, w FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark) WHERE len(w) >= {decontaminate.LEAST_TOKENS}),
+{_masks_sql("d", "ds", "text")},
+{_masks_sql("b", "bs", "item_id")},
+laid AS (SELECT DISTINCT ds.text, bs.item_id, ds.i - bs.i AS shift FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
+eq AS (SELECT laid.text, laid.item_id, shift, b.w AS iw, least(len(b.w), {decontaminate.WINDOW}) AS width,
+         list_transform(range(1, len(b.w) + 1), lambda j: CASE WHEN j + shift >= 1 AND d.w[j + shift] = b.w[j] THEN 1 ELSE 0 END) AS e
+       FROM laid JOIN d ON d.text = laid.text JOIN b ON b.item_id = laid.item_id),
+best AS (SELECT text, item_id, width, max(list_max(list_transform(range(1, len(e) - width + 2), lambda s: list_sum(e[s:s + width - 1])))) AS matched
+         FROM eq GROUP BY text, item_id, width)
+SELECT documents.doc_id, item_id, CAST(matched AS INTEGER) AS matched, CAST(width AS INTEGER) AS width
+FROM best JOIN documents USING (text) WHERE matched >= width - (width * {decontaminate.SUBSTITUTED}) // {decontaminate.WINDOW}"""
+
+
+@query("op7_spaced_seeds", DECONTAMINATION_SQL)
+def op7(spark, sf_dir):
+    """Every document that overlaps a benchmark item, up to substitutions."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op8_orc_token_ids")
 def op8(spark, sf_dir):
     """Token ids of every document in ORC files, read back."""
