@@ -6,11 +6,17 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Rows of one piece of work inside a batch; a long text still makes a piece of its own size only.
 PIECE_BYTES = 8 << 20
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches go to Python workers in small pieces, whatever the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def once(key: tuple, make: Callable):
@@ -65,4 +71,5 @@ def add_columns(df: DataFrame, text: str, fields: list[T.StructField], compute:
                 arrays = compute(part)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *arrays], names=schema.names)
 
+    bounded_batches(df.sparkSession)
     return df.select(*[f.name for f in kept], text).mapInArrow(run, schema)

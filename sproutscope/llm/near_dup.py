@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sproutscope.llm.batches import pieces
+from sproutscope.llm.batches import bounded_batches, pieces
 from sproutscope.session import stage
 
 SHINGLE = 5
@@ -140,6 +140,7 @@ def profile(docs: DataFrame) -> DataFrame:
                 bands = [k if s else [] for k, s in zip(keys, sizes, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(bands, pa.list_(pa.int64()))], names=PROFILE.names)
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"), "text")
     return rows.mapInArrow(run, PROFILE)
 

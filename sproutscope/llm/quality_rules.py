@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sproutscope.llm.batches import as_bytes
+from sproutscope.llm.batches import as_bytes, bounded_batches
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -115,6 +115,7 @@ def failure_bits(rules=RULES) -> Column:
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: its other columns, the measurements and ``failed_bits``."""
+    bounded_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in (text, "failed_bits", *MEASURES)]
     rows = docs.select(*others, measured(text).alias("__m")).select(*others, "__m.*")
     return rows.withColumn("failed_bits", failure_bits())

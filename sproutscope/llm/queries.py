@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sproutscope.llm import byte_bpe, chat_prefixes, decontaminate, language_id, near_dup, quality_rules, token_orc
+from sproutscope.llm import byte_bpe, chat_prefixes, decontaminate, language_id, link_trust, near_dup, quality_rules, token_orc, warc_revisits
 from sproutscope.session import stage, tune
 
 _QUERIES: dict[str, Callable] = {}
@@ -93,6 +93,45 @@ def op3(spark, sf_dir):
     return found.select("doc_id", "class_id", "n_in_class")
 
 
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def _link_trust_sql() -> str:
+    ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    case = lambda value: "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{value(v, h, p)}'" for v, h, p in ordered) + " END"
+    split = lambda url: f"CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) END"
+    lower = "translate(regexp_extract({}, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"r AS (SELECT page_id, html, {split('url')} AS rest FROM pages)",
+        f"p AS (SELECT page_id, html, coalesce({lower.format('rest')}, '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r)",
+        f"u AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS rv FROM p)",
+        "sh AS (SELECT host, count(*) AS n, count(*) FILTER (rv = 'allow') AS a, count(*) FILTER (rv = 'block') AS b FROM u WHERE host <> '' GROUP BY host)",
+        "seed AS (SELECT host, CASE WHEN 2 * a > n THEN 'allow' WHEN 2 * b > n THEN 'block' END AS verdict FROM sh)",
+        r"""h AS (SELECT host AS source, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1)) AS href FROM u WHERE host <> '')""",
+        f"o AS (SELECT source, {lower.format('rest')} AS target FROM (SELECT source, regexp_replace(href, '^([A-Za-z][A-Za-z0-9+.-]*:)?//', '') AS rest FROM h WHERE regexp_matches(href, '^([A-Za-z][A-Za-z0-9+.-]*:)?//')))",
+        "up AS (SELECT DISTINCT host AS source, regexp_extract(host, '([^.]+[.][^.]+)$', 1) AS target FROM u WHERE host <> '')",
+        "e AS MATERIALIZED (SELECT source, target, count(*) AS n FROM (SELECT * FROM o UNION ALL SELECT * FROM up UNION ALL SELECT target, source FROM up) WHERE source <> '' AND target <> '' AND source <> target GROUP BY ALL)",
+    ]
+    for name, verdict, a, b in (("t", "allow", "source", "target"), ("d", "block", "target", "source")):
+        parts.append(f"{name}s AS (SELECT {a} AS source, {b} AS target, (n * {link_trust.SHARE}) // sum(n) OVER (PARTITION BY {a}) AS share FROM e)")
+        mass = f"({link_trust.MASS} // (SELECT count(*) FROM seed WHERE verdict = '{verdict}'))"
+        parts.append(f"{name}0 AS MATERIALIZED (SELECT host, {mass} AS mass FROM seed WHERE verdict = '{verdict}')")
+        for k in range(link_trust.STEPS):
+            moved = f"SELECT target AS host, ((mass * share) // {link_trust.SHARE} * {link_trust.DAMPING}) // 100 AS mass FROM {name}{k} JOIN {name}s ON source = host"
+            again = f"SELECT host, mass * {100 - link_trust.DAMPING} // 100 FROM {name}0"
+            parts.append(f"{name}{k + 1} AS MATERIALIZED (SELECT host, sum(mass)::BIGINT AS mass FROM ({moved} UNION ALL {again}) GROUP BY host)")
+    last = link_trust.STEPS
+    return f"""WITH {", ".join(parts)}
+SELECT page_id, u.host, path, rule, coalesce(rv, CASE WHEN coalesce(d.mass, 0) > {link_trust.FACTOR} * coalesce(t.mass, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(t.mass, 0) AS trust, coalesce(d.mass, 0) AS distrust FROM u LEFT JOIN t{last} t USING (host) LEFT JOIN d{last} d USING (host)"""
+
+
+@query("op5_link_trust", _link_trust_sql())
+def op5(spark, sf_dir):
+    """Every page's verdict by the rules, or by the trust of its host."""
+    return link_trust.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def _masks_sql(tokens: str, name: str, extra: str) -> str:
     """Keys of all masks at all positions of lists of tokens."""
     parts = []
@@ -117,6 +156,50 @@ SELECT documents.doc_id, item_id, CAST(matched AS INTEGER) AS matched, CAST(widt
 FROM best JOIN documents USING (text) WHERE matched >= width - (width * {decontaminate.SUBSTITUTED}) // {decontaminate.WINDOW}"""
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Pages as archive records: each as a response, and as a revisit some time later.
+
+    One in four revisits carries another entity tag than its page, one in four only a date.
+    """
+    page, tag = F.col("page_id"), F.md5("html")
+    date = F.concat(F.lit("day "), (page % 28).cast("string"))
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+    first = F.concat(line("ETag", tag), line("Last-Modified", date), line("Content-Type", F.lit("text/html")), line("Date", page.cast("string")))
+    own_tag = F.when(page % 4 == 1, F.lit("other")).otherwise(F.concat(F.lit("W/"), tag))
+    later = F.concat(F.when(page % 4 == 2, line("Last-Modified", date)).otherwise(line("ETag", own_tag)), line("Date", (page + 1).cast("string")), line("Content-Type", F.lit("none")))
+    both = F.array(
+        F.struct((2 * page).alias("record_id"), F.lit("response").alias("kind"), page.alias("ts"), F.lit(200).alias("status"), first.alias("headers")),
+        F.struct((2 * page + 1).alias("record_id"), F.lit("revisit").alias("kind"), (page + 1 + page % 5000).alias("ts"), F.lit(304).alias("status"), later.alias("headers")),
+    )
+    return pages.select("url", F.explode(both).alias("r")).select("r.*", "url")
+
+
+WARC_SQL = r"""WITH
+rest AS (SELECT page_id, html, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS r FROM pages),
+canon AS (SELECT page_id, md5(html) AS tag, 'day ' || (page_id % 28) AS day,
+  regexp_replace(lower(regexp_extract(r, '^[^/?]*', 0)), '^www\.|:(80|443)$', '') || regexp_replace(regexp_extract(r, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
+  list_sort(list_filter(string_split(regexp_extract(r, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|fbclid|gclid|ref)(=|$)'))) AS q FROM rest),
+c AS (SELECT *, base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM canon),
+v AS (SELECT page_id, url, page_id + 1 + page_id % 5000 AS ts, CASE WHEN page_id % 4 = 2 THEN NULL WHEN page_id % 4 = 1 THEN 'other' ELSE tag END AS tag, day FROM c),
+f AS (SELECT v.*, c.page_id AS earlier, c.tag AS old_tag, c.day AS old_day FROM v ASOF LEFT JOIN c ON v.url = c.url AND v.ts > c.page_id),
+o AS (SELECT *, CASE WHEN earlier IS NULL THEN 'no_response' WHEN tag IS NOT NULL THEN CASE WHEN tag = old_tag THEN 'resolved' ELSE 'changed' END
+  WHEN day = old_day THEN 'resolved' ELSE 'changed' END AS outcome FROM f)
+SELECT 2 * page_id + 1 AS record_id, CASE WHEN outcome = 'resolved' THEN 2 * earlier END AS resolved_id, outcome,
+  CASE WHEN outcome = 'resolved' THEN old_tag END AS old_tag,
+  CASE WHEN outcome = 'resolved' THEN 'content-type=text/html;date=' || (page_id + 1) || ';etag=' || coalesce(CASE WHEN tag IS NOT NULL THEN 'W/' || tag END, old_tag)
+    || ';last-modified=' || old_day END AS headers FROM o"""
+
+
+@query("op6_warc_revisits", WARC_SQL)
+def op6(spark, sf_dir):
+    """Every revisit of the pages' records with the response it repeats and the merged headers."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = warc_revisits.resolve(captures(pages))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    bodies = pages.select((2 * F.col("page_id")).alias("resolved_id"), F.md5("html").alias("old_tag"))
+    return found.join(bodies, "resolved_id", "left").select("record_id", "resolved_id", "outcome", "old_tag", text.alias("headers"))
+
+
 @query("op7_spaced_seeds", DECONTAMINATION_SQL)
 def op7(spark, sf_dir):
     """Every document that overlaps a benchmark item, up to substitutions."""

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from sproutscope.llm.batches import add_columns, once, pieces
+from sproutscope.llm.batches import add_columns, bounded_batches, once, pieces
 from sproutscope.llm.byte_bpe import REMEMBERED, Pieces
 from sproutscope.session import new_path
 
@@ -80,6 +80,7 @@ def loaded(path: str) -> Words:
 
 def write(docs: DataFrame, tokenizer_path: str, to: str, end_id: int = END_ID) -> None:
     """Tokenises ``docs`` (doc_id, text) and writes the files, ascending by ``doc_id`` over the parts."""
+    bounded_batches(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
