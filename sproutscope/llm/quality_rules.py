@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sproutscope.llm.batches import as_bytes, bounded_batches
 
@@ -66,7 +67,7 @@ def measure(text: bytes | None) -> tuple[int, ...]:
     return len(words), chars, symbols, len(lines), len(lines) - len(set(lines)), repeated_words(words), most
 
 
-@F.arrow_udf(", ".join(f"{m} long" for m in MEASURES))
+@F.arrow_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
 def measured(text: pa.Array) -> pa.Array:
     rows = np.array([measure(t) for t in as_bytes(text)], dtype=np.int64).reshape(-1, len(MEASURES))
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(MEASURES))], names=MEASURES)
