@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sproutscope.llm import byte_bpe, chat_prefixes, decontaminate, language_id, link_trust, near_dup, quality_rules, token_orc, warc_revisits
+from sproutscope.llm import byte_bpe, chat_prefixes, decontaminate, language_id, link_trust, near_dup, quality_rules, token_orc, warc_revisits, weak_labels
 from sproutscope.session import stage, tune
 
 _QUERIES: dict[str, Callable] = {}
@@ -93,6 +93,13 @@ def op3(spark, sf_dir):
     return found.select("doc_id", "class_id", "n_in_class")
 
 
+@query("op4_weak_labels")
+def op4(spark, sf_dir):
+    """The quality score of every document, learnt without labels."""
+    found = weak_labels.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "p_weak", "score", "kept")
+
+
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
