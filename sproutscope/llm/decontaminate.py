@@ -3,11 +3,11 @@
 A token is a run of letters and digits, lower-cased. A mask reads some positions of a few tokens in a
 row and ignores the others; its hash is equal in a document and a test item even if ignored tokens
 were substituted. A hit fixes how the item lies over the document, and the overlap counts if, in some
-window of ``WINDOW`` tokens of the item (all of a shorter one), at most ``SUBSTITUTED`` differ.
+window of ``WINDOW`` tokens of the item (all of a shorter one), at most ``(window - 7) / 2`` differ:
+3 of 13 tokens, none of 8.
 
-The three masks find every overlap with up to 3 substitutions in 13 tokens, and for shorter items
-every one with up to ``3 * tokens / 13``, so the seeds lose nothing that the verification
-would accept.
+The three masks hit every window with so few substitutions, wherever they are, so the seeds lose
+nothing that the verification would accept.
 
 The hashes of the items are broadcast while a count shows that there are at most ``BROADCAST_SEEDS``
 of them. Beyond it, documents and items are joined by hash in a shuffle of (text, position, hash).
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from sproutscope.session import stage
 
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 6, 8, 9), (0, 1, 3, 4, 5))
-WINDOW, SUBSTITUTED = 13, 3
+WINDOW = 13
 LEAST_TOKENS = 8
 BROADCAST_SEEDS = 1_000_000  # of some 60 bytes
 
@@ -67,7 +67,7 @@ def _verified(hits: DataFrame) -> DataFrame:
     """Of hits (tokens, item, at, item_at and more), those that verify, with matched and width."""
     width = F.least(F.size("item"), F.lit(WINDOW))
     found = hits.withColumns({"matched": _matches(F.col("tokens"), F.col("item"), F.col("at") - F.col("item_at")), "width": width})
-    return found.where(F.col("matched") >= F.col("width") - F.floor(F.col("width") * SUBSTITUTED / WINDOW))
+    return found.where("matched >= width - (width - 7) DIV 2")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:

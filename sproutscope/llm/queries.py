@@ -160,7 +160,7 @@ eq AS (SELECT laid.text, laid.item_id, shift, b.w AS iw, least(len(b.w), {decont
 best AS (SELECT text, item_id, width, max(list_max(list_transform(range(1, len(e) - width + 2), lambda s: list_sum(e[s:s + width - 1])))) AS matched
          FROM eq GROUP BY text, item_id, width)
 SELECT documents.doc_id, item_id, CAST(matched AS INTEGER) AS matched, CAST(width AS INTEGER) AS width
-FROM best JOIN documents USING (text) WHERE matched >= width - (width * {decontaminate.SUBSTITUTED}) // {decontaminate.WINDOW}"""
+FROM best JOIN documents USING (text) WHERE matched >= width - (width - 7) // 2"""
 
 
 def captures(pages: DataFrame) -> DataFrame:
