@@ -30,6 +30,27 @@ def once(key: tuple, make: Callable):
     return kept[key]
 
 
+class Remembered:
+    """Values of a worker's latest keys: two generations, of which the older goes when the newer is full.
+
+    ``new`` may be read directly; a value found in ``old`` is new again.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def age(self) -> None:
+        """Between two pieces of work, so that a reader's ``new`` stays the same during one."""
+        if len(self.new) >= self.limit:
+            self.old, self.new = self.new, {}
+
+    def older(self, key):
+        found = self.old.get(key)
+        if found is not None:
+            self.new[key] = found
+        return found
+
+
 def sizes(column: pa.Array) -> list[int]:
     """Bytes of each value of a string, binary or 32-bit list column."""
     if pa.types.is_list(column.type):

@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sproutscope.llm.batches import add_columns, as_bytes, once, pieces
+from sproutscope.llm.batches import Remembered, add_columns, as_bytes, once, pieces
 
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 1 << 10
 #: A pre-token is certain if it starts this many characters before the end of a chunk or earlier.
 MARGIN = 4
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Distinct words whose ids a worker remembers, twice over.
+REMEMBERED = 400_000
 
 #: A space before white space, where a text can't be cut by plain spaces.
 _UNSURE = re.compile(r" (?=\s)| \Z")
@@ -53,7 +53,7 @@ class Pieces:
     def __init__(self, path: str, pattern: str):
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
         self.pattern = regex.compile(pattern)
-        self.ids: dict[str, bytes] = {}
+        self.ids = Remembered(REMEMBERED)
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -61,17 +61,18 @@ class Pieces:
         return _SURE.split(text) if _UNSURE.search(text) else text.split(" ")
 
     def ids_of(self, word: str) -> bytes:
-        if len(self.ids) >= REMEMBERED:
-            self.ids.clear()
-        found = self.ids[word] = np.array(self.encoding.encode_ordinary(word), dtype="<u4").tobytes()
+        found = self.ids.older(word)
+        if found is None:
+            found = self.ids.new[word] = np.array(self.encoding.encode_ordinary(word), dtype="<u4").tobytes()
         return found
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
         if not text:
             return b""
+        self.ids.age()
         first, *rest = self.words(text)
-        get, out = self.ids.get, [self.ids_of(first)] if first else []
+        get, out = self.ids.new.get, [self.ids_of(first)] if first else []
         for word in rest:
             word = " " + word
             out.append(get(word) or self.ids_of(word))
@@ -79,8 +80,9 @@ class Pieces:
 
     def pieces(self, text: str, origin: int = 0) -> tuple[bytes, bytes, bytes]:
         """Of all pre-tokens of a chunk: starts counted from ``origin``, counts of ids, and ids."""
-        found = self.pattern.findall(text)
-        ids = [self.ids.get(p) or self.ids_of(p) for p in found]
+        self.ids.age()
+        found, get = self.pattern.findall(text), self.ids.new.get
+        ids = [get(p) or self.ids_of(p) for p in found]
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         return (origin + np.cumsum(lengths) - lengths).astype("<i8").tobytes(), counts.astype("<u4").tobytes(), b"".join(ids)
@@ -230,7 +232,7 @@ def _stitcher(path: str, pattern: str):
         out = []
         for k, a, b in stitch(chunks, own.pattern):
             if k is None:
-                out.extend(own.ids.get(p) or own.ids_of(p) for p in a)
+                out.extend(own.ids_of(p) for p in a)
             else:
                 out.append(rows[k]["ids"][ends[k][a] : ends[k][b]])
         return pa.table({"name": pa.array([rows[0]["name"]], pa.string()), "ids": pa.array([b"".join(out)], pa.binary())})

@@ -9,7 +9,9 @@ Defined cases: a null or empty text is the end id alone; null ids come first; ro
 all kept, in the order of their texts; an empty table gives empty files; other columns aren't stored.
 """
 
+import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from sproutscope.llm.batches import add_columns, bounded_batches, once, pieces
+from sproutscope.llm.batches import Remembered, add_columns, bounded_batches, once, pieces
 from sproutscope.llm.byte_bpe import REMEMBERED, Pieces
 from sproutscope.session import new_path
 
@@ -49,27 +51,27 @@ class Words:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
         self.tokenizer.no_truncation()
         pre = self.tokenizer.pre_tokenizer
         self.by_word = self.tokenizer.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex
-        self.ids: dict[str, bytes] = {}
+        self.ids = Remembered(REMEMBERED)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         if not self.by_word:
             return self._encoded(texts)
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-        ids, parts = self.ids, []
+        self.ids.age()
+        ids, parts = self.ids.new, []
         for text in texts:
             first, *rest = Pieces.words(text)
             parts.append([first, *[" " + w for w in rest]])
-        new = list({w for words in parts for w in words if w not in ids})
+        new = [w for w in {w for words in parts for w in words if w not in ids} if self.ids.older(w) is None]
         ids.update(zip(new, self._encoded(new), strict=True))
         return [b"".join([ids[w] for w in words]) for words in parts]
 
