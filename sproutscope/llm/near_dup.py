@@ -8,10 +8,12 @@ register, the earliest arrival of a register stays, and a shingle ends once its
 than all registers hold. Two texts agree in a register with the probability Jaccard similarity.
 
 Exact copies are one text (node) from the start. Texts that share a band are not paired with each
-other but with the band's pivot, the one that meets the most texts over all bands. If a text isn't
-linked to its pivot, any text it could be linked to shares a shingle with it that the pivot lacks,
-or is shorter than the pivot's own overlap allows. Such groups get pivots in turn, until none
-is left, so a group of n texts costs about n comparisons while no link between its texts is given up.
+other but with the band's pivot, the one that meets the most texts over all bands, so a group of n
+texts costs n comparisons. That alone could miss a link between two texts of which one isn't linked
+to the pivot. A pair of similarity 0.8 shares 13 of 32 bands on average, and a pivot that is less than
+``NEAR`` to it is in all of them with a chance under ``1e-9``. Texts nearer to a pivot are grouped again by
+shingles that the pivot lacks, as long as a group holds several classes, and those groups get pivots
+in turn until no new pair appears.
 
 Defined cases: texts that are null or have no word are alone in their class; texts of fewer than five
 words have one shingle of all their words; repeated rows are copies; classes are named by their least
@@ -30,6 +32,8 @@ from sproutscope.session import stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Texts at least this similar to a pivot are looked at again by what they have beyond it.
+NEAR = 0.6
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 
@@ -165,18 +169,13 @@ VERIFIED = T.StructType(
         T.StructField("pivot", T.BinaryType()),
         T.StructField("node", T.BinaryType()),
         T.StructField("similarity", T.DoubleType()),
-        T.StructField("size", T.LongType()),
-        T.StructField("common", T.LongType()),
         T.StructField("extra", T.ArrayType(T.LongType(), False)),
     ]
 )
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs with their exact similarity.
-
-    ``size``: distinct shingles of the node, ``common``: those the pivot has too, ``extra``: the others.
-    """
+    """Pairs with their exact similarity; ``extra``: shingles of the node that the pivot lacks, where both are near."""
 
     def run(batches):
         known = (None, None)
@@ -187,9 +186,10 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     if known[0] != pivot:
                         known = pivot, shingles(pivot_text)
                     own = shingles(text)
-                    extra = np.setdiff1d(own[0], known[1][0], assume_unique=True)
-                    rows.append((pivot, node, similarity(known[1], own), len(own[0]), len(own[0]) - len(extra), extra.view(np.int64)))
-                kinds = [pa.binary(), pa.binary(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                    found = similarity(known[1], own)
+                    extra = np.setdiff1d(own[0], known[1][0], assume_unique=True) if found >= NEAR else own[0][:0]
+                    rows.append((pivot, node, found, extra.view(np.int64)))
+                kinds = [pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=VERIFIED.names)
 
     with_text = pairs.join(texts, "node")
@@ -197,41 +197,39 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_text.join(pivot_texts, "pivot").select("pivot", "node", "pivot_text", "text").mapInArrow(run, VERIFIED)
 
 
-def next_pairs(verified: DataFrame, done: DataFrame) -> DataFrame:
-    """(pivot, node) that may be linked although not both are linked to the pivot that they share.
+def next_pairs(verified: DataFrame, done: DataFrame, labels: DataFrame) -> DataFrame:
+    """(pivot, node) of different classes that may be linked though their pivot didn't show it.
 
-    A text c that isn't linked to pivot p can only be linked to a text b of p's group if b has a
-    shingle of c that p lacks, or if b is so short that what c has in common with p is enough.
+    Two texts near a pivot can be more similar to each other than to it by shingles that both have and
+    the pivot lacks, so they are grouped by those, and each group of several classes gets a pivot.
     """
-    open_ = F.max(F.col("similarity") < SIMILARITY)
-    groups = verified.groupBy("pivot").agg(F.count("*").alias("n"), open_.alias("open")).where("n > 1 AND open").select("pivot")
-    rows = verified.join(groups, "pivot")
-    spread = rows.select("pivot", "node", "similarity", F.explode("extra").alias("shingle"))
-    spread = spread.select(F.struct("pivot", "shingle").alias("group"), "node", "similarity")
-    many = spread.groupBy("group").agg(F.count("*").alias("n"), open_.alias("open")).where("n > 1 AND open").select("group")
-    by_shingle = _pivots(spread.join(many, "group"), "group", F.col("similarity"))
-    c = rows.where(F.col("similarity") < SIMILARITY).select("pivot", F.col("node").alias("c"), F.floor(F.col("common") * (1 + 1 / SIMILARITY) - F.col("size")).alias("most"))
-    short = rows.select("pivot", "node", "size").join(c, "pivot").where("size <= most AND node != c").select(F.col("c").alias("pivot"), "node")
-    ordered = by_shingle.unionByName(short).select(F.greatest("pivot", "node").alias("pivot"), F.least("pivot", "node").alias("node")).distinct()
+    near = verified.where(F.col("similarity") >= NEAR)
+    named = near.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+    split = lambda groups: groups.agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").drop("a", "b")
+    spread = named.join(split(named.groupBy("pivot")), "pivot").select("pivot", "node", "similarity", "class", F.explode("extra").alias("shingle"))
+    spread = stage(spread.select(F.xxhash64("pivot", "shingle").alias("group"), "node", "similarity", "class"), "extras")
+    members = spread.join(split(spread.groupBy("group")), "group")
+    chosen = members.groupBy("group").agg(F.max(F.struct("similarity", "node", "class")).alias("p"))
+    pairs = members.join(chosen, "group").where("class != p.class").select(F.greatest("p.node", "node").alias("pivot"), F.least("p.node", "node").alias("node")).distinct()
     seen = done.select(F.greatest("pivot", "node").alias("pivot"), F.least("pivot", "node").alias("node"))
-    return ordered.join(seen, ["pivot", "node"], "left_anti")
+    return pairs.join(seen, ["pivot", "node"], "left_anti")
 
 
-def links(docs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(pivot, node): links between different texts that connect every class."""
+def linked_classes(docs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(node, component) of all texts that have a link."""
     pairs = stage(first_pairs(profiles), "pairs")
     texts = docs.select(node_of(F.col("text")).alias("node"), "text")
+    wanted = pairs.select("node").union(pairs.select("pivot")).distinct()
+    needed = stage(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "pair-texts")
     done = None
-    while not pairs.isEmpty():
-        wanted = pairs.select("node").union(pairs.select("pivot")).distinct()
-        needed = stage(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "pair-texts")
+    while True:
         verified = stage(verify(pairs, needed), "verified")
         seen = verified.select("pivot", "node", "similarity")
         done = seen if done is None else stage(done.unionByName(seen), "verified-all")
-        pairs = stage(next_pairs(verified, done), "pairs")
-    if done is None:
-        return pairs
-    return done.where(F.col("similarity") >= SIMILARITY).select("pivot", "node")
+        labels = components(done.where(F.col("similarity") >= SIMILARITY).select("pivot", "node"))
+        pairs = stage(next_pairs(verified, done, labels), "pairs")
+        if pairs.isEmpty():
+            return labels
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -259,7 +257,7 @@ def classes(docs: DataFrame) -> DataFrame:
     word has its own doc_id as class.
     """
     profiles = stage(profile(docs), "profiles")
-    found = components(links(docs, profiles))
+    found = linked_classes(docs, profiles)
     rows = profiles.select("doc_id", "node", (F.size("bands") > 0).alias("has_words"))
     named = stage(rows.where("has_words").join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("class")), "members")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))

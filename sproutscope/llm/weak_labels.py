@@ -162,11 +162,13 @@ def classify(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     new = ["pattern", "p_weak", "score", "kept", "text"]
-    voted = docs.withColumn("__m", _measured("text")).select(*[c for c in docs.columns if c not in new], "text", "__m.*")
-    voted = voted.withColumn("pattern", pattern_of_votes()).select(*[c for c in docs.columns if c not in new], "text", "pattern")
+    others = [c for c in docs.columns if c not in new]
+    row = F.struct(F.lit(0).alias("__none"), *others).alias("row")  # apart from names of measurements
+    voted = docs.select(row, "text", _measured("text").alias("m")).select("row", "text", "m.*").select("row", "text", pattern_of_votes().alias("pattern"))
     counted = voted.where("pattern IS NOT NULL").groupBy("pattern").count().toPandas().sort_values("pattern")
     if counted.empty:
-        return voted.drop("text").withColumns({"p_weak": F.lit(0.0), "score": F.lit(0.0), "kept": F.lit(False)})
+        scored = voted.withColumns({"p_weak": F.lit(0.0), "score": F.lit(0.0)})
+        return _result(scored, others)
     _, _, posterior = fit_labellers(counted["pattern"].to_numpy(), counted["count"].to_numpy())
     by_pattern = spark.createDataFrame([(int(p), float(q)) for p, q in zip(counted["pattern"], posterior, strict=True)], "pattern int, p_weak double")
     voted = voted.join(F.broadcast(by_pattern), "pattern", "left")
@@ -174,4 +176,8 @@ def classify(docs: DataFrame) -> DataFrame:
     model = _train(chosen)
     score = F.coalesce("p_weak", F.lit(0.0)) if model is None else _scorer(spark, model)(F.col("text"))
     scored = voted.withColumn("score", score).withColumn("p_weak", F.coalesce("p_weak", F.lit(0.0)))
-    return scored.withColumn("kept", F.col("score") >= KEEP).drop("text")
+    return _result(scored, others)
+
+
+def _result(scored: DataFrame, others: list[str]) -> DataFrame:
+    return scored.select(*[F.col("row")[c].alias(c) for c in others], "pattern", "p_weak", "score", ((F.col("score") >= KEEP) & F.col("pattern").isNotNull()).alias("kept"))
