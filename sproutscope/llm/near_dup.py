@@ -11,9 +11,9 @@ Exact copies are one text (node) from the start. Texts that share a band are not
 other but with the band's pivot, the one that meets the most texts over all bands, so a group of n
 texts costs n comparisons. That alone could miss a link between two texts of which one isn't linked
 to the pivot. A pair of similarity 0.8 shares 13 of 32 bands on average, and a pivot that is less than
-``NEAR`` to it is in all of them with a chance under ``1e-9``. Texts nearer to a pivot are grouped again by
+``NEAR`` to it is in all of them with a chance under ``1e-6``. Texts nearer to a pivot are grouped again by
 shingles that the pivot lacks, as long as a group holds several classes, and those groups get pivots
-in turn until no new pair appears.
+in turn, until a round of them brings no new link.
 
 Defined cases: texts that are null or have no word are alone in their class; texts of fewer than five
 words have one shingle of all their words; repeated rows are copies; classes are named by their least
@@ -221,11 +221,13 @@ def linked_classes(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     texts = docs.select(node_of(F.col("text")).alias("node"), "text")
     wanted = pairs.select("node").union(pairs.select("pivot")).distinct()
     needed = stage(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "pair-texts")
-    done = None
+    done = labels = None
     while True:
         verified = stage(verify(pairs, needed), "verified")
         seen = verified.select("pivot", "node", "similarity")
-        done = seen if done is None else stage(done.unionByName(seen), "verified-all")
+        done = seen if done is None else done.unionByName(seen)
+        if labels is not None and seen.where(F.col("similarity") >= SIMILARITY).isEmpty():
+            return labels
         labels = components(done.where(F.col("similarity") >= SIMILARITY).select("pivot", "node"))
         pairs = stage(next_pairs(verified, done, labels), "pairs")
         if pairs.isEmpty():

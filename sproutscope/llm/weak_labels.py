@@ -7,8 +7,7 @@ share of good documents and each labeller's chances of each vote in both classes
 its documents. They train a logistic scorer on hashed word features, which then judges every text,
 also where all labellers abstain.
 
-The scorer is fitted on at most ``TRAINING_ROWS`` documents, those of the least hashes of their texts;
-patterns, posteriors and scores cover all documents.
+The scorer is fitted on about ``TRAINING_ROWS`` documents, drawn by hashes of text and id; patterns, posteriors and scores cover all documents.
 
 Defined cases: a null text or one without words has score 0 and isn't kept; repeated rows count and are
 scored one by one; without documents, or if one class is empty, the posterior alone is the score; an
@@ -172,7 +171,9 @@ def classify(docs: DataFrame) -> DataFrame:
     _, _, posterior = fit_labellers(counted["pattern"].to_numpy(), counted["count"].to_numpy())
     by_pattern = spark.createDataFrame([(int(p), float(q)) for p, q in zip(counted["pattern"], posterior, strict=True)], "pattern int, p_weak double")
     voted = voted.join(F.broadcast(by_pattern), "pattern", "left")
-    chosen = voted.where("p_weak IS NOT NULL").select("text", F.col("p_weak").alias("p")).orderBy(F.xxhash64("text"), "text").limit(TRAINING_ROWS)
+    share = min(1.0, TRAINING_ROWS / float(counted["count"].sum()))
+    drawn = F.pmod(F.xxhash64("text", *[F.col("row")["doc_id"]] * ("doc_id" in others)), F.lit(1 << 32)) < F.lit(int(share * (1 << 32)))
+    chosen = voted.where(drawn).where("p_weak IS NOT NULL").select("text", F.col("p_weak").alias("p"))
     model = _train(chosen)
     score = F.coalesce("p_weak", F.lit(0.0)) if model is None else _scorer(spark, model)(F.col("text"))
     scored = voted.withColumn("score", score).withColumn("p_weak", F.coalesce("p_weak", F.lit(0.0)))
