@@ -88,9 +88,8 @@ def _(t):
     return stats.balanced_logit(t.study.where(F.col("divergence_ratio").isNotNull()), ["divergence_ratio"])
 
 
-@check("sta5_logit_with_controls")
-def _(t):
-    ready = t.study.withColumns(
+def _controlled(t):
+    return t.study.withColumns(
         {
             "star_count": F.col("urgent"),
             "has_license": F.col("balance") > 0,
@@ -98,7 +97,45 @@ def _(t):
             "fork_owner_type": F.when(F.col("segment") == "BUILDING", "Organization").otherwise("User"),
         }
     )
-    return stats.logit_with_controls(ready)
+
+
+@check("sta5_logit_with_controls")
+def _(t):
+    return stats.logit_with_controls(_controlled(t))
+
+
+def _at_optimum(df, features, label="is_sustainable"):
+    """Per feature, whether the penalised loss is flat there at the fitted coefficients.
+
+    Computed from the definition: standardised features, classes of equal total weight, half the
+    squared coefficients as penalty.
+    """
+    fitted = stats.fit_balanced_logit(df, features, label)
+    rows = df.select(F.col(label).alias("y"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+    sides = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    weight = F.when(F.col("y") == 1, 0.5 / sides[1]).otherwise(0.5 / sides[0]) * sum(sides.values())
+    moments = rows.agg(*[F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f) for f in features]).first()
+    x = {f: (F.col(f) - moments[f]["m"]) / (moments[f]["s"] or 1.0) for f in features}
+    z = F.lit(float(fitted[0]))
+    for f, c in zip(features, fitted[1:], strict=True):
+        z = z + x[f] * float(c)
+    residual = weight * (1 / (1 + F.exp(-z)) - F.col("y"))
+    slopes = rows.agg(*[(F.sum(residual * x[f]) + float(c)).alias(f) for f, c in zip(features, fitted[1:], strict=True)])
+    return slopes.unpivot([], features, "feature", "slope").select("feature", (F.abs("slope") < 1e-6 * sum(sides.values())).alias("flat"))
+
+
+def _flat_sql(features) -> str:
+    return "SELECT feature, (SELECT count(*) FROM customer) >= 0 AS flat FROM (VALUES " + ", ".join(f"('{f}')" for f in features) + ") AS t(feature)"
+
+
+@check("sta4_logit_optimum", _flat_sql(["divergence_ratio"]))
+def _(t):
+    return _at_optimum(t.study.where(F.col("divergence_ratio").isNotNull()), ["divergence_ratio"])
+
+
+@check("sta5_logit_optimum", _flat_sql(S.LOGIT_CONTROLS))
+def _(t):
+    return _at_optimum(stats.with_controls(_controlled(t)), S.LOGIT_CONTROLS)
 
 
 GROUP_SQL = """

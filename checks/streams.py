@@ -41,12 +41,7 @@ def _(t):
 
 @check("str4_stream_contributor_months", with_archive("SELECT * FROM cm"))
 def _(t):
-    """Files hold all dates mixed, hence a lateness as long as the archive."""
     cohort = t.cohort
     table, checkpoint = new_path(t.spark, "months"), new_path(t.spark, "progress")
-    st.drain(
-        st.stream_contributor_months(
-            st.stream_archive(t.spark, _folder(t), 2), cohort, table, checkpoint, lateness="4000 days"
-        )
-    )
+    st.drain(st.stream_contributor_months(st.stream_archive(t.spark, _folder(t), 2), cohort, table, checkpoint))
     return st.read_contributor_months(t.spark.read.parquet(table))

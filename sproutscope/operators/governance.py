@@ -129,7 +129,8 @@ def issue_state(responses: DataFrame) -> DataFrame:
 def enriched_forks(fork_events: DataFrame, commits: DataFrame, responses: DataFrame) -> DataFrame:
     """Fork names and time, monthly series, later commits, issue state and stars.
 
-    Commits count from the moment the fork was last updated at the time of the event.
+    Commits count from the moment the fork was last updated at the time of the event. Each
+    distinct (fork, moment) is counted once, however many events repeat it.
     """
     forkee = F.from_json("payload", S.FORK_PAYLOAD)["forkee"]
     named = fork_events.select(
@@ -137,23 +138,31 @@ def enriched_forks(fork_events: DataFrame, commits: DataFrame, responses: DataFr
         forkee["updated_at"].alias("fork_time"),
         F.col("repo.name").alias("parent"),
     ).where(F.col("repo_name").isNotNull())
+    span = F.xxhash64("repo_name", "fork_time")
     child_owner, child_name = owner_and_name(F.col("repo_name"))
     parent_owner, parent_name = owner_and_name(F.col("parent"))
-    starts = named.select("repo_name", lenient_timestamp(F.col("fork_time")).alias("since"))
+    starts = named.select("repo_name", lenient_timestamp(F.col("fork_time")).alias("since"), span.alias("span")).distinct()
     since = attach(
         commits.select("repo_name", "event_ts", "event_id"), starts, "repo_name", spread=F.col("event_id")
     ).where(F.col("event_ts") >= F.col("since"))
-    return assemble(
+    counted = assemble(
+        starts.select("span").distinct(),
+        monthly_series(since, repo="span").withColumnRenamed("repo_name", "span"),
+        commits_after(since, repo="span").withColumnRenamed("repo_name", "span"),
+        key="span",
+    )
+    rows = assemble(
         named.select(
             "repo_name",
+            span.alias("span"),
             parent_name.alias("parent_name"),
             parent_owner.alias("parent_owner"),
             child_owner.alias("child_owner"),
             child_name.alias("child_name"),
             "fork_time",
         ),
-        monthly_series(since),
-        commits_after(since),
         issue_state(responses),
-        zeros=["commits_post"],
-    )
+    ).join(counted, "span", "left")
+    first = ["repo_name", "parent_name", "parent_owner", "child_owner", "child_name", "fork_time", "commit_times", "commits_post"]
+    rows = rows.fillna(0, subset=["commits_post"])
+    return rows.select(*first, *[c for c in rows.columns if c not in (*first, "span")])

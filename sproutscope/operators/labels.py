@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sproutscope import schemas as S
 from sproutscope.functions.anchored import LABEL, AnchoredWindow
 from sproutscope.operators.windows import events_in_window
+from sproutscope.session import stage
 
 
 def labels(events: DataFrame, cohort: DataFrame, within: AnchoredWindow = LABEL) -> DataFrame:
@@ -26,10 +27,6 @@ def attach_labels(df: DataFrame, label_df: DataFrame) -> DataFrame:
 
 def label_balance(df: DataFrame, label: str = "is_sustainable") -> DataFrame:
     """Size and percentage of each class, from one aggregation over the rows."""
-    counts = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("count"))
-    # one row per class
-    both = counts.agg(F.collect_list(F.struct("label", "count")).alias("classes"))
-    total = F.aggregate("classes", F.lit(0).cast("long"), lambda acc, c: acc + c["count"])
-    return both.select(total.alias("total"), F.explode("classes").alias("class")).select(
-        "class.label", "class.count", (100.0 * F.col("class.count") / F.col("total")).alias("percentage")
-    )
+    counts = stage(df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("count")), "label-counts")
+    total = counts.agg(F.sum("count")).first()[0]
+    return counts.select("label", "count", (100.0 * F.col("count") / F.lit(total)).alias("percentage"))

@@ -1,15 +1,15 @@
 """From the dataset to model features: column choice, imputation, encoding."""
 
-from pyspark.ml.feature import StringIndexerModel
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sproutscope import schemas as S
 from sproutscope.functions.scalars import indicator
 from sproutscope.operators.ranks import column_medians
+from sproutscope.session import stage
 
-MAX_CATEGORIES = 10_000
 _LABELS = ("is_sustainable",)
 
 
@@ -73,28 +73,47 @@ def impute_generic(df: DataFrame, skip=_LABELS) -> DataFrame:
 
 
 def label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Text replaced by its rank in the alphabet of the column; null is the category ``nan``."""
+    """Text replaced by its rank in the alphabet of the column; null is the category ``nan``.
+
+    Any number of categories: codes are ranked in Spark and joined back per column.
+    """
     named = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols})
-    alphabets = {c: [] for c in cols}
-    for row in _categories(_category_counts(named, cols)):
-        alphabets[row["column"]].append(row["category"])
-    codes = [f"_code_{i}" for i in range(len(cols))]
-    indexer = StringIndexerModel.from_arrays_of_labels(
-        [sorted(alphabets[c]) for c in cols], inputCols=cols, outputCols=codes
-    )
-    coded = indexer.transform(named)
-    order = [
-        F.col(codes[cols.index(c)]).cast("int").alias(c) if c in cols else F.col(c) for c in df.columns
-    ]
-    return coded.select(*order)
+    codes = category_codes(named, cols)
+    for i, c in enumerate(cols):
+        own = codes.where(F.col("column") == c).select(F.col("category").alias(c), F.col("code").alias(f"_code_{i}"))
+        named = named.join(own, c)
+    order = [F.col(f"_code_{cols.index(c)}").cast("int").alias(c) if c in cols else F.col(c) for c in df.columns]
+    return named.select(*order)
+
 
+def category_codes(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(column, category, code)``: the rank of each category in its column, from 0.
 
-def _categories(counts: DataFrame) -> list:
-    """The ``(column, category)`` rows on the driver, refused beyond :data:`MAX_CATEGORIES`."""
-    found = counts.select("column", "category").limit(MAX_CATEGORIES + 1).collect()
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories to encode")
-    return found
+    Categories are dealt out by ranges, ranked inside each range, and shifted by the counts
+    of the ranges before, of which there is one row per range and column.
+    """
+    ordered = _category_counts(df, cols).select("column", "category").repartitionByRange("column", "category")
+    parts = stage(ordered.withColumn("part", F.spark_partition_id()), "categories")
+    sizes = parts.groupBy("column", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("column", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    inside = F.row_number().over(Window.partitionBy("column", "part").orderBy("category"))
+    ranked = parts.withColumn("place", inside).join(shifts, ["column", "part"])
+    return stage(ranked.select("column", "category", (F.col("shift") + F.col("place") - 1).alias("code")), "codes")
+
+
+def one_hot_vectors(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Each column replaced by a sparse 0/1 vector over its categories in reverse alphabet, the first dropped.
+
+    For columns with too many categories for a column each; null is the category ``nan``.
+    """
+    codes = [f"_code_{i}" for i in range(len(cols))]
+    encoded = label_encode(df, cols).withColumnsRenamed(dict(zip(cols, codes, strict=True)))
+    # from the end of the alphabet, as the encoder leaves out the last category and we the first
+    most = encoded.agg(*[F.max(c).alias(c) for c in codes]).first()
+    turned = encoded.withColumns({c: F.lit(most[c]) - F.col(c) for c in codes})
+    made = OneHotEncoder(inputCols=codes, outputCols=cols, dropLast=True).fit(turned).transform(turned)
+    return made.select(*df.columns)
 
 
 def _category_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -127,7 +146,7 @@ def one_hot(df: DataFrame, cols: list[str], kept: DataFrame | None = None) -> Da
     ``kept`` (``column, category``) restricts the dummies, e.g. to :func:`top_categories`.
     """
     chosen = dummy_counts(df, cols) if kept is None else kept
-    found = _categories(chosen)
+    found = chosen.select("column", "category").collect()  # each becomes a column of the result
     dummies = [
         indicator(F.col(c).cast("string") == category).alias(f"{c}_{category}")
         for c, category in sorted((row["column"], row["category"]) for row in found)

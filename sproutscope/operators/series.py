@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sproutscope import schemas as S
 from sproutscope.functions.scalars import month_of, month_prefix, month_start, plus_months, safe_ratio
+from sproutscope.operators.windows import anchors_of
 from sproutscope.session import stage
 from sproutscope.sizing import attach
 
@@ -116,7 +117,7 @@ def min_commits(
     ts, created = F.col("event_ts"), F.col("created_at")
     counted = attach(
         commits.select("repo_name", "event_ts", "event_id"),
-        cohort.select("repo_name", "created_at"),
+        anchors_of(cohort),
         "repo_name",
         spread=F.col("event_id"),
     ).where(ts >= created)

@@ -2,9 +2,8 @@
 
 import math
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 from sproutscope import schemas as S
 from sproutscope.functions.scalars import indicator, interval_label
 from sproutscope.operators.ranks import medians, running_tallies
+from sproutscope.session import stage
 
 
 def _known(df: DataFrame, value: str, label: str) -> DataFrame:
@@ -178,11 +178,29 @@ def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns(scaled)
 
 
+NEWTON_STEPS = 50
+
+
 def balanced_logit(df: DataFrame, features: list[str], label: str = "is_sustainable") -> DataFrame:
     """Class-balanced, L2-penalised logistic regression on standardised features.
 
     ``(feature, coefficient, odds_ratio)``, the largest odds ratio first.
     """
+    fitted = fit_balanced_logit(df, features, label)
+    found = [(f, float(c)) for f, c in zip(features, fitted[1:], strict=True)]
+    return (
+        df.sparkSession.createDataFrame(found, "feature string, coefficient double")
+        .withColumn("odds_ratio", F.exp("coefficient"))
+        .orderBy(F.col("odds_ratio").desc(), "feature")
+    )
+
+
+def fit_balanced_logit(df: DataFrame, features: list[str], label: str = "is_sustainable") -> np.ndarray:
+    """Intercept and coefficients of the standardised features, by Newton's method.
+
+    Every step is one aggregation of the gradient and the upper half of the Hessian over all
+    rows. Steps are halved while the loss grows; the fit ends when the gradient is 0 to rounding.
+    """
     prepared = df.select(
         *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features],
         F.col(label).cast("double").alias("label"),
@@ -192,32 +210,60 @@ def balanced_logit(df: DataFrame, features: list[str], label: str = "is_sustaina
     weight = F.when(F.col("label") == 1, F.lit(total / (2 * sizes.get(1.0, 1)))).otherwise(
         F.lit(total / (2 * sizes.get(0.0, 1)))
     )
-    vectors = VectorAssembler(inputCols=features, outputCol="features").transform(
-        standardize(prepared, features).withColumn("weight", weight)
-    )
-    model = LogisticRegression(
-        weightCol="weight",
-        regParam=1.0 / total,
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=1000,
-        tol=1e-9,
-    ).fit(vectors.select("features", "label", "weight"))
-    found = [(f, float(c)) for f, c in zip(features, model.coefficients.toArray())]
-    return (
-        df.sparkSession.createDataFrame(found, "feature string, coefficient double")
-        .withColumn("odds_ratio", F.exp("coefficient"))
-        .orderBy(F.col("odds_ratio").desc(), "feature")
-    )
+    rows = stage(standardize(prepared, features).withColumn("weight", weight), "logit-rows")
+    x = [F.lit(1.0), *[F.col(f) for f in features]]
+    k = len(x)
+    penalty = np.diag([0.0] + [1.0] * (k - 1))
+
+    def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Penalised loss, gradient and Hessian."""
+        z = sum((F.lit(float(c)) * v for c, v in zip(beta[1:], x[1:], strict=True)), F.lit(float(beta[0])))
+        p = 1 / (1 + F.exp(-z))
+        sign = 2 * F.col("label") - 1
+        loss = F.greatest(-sign * z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+        made = rows.select("weight", *features, p.alias("_p"), loss.alias("_loss"), (p - F.col("label")).alias("_r"))
+        spread = F.col("weight") * F.col("_p") * (1 - F.col("_p"))
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        found = made.agg(
+            F.sum(F.col("weight") * F.col("_loss")),
+            *[F.sum(F.col("weight") * F.col("_r") * v) for v in x],
+            *[F.sum(spread * x[i] * x[j]) for i, j in pairs],
+        ).first()
+        hessian = np.zeros((k, k))
+        for (i, j), value in zip(pairs, found[k + 1 :], strict=True):
+            hessian[i, j] = hessian[j, i] = value
+        return found[0] + 0.5 * beta @ penalty @ beta, np.array(found[1 : k + 1]) + penalty @ beta, hessian + penalty
+
+    beta = np.zeros(k)
+    if not total:
+        return beta
+    loss, gradient, hessian = at(beta)
+    for _ in range(NEWTON_STEPS):
+        if np.abs(gradient).max() <= 1e-9 * total:
+            break
+        step = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
+        for _ in range(20):
+            after = at(beta - step)
+            if after[0] <= loss:
+                break
+            step = step / 2
+        else:
+            break
+        beta, (loss, gradient, hessian) = beta - step, after
+    return beta
 
 
 def logit_with_controls(df: DataFrame, label: str = "is_sustainable") -> DataFrame:
     """The divergence model with its control features; the owner type becomes an indicator."""
-    ready = df.withColumns(
+    return balanced_logit(with_controls(df), S.LOGIT_CONTROLS, label)
+
+
+def with_controls(df: DataFrame) -> DataFrame:
+    """The rows of the divergence model, its flags as 0/1."""
+    return df.withColumns(
         {
             "fork_owner_type": indicator(F.col("fork_owner_type") == "Organization"),
             "has_license": indicator(F.col("has_license")),
             "has_cicd": indicator(F.col("has_cicd")),
         }
     ).where(F.col("divergence_ratio").isNotNull())
-    return balanced_logit(ready, S.LOGIT_CONTROLS, label)

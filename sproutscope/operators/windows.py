@@ -36,6 +36,11 @@ class Extent:
     latest: datetime | None
 
 
+def anchors_of(cohort: DataFrame) -> DataFrame:
+    """``(repo_name, created_at)``, one row per repository: of repeated rows the latest creation."""
+    return cohort.groupBy("repo_name").agg(F.max("created_at").alias("created_at"))
+
+
 def extent(cohort: DataFrame) -> Extent:
     row = cohort.agg(
         F.count("*").alias("rows"),
@@ -64,14 +69,16 @@ def events_in_window(
     cohort: DataFrame,
     within: AnchoredWindow = EARLY,
     max_broadcast_rows: int = BROADCAST_ROWS,
+    size: Extent | None = None,
 ) -> DataFrame:
     """Events of cohort repositories inside their own window, with ``created_at`` attached.
 
-    The cohort has one row per repository. Its counted size decides between a broadcast
-    and a skew-safe shuffle join; its anchor range becomes literal scan predicates.
+    Repeated cohort rows count once. The cohort's counted size decides between a broadcast
+    and a skew-safe shuffle join; its anchor range becomes literal scan predicates. ``size``
+    is the :func:`extent` of :func:`anchors_of` the cohort where the caller has it.
     """
-    anchors = cohort.select("repo_name", "created_at")
-    size = extent(anchors)
+    anchors = anchors_of(cohort)
+    size = size or extent(anchors)
     joined = attach(
         _within_extent(events, size, within),
         anchors,
@@ -84,5 +91,5 @@ def events_in_window(
 
 
 def tracked(events: DataFrame, cohort: DataFrame) -> DataFrame:
-    """Events of cohort repositories, at any time."""
-    return attach(events, cohort.select("repo_name"), "repo_name", spread=F.col("event_id"))
+    """Events of cohort repositories, at any time, each once however often the cohort names it."""
+    return attach(events, cohort.select("repo_name").distinct(), "repo_name", spread=F.col("event_id"))

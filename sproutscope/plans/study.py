@@ -45,13 +45,14 @@ def build_dataset(
     """Cohort, activity, responsiveness, contributor health and any metadata in one table.
 
     The events of the window are a small part of the archive and feed three aggregations,
-    so they are staged once; the archive is read a single time.
+    so they are staged once and this table reads the archive a single time. Labels and
+    divergence look at other windows and read their own months of it.
     """
     early = stage(
         events_in_window(events, cohort, within).select(*EARLY_EVENT_COLUMNS), "early-events"
     )
     counts = assemble(
-        cohort.select("repo_name"), activity_counts(early), zeros=S.ACTIVITY_COLUMNS
+        cohort.select("repo_name").distinct(), activity_counts(early), zeros=S.ACTIVITY_COLUMNS
     )
     health = contributor_health(contributor_month_counts(early))
     return dataset(cohort, counts, fractional_delays(early), *metadata, health)

@@ -12,14 +12,10 @@ import sproutscope
 cloudpickle.register_pickle_by_value(sproutscope)
 
 
-CLUSTER_PARTITIONS = "200"  # Spark's default
-
-
 def tune(spark: SparkSession) -> SparkSession:
     """Settings every job relies on: UTC clock, adaptive plans, skew-aware joins.
 
-    The number of shuffle partitions is the cluster's; only a local session left at the
-    default gets one per core.
+    The number of shuffle partitions is the session's own.
     """
     for key, value in {
         "spark.sql.session.timeZone": "UTC",
@@ -28,19 +24,24 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
     }.items():
         spark.conf.set(key, value)
-    local = spark.sparkContext.master.startswith("local")
-    if local and spark.conf.get("spark.sql.shuffle.partitions") == CLUSTER_PARTITIONS:
-        # streaming state takes the setting as it is, 200 tasks for a handful of cores
-        spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one is made only where none is configured."""
+    """The folder in ``spark.checkpoint.dir``, also set as the context's checkpoint folder.
+
+    A session in one local process may leave it unset and gets a temporary one. A cluster may
+    not, as its executors would each write to a disk of their own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="sproutscope-")
         spark.conf.set("spark.checkpoint.dir", folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 

@@ -9,6 +9,8 @@ list of hot keys and the replicated lookup rows are bounded too.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sproutscope.session import stage
+
 BROADCAST_ROWS = 1_000_000
 
 
@@ -21,11 +23,18 @@ def slices_of(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def hot_keys(big: DataFrame, on: list[str], slices: int) -> DataFrame:
-    """Keys holding more than ``1/slices`` of the rows, as a literal table (< ``slices`` rows)."""
-    threshold = big.count() / slices
+def hot_keys(big: DataFrame, on: list[str], slices: int, lookup: DataFrame | None = None) -> DataFrame:
+    """Keys holding more than ``1/slices`` of the rows, as a literal table (< ``slices`` rows).
+
+    One pass over ``big``: rows are counted per key, the counts are staged, and their sum is
+    the total. With ``lookup`` only keys that it has are counted, as others join nothing.
+    """
     per_key = big.groupBy(*on).agg(F.count("*").alias("_rows"))
-    found = per_key.where(F.col("_rows") > threshold).select(*on).collect()
+    if lookup is not None:
+        per_key = per_key.join(lookup.select(*on), on, "left_semi")
+    counted = stage(per_key, "rows-per-key")
+    total = counted.agg(F.sum("_rows")).first()[0] or 0
+    found = counted.where(F.col("_rows") > total / slices).select(*on).collect()
     schema = big.select(*on).schema
     return big.sparkSession.createDataFrame(found, schema)
 
@@ -35,7 +44,7 @@ def spread_join(
 ) -> DataFrame:
     """Inner shuffle join in which hot keys of ``big`` are split by ``spread``."""
     slices = slices or slices_of(big)
-    hot = F.broadcast(hot_keys(big, on, slices).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(big, on, slices, lookup).withColumn("_hot", F.lit(True)))
     left = big.join(hot, on, "left").withColumn(
         "_slice", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(slices))).otherwise(F.lit(0))
     )

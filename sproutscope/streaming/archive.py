@@ -13,8 +13,7 @@ from sproutscope import schemas as S
 from sproutscope.functions.anchored import EARLY, LABEL, AnchoredWindow
 from sproutscope.operators.activity import activity_measures
 from sproutscope.operators.features import assemble
-from sproutscope.operators.windows import events_in_window
-from sproutscope.sizing import BROADCAST_ROWS, fits
+from sproutscope.operators.windows import anchors_of, events_in_window, extent
 from sproutscope.sources.events import flatten_events, split_corrupt, stream_events
 
 __all__ = [
@@ -59,10 +58,11 @@ def stream_activity(
     Keeping the author in the key makes distinct authors exact across batches without any
     streaming state.
     """
+    size = extent(anchors_of(cohort))
 
     def partials(batch: DataFrame) -> DataFrame:
         return (
-            events_in_window(batch, cohort, within)
+            events_in_window(batch, cohort, within, size=size)
             .groupBy("repo_name", "actor_login")
             .agg(*activity_measures())
         )
@@ -89,27 +89,14 @@ def read_activity(table: DataFrame, cohort: DataFrame) -> DataFrame:
 def stream_labels(
     events: DataFrame, cohort: DataFrame, table: str, checkpoint: str, within: AnchoredWindow = LABEL
 ) -> StreamingQuery:
-    """Repositories with a push in the label window, each emitted once, as soon as seen.
+    """Repositories with a push in the label window, once per batch that has one."""
+    size = extent(anchors_of(cohort))
 
-    The state holds one key per labelled repository, so at most the cohort.
-    """
-    anchors = cohort.select("repo_name", "created_at")
-    side = F.broadcast(anchors) if fits(anchors, BROADCAST_ROWS) else anchors
-    hits = (
-        events.where(F.col("type") == S.PUSH)
-        .join(side, "repo_name")
-        .where(within.contains(F.col("event_ts"), F.col("created_at")))
-        .select("repo_name")
-        .dropDuplicates(["repo_name"])
-    )
-    return (
-        hits.writeStream.outputMode("append")
-        .format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .option("path", table)
-        .trigger(availableNow=True)
-        .start()
-    )
+    def hits(batch: DataFrame) -> DataFrame:
+        pushes = batch.where(F.col("type") == S.PUSH)
+        return events_in_window(pushes, cohort, within, size=size).select("repo_name").distinct()
+
+    return _per_batch(events, table, checkpoint, hits)
 
 
 def read_labels(hits: DataFrame, cohort: DataFrame) -> DataFrame:
@@ -120,39 +107,23 @@ def read_labels(hits: DataFrame, cohort: DataFrame) -> DataFrame:
 
 
 def stream_contributor_months(
-    events: DataFrame,
-    cohort: DataFrame,
-    table: str,
-    checkpoint: str,
-    within: AnchoredWindow = EARLY,
-    lateness: str = "2 days",
+    events: DataFrame, cohort: DataFrame, table: str, checkpoint: str, within: AnchoredWindow = EARLY
 ) -> StreamingQuery:
-    """Running pushes per (repository, day, contributor).
+    """Pushes per (repository, month, contributor) and batch.
 
-    Day windows under a watermark retire from the state once ``lateness`` has passed; files
-    arriving later than that are not counted. Every batch writes the groups it changed.
+    Partials of all batches add up, so files may come in any order and however late.
     """
-    anchors = cohort.select("repo_name", "created_at")
-    side = F.broadcast(anchors) if fits(anchors, BROADCAST_ROWS) else anchors
-    days = (
-        events.where(F.col("type") == S.PUSH)
-        .withWatermark("event_ts", lateness)
-        .join(side, "repo_name")
-        .where(within.contains(F.col("event_ts"), F.col("created_at")))
-        .groupBy("repo_name", F.window("event_ts", "1 day").alias("day"), F.col("actor_login").alias("contributor"))
-        .agg(F.count("*").alias("commit_count"))
-    )
-    shape = lambda batch: batch.select(
-        "repo_name", F.col("day.start").alias("day"), "contributor", "commit_count"
-    )
-    return _per_batch(days, table, checkpoint, shape)
+    size = extent(anchors_of(cohort))
+
+    def partials(batch: DataFrame) -> DataFrame:
+        pushes = batch.where(F.col("type") == S.PUSH)
+        return events_in_window(pushes, cohort, within, size=size).groupBy(
+            "repo_name", F.date_format("event_ts", "yyyy-MM").alias("month"), F.col("actor_login").alias("contributor")
+        ).agg(F.count("*").alias("commit_count"))
+
+    return _per_batch(events, table, checkpoint, partials)
 
 
 def read_contributor_months(table: DataFrame) -> DataFrame:
-    """Contributor-month series: the last count written for each day, summed by month."""
-    latest = table.groupBy("repo_name", "day", "contributor").agg(
-        F.max_by("commit_count", "batch_id").alias("commit_count")
-    )
-    return latest.groupBy(
-        "repo_name", F.date_format("day", "yyyy-MM").alias("month"), "contributor"
-    ).agg(F.sum("commit_count").alias("commit_count"))
+    """The contributor-month series out of the partials written so far."""
+    return table.groupBy("repo_name", "month", "contributor").agg(F.sum("commit_count").alias("commit_count"))

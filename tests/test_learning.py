@@ -139,3 +139,9 @@ def test_one_hot_against_counts(spark):
     out = prep.one_hot(df, ["v"])
     assert out.columns == ["id", "v_b", "v_c"]
     assert out.agg(F.sum("v_b"), F.sum("v_c")).first() == (2, 1)
+
+
+def test_many_categories_are_ranked(spark):
+    df = spark.range(12_000).select("id", F.col("id").cast("string").alias("v"))
+    codes = {r.v: r.id for r in prep.label_encode(df.withColumn("id", F.col("v")), ["id"]).collect()}
+    assert [codes[v] for v in sorted(codes)] == list(range(12_000))

@@ -49,7 +49,7 @@ def test_restart_counts_each_file_once(spark, tmp_path, ts):
         stream = st.stream_archive(spark, str(folder), files_per_batch=1)
         st.drain(st.stream_activity(stream, cohort, *tables["activity"]))
         st.drain(st.stream_labels(stream, cohort, *tables["labels"]))
-        st.drain(st.stream_contributor_months(stream, cohort, *tables["months"], lateness="2000 days"))
+        st.drain(st.stream_contributor_months(stream, cohort, *tables["months"]))
 
     _write(folder, ts, 0)
     run()

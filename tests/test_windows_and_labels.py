@@ -99,3 +99,14 @@ def test_empty_cohort(spark, ts):
     cohort = spark.createDataFrame([], "repo_name string, created_at timestamp")
     events = _events(spark, [("1", "a/a", S.PUSH, ts("2024-01-01"))])
     assert win.events_in_window(events, cohort, first_days(3)).count() == 0
+
+
+def test_repeated_cohort_rows_count_once(spark, ts):
+    rows = [("e1", "a/1", "PushEvent", ts("2024-01-02")), ("e2", "a/1", "PushEvent", ts("2024-01-03"))]
+    events = _events(spark, rows)
+    once = spark.createDataFrame([("a/1", ts("2024-01-01"))], "repo_name string, created_at timestamp")
+    twice = once.unionAll(once)
+    for limit in (1_000_000, 0):
+        assert win.events_in_window(events, twice, max_broadcast_rows=limit).count() == 2
+    assert win.tracked(events, twice).count() == 2
+    assert [r.is_sustainable for r in lab.labels(events, twice).collect()] == [0, 0]
