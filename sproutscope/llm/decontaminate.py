@@ -11,6 +11,7 @@ nothing that the verification would accept.
 
 The hashes of the items are broadcast while a count shows that there are at most ``BROADCAST_SEEDS``
 of them. Beyond it, documents and items are joined by hash in a shuffle of (text, position, hash).
+Texts are cut into parts of a bounded number of tokens first, so a long text is many small rows.
 
 Defined cases: null and empty texts have no tokens and no overlap; items of fewer than ``LEAST_TOKENS``
 tokens (a line of a few common words would condemn clean documents) aren't searched; equal items are
@@ -25,7 +26,9 @@ from sproutscope.session import stage
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 6, 8, 9), (0, 1, 3, 4, 5))
 WINDOW = 13
 LEAST_TOKENS = 8
-BROADCAST_SEEDS = 1_000_000  # of some 60 bytes
+#: Own tokens of a part of a text, and those beyond that its masks and windows reach.
+PART, MARGIN = 4096, 2 * WINDOW
+BROADCAST_SEEDS = 1_000_000  # of some 300 bytes
 
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -41,33 +44,64 @@ def _seed(tokens: Column, at: Column, number: int) -> Column:
     return F.when(at + mask[-1] < F.size(tokens), hashed)
 
 
+def parts(rows: DataFrame) -> DataFrame:
+    """Rows with an array ``tokens`` as parts of ``PART`` tokens with ``MARGIN`` more on either side.
+
+    ``part``: the tokens, ``first``: the place of its first own token in it, ``base``: that token's
+    place in the text. So what a long text becomes is spread over rows of bounded size.
+    """
+    bases = F.sequence(F.lit(0), F.size("tokens") - 1, F.lit(PART))
+    low = lambda b: F.greatest(b - MARGIN, F.lit(0))
+    cut = lambda b: F.struct(F.slice("tokens", low(b) + 1, PART + 2 * MARGIN).alias("part"), (b - low(b)).alias("first"), b.alias("base"))
+    others = [c for c in rows.columns if c != "tokens"]
+    return rows.where(F.size("tokens") > 0).select(*others, F.inline(F.transform(bases, cut)))
+
+
 def seeds(rows: DataFrame) -> DataFrame:
-    """Rows with an array ``tokens`` as one row per position and mask, with ``at`` and ``seed``."""
-    places = F.sequence(F.lit(0), F.size("tokens") - 1)
-    placed = rows.where(F.size("tokens") > 0).select("*", F.explode(places).alias("at"))
-    all_masks = F.array(*[_seed(F.col("tokens"), F.col("at"), k) for k in range(len(MASKS))])
+    """Parts as one row per own position and mask, with ``place`` (in the part) and ``seed``."""
+    own = F.least(F.lit(PART), F.size("part") - F.col("first"))
+    placed = rows.select("*", F.explode(F.sequence(F.col("first"), F.col("first") + own - 1)).alias("place"))
+    all_masks = F.array(*[_seed(F.col("part"), F.col("place"), k) for k in range(len(MASKS))])
     return placed.select("*", F.explode(all_masks).alias("seed")).where("seed IS NOT NULL")
 
 
+def _around(tokens: Column, place: Column) -> Column:
+    """The tokens from ``WINDOW - 1`` before a place to as many after it; nulls beyond the ends."""
+    return F.array(*[F.get(tokens, place + k) for k in range(1 - WINDOW, WINDOW)])
+
+
 def items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, item): the tokens of each test item that is searched."""
-    cut = benchmark.select("item_id", token_hashes(F.col("text")).alias("item"))
-    return cut.where(F.size("item") >= LEAST_TOKENS)
+    """(item_id, tokens) of each test item that is searched."""
+    cut = benchmark.select("item_id", token_hashes(F.col("text")).alias("tokens"))
+    return cut.where(F.size("tokens") >= LEAST_TOKENS)
+
+
+def item_seeds(tests: DataFrame) -> DataFrame:
+    """(seed, item_id, item_at, width, item_near) of all positions and masks of test items."""
+    width = F.least(F.size("tokens"), F.lit(WINDOW)).alias("width")
+    laid = seeds(parts(tests.select("item_id", width, "tokens")))
+    return laid.select("seed", "item_id", (F.col("place") - F.col("first") + F.col("base")).alias("item_at"), "width", _around(F.col("part"), F.col("place")).alias("item_near"))
 
 
-def _matches(tokens: Column, item: Column, shift: Column) -> Column:
-    """Most equal tokens in a window of the item laid over the document with its start at ``shift``."""
-    equal = F.transform(item, lambda t, j: F.when((shift + j >= 0) & F.coalesce(F.get(tokens, F.greatest(shift + j, F.lit(0))) == t, F.lit(False)), 1).otherwise(0))
-    width = F.least(F.size(item), F.lit(WINDOW))
-    starts = F.sequence(F.lit(1), F.size(item) - width + 1)
-    return F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice(equal, s, width), F.lit(0), lambda total, e: total + e)))
+def _matches() -> Column:
+    """Most equal tokens in a window of the item that holds the seed's first token."""
+    equal = F.zip_with("item_near", "near", lambda a, b: F.when(a == b, 1).otherwise(0))
+    counts = F.transform(
+        F.sequence(F.lit(1), F.lit(2 * WINDOW) - F.col("width")),
+        lambda s: F.when(
+            F.get("item_near", s - 1).isNotNull() & F.get("item_near", s + F.col("width") - 2).isNotNull(),
+            F.aggregate(F.slice(equal, s, F.col("width")), F.lit(0), lambda total, e: total + e),
+        ).otherwise(0),
+    )
+    return F.array_max(counts)
 
 
 def _verified(hits: DataFrame) -> DataFrame:
-    """Of hits (tokens, item, at, item_at and more), those that verify, with matched and width."""
-    width = F.least(F.size("item"), F.lit(WINDOW))
-    found = hits.withColumns({"matched": _matches(F.col("tokens"), F.col("item"), F.col("at") - F.col("item_at")), "width": width})
-    return found.where("matched >= width - (width - 7) DIV 2")
+    """Of hits (near, item_near, width and more), those that verify, with ``matched``."""
+    # a filter on a random column isn't pushed into the join, which would take the join out of
+    # generated code and hold all positions of a part in memory
+    made = hits.withColumns({"matched": _matches(), "_apart": F.rand(0)})
+    return made.where("matched >= width - (width - 7) DIV 2 AND _apart >= 0").drop("_apart")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -75,16 +109,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROAD
 
     ``text_key`` is the text's md5, so repeated documents are found together.
     """
-    tests = items(benchmark)
-    index = stage(seeds(tests.select("item_id", "item", F.col("item").alias("tokens"))).select("seed", "item_id", "item", F.col("at").alias("item_at")), "seeds")
-    rows = docs.select(F.md5("text").alias("text_key"), token_hashes(F.col("text")).alias("tokens"))
+    index = stage(item_seeds(items(benchmark)), "seeds")
+    rows = parts(docs.select(F.md5("text").alias("text_key"), token_hashes(F.col("text")).alias("tokens")))
+    laid = seeds(rows)
+    near = _around(F.col("part"), F.col("place")).alias("near")
     if index.count() <= broadcast_seeds:
-        found = _verified(seeds(rows).join(F.broadcast(index), "seed"))
+        hits = laid.join(F.broadcast(index), "seed").select("text_key", "item_id", "width", "item_near", near)
     else:
-        laid = seeds(rows).join(index.select("seed", "item_id", "item_at"), "seed")
-        laid = laid.select("text_key", "item_id", (F.col("at") - F.col("item_at")).alias("at"), F.lit(0).alias("item_at")).distinct()
-        found = _verified(laid.join(rows.dropDuplicates(["text_key"]), "text_key").join(tests, "item_id"))
-    return found.groupBy("text_key", "item_id").agg(F.max("matched").alias("matched"), F.first("width").alias("width"))
+        found = laid.select("text_key", "base", "place", "seed").join(index, "seed")
+        narrow = found.select("text_key", "base", "place", "item_id", "width", "item_near").distinct()
+        hits = narrow.join(rows.dropDuplicates(["text_key", "base"]), ["text_key", "base"]).select("text_key", "item_id", "width", "item_near", near)
+    return _verified(hits).groupBy("text_key", "item_id").agg(F.max("matched").alias("matched"), F.first("width").alias("width"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

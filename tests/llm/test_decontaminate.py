@@ -34,8 +34,9 @@ def test_masks_miss_no_allowed_substitution(width):
         assert any(not any(s + m in wrong for m in mask) for mask in d.MASKS for s in range(width - mask[-1]))
 
 
-@pytest.mark.parametrize("limit", [d.BROADCAST_SEEDS, 0])
-def test_by_brute_force_on_both_paths(spark, docs, prose, limit):
+@pytest.mark.parametrize("limit,part", [(d.BROADCAST_SEEDS, d.PART), (0, d.PART), (d.BROADCAST_SEEDS, 7), (0, 11)])
+def test_by_brute_force_on_both_paths(spark, docs, prose, monkeypatch, limit, part):
+    monkeypatch.setattr(d, "PART", part)
     items = [(k, prose(f"item{k}", 8 + 3 * k)) for k in range(6)] + [(90, prose("item2", 14)), (91, None), (92, "too short")]
     pairs = [(k, prose(k, 80)) for k in range(8)]
     for k, (item_id, item) in enumerate(items[:6]):
