@@ -524,27 +524,27 @@ def _responses(t):
     )
 
 
-@check(
-    "gov1_governance",
-    """SELECT 'o/' || s_suppkey AS repo_name, s_suppkey % 2 = 0 AS has_contributing, s_suppkey % 3 = 0 AS has_code_of_conduct,
+GOVERNANCE_SQL = """SELECT 'o/' || s_suppkey AS repo_name, s_suppkey % 2 = 0 AS has_contributing, s_suppkey % 3 = 0 AS has_code_of_conduct,
          s_acctbal > 4000 AS has_license, s_suppkey % 5 < 2 AS has_cicd,
          CASE WHEN s_suppkey % 6 <> 0 THEN 'lang' || s_suppkey % 4 END AS primary_language,
          'spark,t' || s_suppkey % 7 AS topics
-       FROM supplier WHERE s_suppkey % 9 <> 0""",
-)
+       FROM supplier WHERE s_suppkey % 9 <> 0"""
+
+
+@check("gov1_governance", GOVERNANCE_SQL)
 def _(t):
     return gov.governance(_responses(t))
 
 
-@check(
-    "gov2_parent_metadata",
-    """SELECT 'o/' || s_suppkey AS repo_name, CASE WHEN s_suppkey % 4 <> 0 THEN 'o/' || s_nationkey END AS parent_repo,
+PARENT_SQL = """SELECT 'o/' || s_suppkey AS repo_name, CASE WHEN s_suppkey % 4 <> 0 THEN 'o/' || s_nationkey END AS parent_repo,
          CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey * 3 END AS parent_stars,
          CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey * 2 END AS parent_forks,
          CASE WHEN s_suppkey % 4 <> 0 THEN '2020-02-03 04:05:06' END AS parent_created_at,
          CASE WHEN s_suppkey % 4 <> 0 AND s_suppkey % 6 <> 0 THEN 'lang' || s_suppkey % 4 END AS parent_language
-       FROM supplier WHERE s_suppkey % 9 <> 0""",
-)
+       FROM supplier WHERE s_suppkey % 9 <> 0"""
+
+
+@check("gov2_parent_metadata", PARENT_SQL)
 def _(t):
     return rounded(gov.parent_meta(_responses(t)))
 

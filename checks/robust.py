@@ -5,13 +5,17 @@ from pyspark.sql import functions as F
 
 from checks.activity import ACTIVITY_SQL
 from checks.adapters import rounded, with_archive, with_commits
+from checks.cohorts import GOVERNANCE_SQL, PARENT_SQL, _responses
+from checks.labels import DATASET_SQL
 from checks.registry import check
 from sproutscope import schemas as S
 from sproutscope.operators import activity as act
+from sproutscope.operators import governance as gov
 from sproutscope.operators import prep, series
 from sproutscope.operators import training as tr
 from sproutscope.operators import windows as win
 from sproutscope.operators.features import assemble
+from sproutscope.plans import study
 from sproutscope.session import new_path
 from sproutscope.sources import events as src
 from sproutscope.sources import tables as tab
@@ -155,3 +159,19 @@ def _(t):
     again = GBTClassificationModel.load(path)
     both = tr.score(model, rows, names).select("c_custkey", F.col("score").alias("a")).join(tr.score(again, rows, names).select("c_custkey", F.col("score").alias("b")), "c_custkey")
     return both.agg(F.count("*").alias("rows"), F.every(F.col("a") == F.col("b")).alias("same"))
+
+
+@check(
+    "jon6_full_dataset",
+    with_archive(f"""
+SELECT data.*, has_contributing, has_code_of_conduct, has_license, has_cicd, primary_language, topics,
+  parent_repo, parent_stars, parent_forks, parent_created_at, parent_language
+FROM ({DATASET_SQL}) data LEFT JOIN ({GOVERNANCE_SQL}) g ON g.repo_name = data.repo_name
+LEFT JOIN ({PARENT_SQL}) p ON p.repo_name = data.repo_name
+"""),
+)
+def _(t):
+    """All columns of the study with the label, metadata out of landed responses."""
+    pushes = t.archive.where(F.col("type") == S.PUSH)
+    built = study.labelled_dataset(t.archive, t.cohort, gov.divergence(pushes, t.cohort), gov.governance_and_parent(_responses(t)))
+    return rounded(built)
