@@ -220,7 +220,8 @@ def linked_classes(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     pairs = stage(first_pairs(profiles), "pairs")
     texts = docs.select(node_of(F.col("text")).alias("node"), "text")
     wanted = pairs.select("node").union(pairs.select("pivot")).distinct()
-    needed = stage(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "pair-texts")
+    # their number grows with the corpus, so they are never broadcast
+    needed = stage(texts.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "pair-texts")
     done = labels = None
     while True:
         verified = stage(verify(pairs, needed), "verified")
