@@ -35,7 +35,7 @@ def creation_cohort(events: DataFrame, months=S.COHORT_MONTHS) -> DataFrame:
 
 
 def land_archive(spark: SparkSession, root: str, start: str, end: str, table: str) -> None:
-    """Hourly files of a date range into the month-partitioned event table."""
+    """Hourly files of a range of days into the event table; days landed before are replaced."""
     land_events(flatten_events(read_archive(spark, root, start, end)), table)
 
 

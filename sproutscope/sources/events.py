@@ -52,28 +52,41 @@ def in_file_dates(df: DataFrame, file_name, start: str, end: str) -> DataFrame:
     return df.where(day.between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
 
 
+def _parsed(reader, path) -> DataFrame:
+    """Events by the JSON source, which parses each line once for all filters and columns."""
+    return (
+        reader.schema(S.RAW_EVENT)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", S.CORRUPT)
+        .option("ignoreMissingFiles", "true")
+        .json(path)
+    )
+
+
 def read_archive(spark: SparkSession, root: str, start: str, end: str) -> DataFrame:
     """Hourly files of a date range; absent hours and malformed lines are passed over.
 
     The date predicate uses file metadata only, so files outside the range are not opened.
+    ``file_day`` is the day in a file's name.
     """
-    lines = in_file_dates(_lines(spark.read, root), F.col("_metadata.file_name"), start, end)
-    good, _bad = split_corrupt(parse_event_lines(lines))
+    name = F.col("_metadata.file_name")
+    found = in_file_dates(_parsed(spark.read, root), name, start, end)
+    good, _bad = split_corrupt(found.withColumn("file_day", F.regexp_extract(name, ARCHIVE_FILE_NAME, 1)))
     return good
 
 
 def stream_events(spark: SparkSession, folder: str, files_per_batch: int) -> DataFrame:
     """The rows of :func:`read_events` as files appear in ``folder``."""
-    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
-    return parse_event_lines(_lines(reader, folder))
+    return _parsed(spark.readStream.option("maxFilesPerTrigger", files_per_batch), folder)
 
 
 def flatten_events(raw: DataFrame) -> DataFrame:
     """Raw archive events to :data:`schemas.FLAT_EVENT`, parsing each payload once.
 
     Events without a repository or with an unreadable time are dropped; a missing actor
-    becomes the empty login.
+    becomes the empty login. A ``file_day`` passes through.
     """
+    kept = [c for c in raw.columns if c == "file_day"]
     about_issue = F.col("type").isin(S.ISSUE, S.ISSUE_COMMENT)
     body = raw.select(
         F.col("id").alias("event_id"),
@@ -82,6 +95,7 @@ def flatten_events(raw: DataFrame) -> DataFrame:
         F.coalesce(F.col("actor.login"), F.lit("")).alias("actor_login"),
         strict_timestamp(F.col("created_at")).alias("event_ts"),
         F.from_json("payload", S.ARCHIVE_PAYLOAD).alias("p"),
+        *kept,
     ).where(F.col("repo_name").isNotNull() & F.col("event_ts").isNotNull())
     subject = lambda field: F.when(about_issue, F.col(f"p.issue.{field}")).otherwise(
         F.col(f"p.pull_request.{field}")
@@ -98,22 +112,29 @@ def flatten_events(raw: DataFrame) -> DataFrame:
         strict_timestamp(subject("created_at")).alias("opened_at"),
         F.col("p.pull_request.merged").alias("merged"),
         F.transform("p.commits", lambda c: c["author"]["email"]).alias("commit_emails"),
+        *kept,
     )
 
 
+#: Parts of a month by repository, and of a repository by event.
+REPO_BUCKETS, EVENT_BUCKETS = 16, 4
+
+
 def land_events(flat: DataFrame, path: str) -> None:
-    """Append flat events to a table partitioned by month and clustered by repository.
+    """Write flat events to a table partitioned by month and sorted by repository inside its files.
 
-    Clustering on ``(ym, repo_name, event_id)`` gives narrow row-group ranges per
-    repository, and the last key splits a repository too large for one task.
+    With ``file_day`` the table is partitioned by it too, and days that are landed again replace
+    what was there, so a run that was broken off can be repeated. Without it rows are appended.
+    Events are dealt by hash in one pass, a repository too large for one task over several.
     """
-    (
-        flat.repartitionByRange("ym", "repo_name", "event_id")
-        .sortWithinPartitions("ym", "repo_name")
-        .write.mode("append")
-        .partitionBy("ym")
-        .parquet(path)
-    )
+    keys = [c for c in ("ym", "file_day") if c in flat.columns]
+    bucket = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    dealt = flat.repartition("ym", bucket("repo_name", REPO_BUCKETS), bucket("event_id", EVENT_BUCKETS))
+    writer = dealt.sortWithinPartitions(*keys, "repo_name").write.partitionBy(*keys)
+    if "file_day" in keys:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        writer.mode("append").parquet(path)
 
 
 def scan_months(
