@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Rows of one piece of work inside a batch; a long text still makes a piece of its own size only.
-PIECE_BYTES = 8 << 20
-BATCH_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

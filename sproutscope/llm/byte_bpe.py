@@ -31,7 +31,7 @@ OVERLAP_CHARS = 1 << 10
 #: A pre-token is certain if it starts this many characters before the end of a chunk or earlier.
 MARGIN = 4
 #: Distinct words whose ids a worker remembers, twice over.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 #: A space before white space, where a text can't be cut by plain spaces.
 _UNSURE = re.compile(r" (?=\s)| \Z")
