@@ -216,7 +216,13 @@ def _(t):
 # ---------------------------------------------------------------------------
 # Splits, oversampling, training
 # ---------------------------------------------------------------------------
-@check("ml1_train_test_split")
+@check(
+    "ml1_train_test_split",
+    with_study("""
+SELECT repo_name, CASE WHEN ('0x' || substr(md5('42/' || repo_name), 1, 8))::BIGINT % 10000 < 2000 THEN 'test' ELSE 'train' END AS side
+FROM study
+"""),
+)
 def _(t):
     train, test = tr.split(t.study, "repo_name")
     return train.select("repo_name", F.lit("train").alias("side")).unionByName(

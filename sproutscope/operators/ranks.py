@@ -1,59 +1,15 @@
 """Global order statistics without a global sort in one task.
 
 Values are first collapsed to ``(value, tallies)``, so repeated values cost nothing. The
-distinct values are then cut into buckets of similar weight; running tallies are taken inside
-each bucket and shifted by the totals of the buckets before it. Only the edges and totals,
-at most ``buckets`` rows per series, are ever gathered.
+distinct values are dealt out by ranges, as many as the session's shuffle partitions; running
+tallies are taken inside each range and shifted by the totals of the ranges before it, of
+which there is one row per range and series.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
-ACCURACY = 10_000
-GENERATED_CUTS = 256
-
-
-def _edges(rows: DataFrame, buckets: int) -> dict[str, list[float]]:
-    """Approximate quantiles per series, fixed once so that every use sees the same edges.
-
-    Taken over the rows, in one pass of mergeable sketches: a bucket then holds few rows
-    besides copies of one value, hence few distinct values.
-    """
-    probabilities = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    found = (
-        rows.groupBy("series")
-        .agg(F.percentile_approx("value", probabilities, F.lit(ACCURACY)).alias("edges"))
-        .collect()
-    )
-    return {row["series"]: sorted(set(row["edges"])) for row in found}
-
-
-def _cuts_below(cuts: list[float], offset: int = 0) -> Column:
-    """Number of cuts below the value, by bisection: a few comparisons in generated code."""
-    if not cuts:
-        return F.lit(offset)
-    middle = len(cuts) // 2
-    lower, upper = cuts[:middle], cuts[middle + 1 :]
-    return F.when(F.col("value") <= F.lit(cuts[middle]), _cuts_below(lower, offset)).otherwise(
-        _cuts_below(upper, offset + middle + 1)
-    )
-
-
-def _scanned_below(cuts: list[float]) -> Column:
-    """The same as one array scan: slower per row, but its code does not grow with the cuts."""
-    edges = F.array(*[F.lit(c) for c in cuts])
-    return F.size(F.filter(edges, lambda cut: cut < F.col("value")))
-
-
-def _bucket(edges: dict[str, list[float]]) -> Column:
-    """Number of edges of the row's series below its value."""
-    small = sum(map(len, edges.values())) <= GENERATED_CUTS
-    ladder = F.lit(0)
-    for series, cuts in edges.items():
-        below = _cuts_below(cuts) if small else _scanned_below(cuts)
-        ladder = F.when(F.col("series") == series, below).otherwise(ladder)
-    return ladder
+from sproutscope.session import stage
 
 
 def running_tallies(
@@ -61,14 +17,13 @@ def running_tallies(
     value: str | Column,
     tallies: dict[str, Column],
     series: Column | None = None,
-    buckets: int = BUCKETS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Exact running sums over the ascending distinct values of each series.
 
     Returns ``(series, value, *tallies, before_*, total_*)``: the tallies of a value, their
     sums over all smaller values, and over the whole series. ``tallies`` are additive
-    aggregates; ``series`` takes few distinct values (classes, column names). Null values
-    are left out.
+    aggregates. Null values are left out. ``ranges`` sets the number of ranges.
     """
     value = F.col(value) if isinstance(value, str) else value
     series = F.lit("all") if series is None else series
@@ -78,7 +33,10 @@ def running_tallies(
     distinct = rows.groupBy("series", "value").agg(
         *[tally.alias(name) for name, tally in tallies.items()]
     )
-    bucketed = distinct.withColumn("_bucket", _bucket(_edges(rows, buckets)))
+    keys = ["series", "value"]
+    dealt = distinct.repartitionByRange(ranges, *keys) if ranges else distinct.repartitionByRange(*keys)
+    # staged: the ranges must be the same for the totals and for the rows
+    bucketed = stage(dealt.withColumn("_bucket", F.spark_partition_id()), "ranges")
     names = list(tallies)
     inside = (
         Window.partitionBy("series", "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,7 +58,7 @@ def running_tallies(
     local = bucketed.select(
         "*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_local_{n}") for n in names]
     )
-    # bounded: at most ``buckets`` rows per series
+    # bounded: at most one row per range and series that meet, ranges plus series in all
     return local.join(F.broadcast(offsets), ["series", "_bucket"]).select(
         "series",
         "value",

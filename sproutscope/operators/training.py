@@ -20,7 +20,8 @@ def split(
     df: DataFrame, key: str = "repo_name", test: float = 0.2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """``(train, test)`` by a hash of the key; a repository always falls on the same side."""
-    in_test = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000)) < int(round(test * 10_000))
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key)))
+    in_test = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10_000 < int(round(test * 10_000))
     return df.where(~in_test), df.where(in_test)
 
 

@@ -94,7 +94,7 @@ def test_running_tallies_over_many_buckets(spark):
     random.seed(11)
     rows = [(random.choice("ab"), random.choice([1.0, 2.5, random.random() * 100])) for _ in range(4000)]
     df = spark.createDataFrame(rows, "g string, x double")
-    placed = ranks.running_tallies(df, "x", {"rows": F.count("*")}, F.col("g"), buckets=16)
+    placed = ranks.running_tallies(df, "x", {"rows": F.count("*")}, F.col("g"), ranges=16)
     for g in "ab":
         values = [x for h, x in rows if h == g]
         for row in placed.where(F.col("series") == g).collect():
