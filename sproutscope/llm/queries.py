@@ -83,7 +83,7 @@ def op1(spark, sf_dir):
 def op2(spark, sf_dir):
     """The language of every document, by models of the documents outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+    return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected", (~F.col("rejected")).alias("kept"))
 
 
 @query("op3_near_duplicates")
