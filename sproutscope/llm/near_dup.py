@@ -264,7 +264,8 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = profiles.select("doc_id", "node", (F.size("bands") > 0).alias("has_words"))
     named = stage(rows.where("has_words").join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("class")), "members")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
-    totals = named.groupBy("class").agg(least.alias("least"), F.count("*").alias("n_in_class"))
+    # staged, so that the join below can split a class that holds very many rows
+    totals = stage(named.groupBy("class").agg(least.alias("least"), F.count("*").alias("n_in_class")), "classes-named")
     joined = named.join(totals, "class").select(
         "doc_id",
         "node",
