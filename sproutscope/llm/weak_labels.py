@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sproutscope.llm import quality_rules
-from sproutscope.llm.batches import as_bytes, bounded_batches, pieces
+from sproutscope.llm.batches import Remembered, as_bytes, bounded_batches, once, pieces
 from sproutscope.session import stage
 
 #: name: (condition of a bad vote, condition of a good vote) over the measurements of quality rules
@@ -45,6 +45,8 @@ BAD, NONE, GOOD = 0, 1, 2
 DIMENSIONS = 1 << 16
 TRAINING_ROWS = 20_000
 EM_STEPS = 50
+#: Distinct words whose features a worker remembers, twice over.
+REMEMBERED = 100_000
 LEAST_PRECISION = 0.97
 ITERATIONS = 40
 KEEP = 0.5
@@ -120,10 +122,14 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, dtype=np.int64), np.empty(0)
-    distinct = {w: zlib.crc32(w) % DIMENSIONS for w in set(words)}
-    shapes = {w: zlib.crc32(b"shape " + _DIGITS.sub(b"0", _LETTERS.sub(b"a", w))) % DIMENSIONS for w in distinct}
+    known = once(("word features",), lambda: Remembered(REMEMBERED))
+    known.age()
+    for w in set(words):
+        if w not in known.new and known.older(w) is None:
+            shape = _DIGITS.sub(b"0", _LETTERS.sub(b"a", w))
+            known.new[w] = zlib.crc32(w) % DIMENSIONS, zlib.crc32(b"shape " + shape) % DIMENSIONS
     repeated = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    own = [distinct[w] for w in words] + [shapes[w] for w in words] + [zlib.crc32(b"repeat") % DIMENSIONS] * repeated
+    own = [f for w in words for f in known.new[w]] + [zlib.crc32(b"repeat") % DIMENSIONS] * repeated
     keys, counts = np.unique(np.array(own, dtype=np.int64), return_counts=True)
     return keys, np.sqrt(counts / len(own))
 
@@ -164,7 +170,8 @@ def classify(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c not in new]
     row = F.struct(F.lit(0).alias("__none"), *others).alias("row")  # apart from names of measurements
     voted = docs.select(row, "text", _measured("text").alias("m")).select("row", "text", "m.*").select("row", "text", pattern_of_votes().alias("pattern"))
-    counted = voted.where("pattern IS NOT NULL").groupBy("pattern").count().toPandas().sort_values("pattern")
+    # no filter before the count: it would be pushed below the measurements and repeat them
+    counted = voted.groupBy("pattern").count().toPandas().dropna().astype("int64").sort_values("pattern")
     if counted.empty:
         scored = voted.withColumns({"p_weak": F.lit(0.0), "score": F.lit(0.0)})
         return _result(scored, others)
