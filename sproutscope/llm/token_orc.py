@@ -10,6 +10,7 @@ all kept, in the order of their texts; an empty table gives empty files; other c
 """
 
 import os
+import re
 import zlib
 from array import array
 
@@ -22,10 +23,12 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from sproutscope.llm.batches import Remembered, add_columns, bounded_batches, once, pieces
-from sproutscope.llm.byte_bpe import REMEMBERED, Pieces
+from sproutscope.llm.byte_bpe import Pieces
 from sproutscope.session import new_path
 
 END_ID = 2
+#: Distinct words whose ids a worker remembers, twice over.
+REMEMBERED = 400_000
 #: Rows between two entries of the row index, and so the least that a lookup reads.
 INDEX_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
@@ -42,6 +45,9 @@ STORED = T.StructType(
 )
 
 
+_ENDED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
+
+
 class Words:
     """Ids of texts by a tokenizer file; each distinct word goes through the tokenizer once.
 
@@ -72,7 +78,11 @@ class Words:
             first, *rest = Pieces.words(text)
             parts.append([first, *[" " + w for w in rest]])
         new = [w for w in {w for words in parts for w in words if w not in ids} if self.ids.older(w) is None]
-        ids.update(zip(new, self._encoded(new), strict=True))
+        # punctuation after letters is a piece of its own, so it need not make a new word of every word
+        split = {w: m.groups() if (m := _ENDED.fullmatch(w)) else (w,) for w in new}
+        unknown = list({p for both in split.values() for p in both if p not in ids and self.ids.older(p) is None})
+        ids.update(zip(unknown, self._encoded(unknown), strict=True))
+        ids.update((w, b"".join([ids[p] for p in both])) for w, both in split.items() if len(both) > 1)
         return [b"".join([ids[w] for w in words]) for words in parts]
 
 
