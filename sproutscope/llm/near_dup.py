@@ -9,11 +9,14 @@ than all registers hold. Two texts agree in a register with the probability Jacc
 
 Exact copies are one text (node) from the start. Texts that share a band are not paired with each
 other but with the band's pivot, the one that meets the most texts over all bands, so a group of n
-texts costs n comparisons. That alone could miss a link between two texts of which one isn't linked
-to the pivot. A pair of similarity 0.8 shares 13 of 32 bands on average, and a pivot that is less than
-``NEAR`` to it is in all of them with a chance under ``1e-6``. Texts nearer to a pivot are grouped again by
-shingles that the pivot lacks, as long as a group holds several classes, and those groups get pivots
-in turn, until a round of them brings no new link.
+texts costs n comparisons. Texts nearer than ``NEAR`` to a pivot are grouped again by shingles that the
+pivot lacks, as long as a group holds several classes, and those groups get pivots in turn, until a
+round of them brings no new link.
+
+What pivots don't show is looked up pair by pair: two texts of a band that still are in different
+classes are compared by their signatures, in blocks of bounded size, and exactly if at least ``AGREE``
+of 128 registers agree. That leaves out a pair of similarity 0.8 with a chance of ``1e-8``, like a pair
+that shares no band.
 
 Defined cases: texts that are null or have no word are alone in their class; texts of fewer than five
 words have one shingle of all their words; repeated rows are copies; classes are named by their least
@@ -36,6 +39,10 @@ SIMILARITY = 0.8
 NEAR = 0.6
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
+#: Registers in which a pair of similarity 0.8 agrees but for a chance of 1e-8.
+AGREE = 75
+#: Texts of one band that are compared by signature in one piece; a larger band is several.
+BLOCK = 1024
 
 _U64 = np.uint64
 _STEP = [_U64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1) for k in range(SHINGLE + 1)]
@@ -126,12 +133,16 @@ PROFILE = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("node", T.BinaryType()),
         T.StructField("bands", T.ArrayType(T.LongType(), False)),
+        T.StructField("signature", T.BinaryType()),
     ]
 )
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, bands) of each row; no bands where a text has no word."""
+    """(doc_id, node, bands, signature) of each row; no bands where a text has no word.
+
+    ``signature`` has a byte of each register, so it agrees wherever the register does.
+    """
 
     def run(batches):
         for batch in batches:
@@ -142,7 +153,8 @@ def profile(docs: DataFrame) -> DataFrame:
                 found = signatures(owner, np.concatenate([k for k, _ in sets]), np.concatenate([w for _, w in sets]), len(sets))
                 keys = band_keys(found).view(np.int64)
                 bands = [k if s else [] for k, s in zip(keys, sizes, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(bands, pa.list_(pa.int64()))], names=PROFILE.names)
+                short = pa.array([x.tobytes() for x in mixed(found).astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(bands, pa.list_(pa.int64())), short], names=PROFILE.names)
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"), "text")
@@ -155,15 +167,69 @@ def _pivots(members: DataFrame, key: str, rank: Column) -> DataFrame:
     return members.join(chosen, key).where("pivot != node").select("pivot", "node").distinct()
 
 
-def first_pairs(profiles: DataFrame) -> DataFrame:
-    """(pivot, node): each text with the pivots of its bands."""
+def band_members(profiles: DataFrame) -> DataFrame:
+    """(band, node, n) of the texts of every band that several share."""
     bands = profiles.where(F.size("bands") > 0).select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = stage(bands.join(shared, "band"), "band-members")
+    return stage(bands.join(shared, "band"), "band-members")
+
+
+def first_pairs(members: DataFrame) -> DataFrame:
+    """(pivot, node): each text with the pivots of its bands."""
     meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
     return _pivots(members.join(meets, "node"), "band", F.col("meets"))
 
 
+def _agreeing(signature: np.ndarray, kind: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different kinds whose signatures agree; of two blocks, a row of each."""
+    two = block.min() != block.max()
+    order = np.lexsort((kind, block))
+    left = order[block[order] == block.min()]
+    right = order[block[order] == block.max()]
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    found = []
+    for at in range(0, len(left), 32):
+        a = left[at : at + 32]
+        b = right if two else right[place[right] > place[a[0]]]
+        if kind[a[0]] == kind[a[-1]]:  # rows of a block are in order of their kinds
+            b = b[kind[b] != kind[a[0]]]
+        if len(b):
+            near = np.count_nonzero(signature[a][:, None] == signature[b][None], axis=2) >= AGREE
+            near &= (kind[a][:, None] != kind[b][None]) & (place[a][:, None] < place[b][None])
+            i, j = np.nonzero(near)
+            found.append((a[i], b[j]))
+    if not found:
+        return order[:0], order[:0]
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
+def rest_pairs(members: DataFrame, profiles: DataFrame, done: DataFrame, labels: DataFrame) -> DataFrame:
+    """(pivot, node) of all texts of different classes that share a band, weren't compared yet and agree in their signatures."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        nodes = table.column("node").to_pylist()
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(len(nodes), REGISTERS)
+        kind = table.column("class").dictionary_encode().combine_chunks().indices.to_numpy()
+        i, j = _agreeing(signature, kind, table.column("block").to_numpy())
+        pairs = [(max(nodes[x], nodes[y]), min(nodes[x], nodes[y])) for x, y in zip(i, j, strict=True)]
+        return pa.table({"pivot": pa.array([x for x, _ in pairs], pa.binary()), "node": pa.array([y for _, y in pairs], pa.binary())})
+
+    named = members.join(labels, "node", "left").select("band", "n", "node", F.coalesce("component", "node").alias("class"))
+    named = stage(named, "band-classes")
+    mixed_bands = named.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("band")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    rows = named.join(mixed_bands, "band").withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    rows = rows.join(profiles.where(F.size("bands") > 0).select("node", "signature").dropDuplicates(["node"]), "node")
+    # every pair of blocks of a band meets once
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "class", "signature")
+    pairs = rows.groupBy("band", "low", "high").applyInArrow(run, "pivot binary, node binary").distinct()
+    seen = done.select(F.greatest("pivot", "node").alias("pivot"), F.least("pivot", "node").alias("node"))
+    return pairs.join(seen, ["pivot", "node"], "left_anti")
+
+
 VERIFIED = T.StructType(
     [
         T.StructField("pivot", T.BinaryType()),
@@ -217,22 +283,28 @@ def next_pairs(verified: DataFrame, done: DataFrame, labels: DataFrame) -> DataF
 
 def linked_classes(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """(node, component) of all texts that have a link."""
-    pairs = stage(first_pairs(profiles), "pairs")
+    members = band_members(profiles)
+    pairs = stage(first_pairs(members), "pairs")
     texts = docs.select(node_of(F.col("text")).alias("node"), "text")
     wanted = pairs.select("node").union(pairs.select("pivot")).distinct()
     # their number grows with the corpus, so they are never broadcast
     needed = stage(texts.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "pair-texts")
+    linked = lambda seen: seen.where(F.col("similarity") >= SIMILARITY)
     done = labels = None
     while True:
         verified = stage(verify(pairs, needed), "verified")
         seen = verified.select("pivot", "node", "similarity")
         done = seen if done is None else done.unionByName(seen)
-        if labels is not None and seen.where(F.col("similarity") >= SIMILARITY).isEmpty():
-            return labels
-        labels = components(done.where(F.col("similarity") >= SIMILARITY).select("pivot", "node"))
+        if labels is not None and linked(seen).isEmpty():
+            break
+        labels = components(linked(done).select("pivot", "node"))
         pairs = stage(next_pairs(verified, done, labels), "pairs")
         if pairs.isEmpty():
-            return labels
+            break
+    rest = stage(rest_pairs(members, profiles, done, labels), "rest-pairs")
+    # every text of a shared band has been a pivot or met one, so all texts are there
+    more = linked(stage(verify(rest, needed), "verified").select("pivot", "node", "similarity"))
+    return labels if more.isEmpty() else components(linked(done).unionByName(more).select("pivot", "node"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -98,6 +98,69 @@ def test_second_rounds_find_links_that_a_pivot_misses(docs, prose):
     assert got[2] == got[3] == 2 and got[1] == 1 and got[15] == 1
 
 
+def mosaic(prose, n, chosen=40, of=60):
+    """Distinct texts of blocks in fixed order, and some that are one block away from another."""
+    blocks = [prose(f"block{k}", 20) for k in range(of)]
+    rng = np.random.default_rng(5)
+    sets = [sorted(rng.choice(of, chosen, replace=False)) for _ in range(n)]
+    for k in range(n // 10):
+        spare = [b for b in range(of) if b not in sets[k]]
+        sets.append(sorted([*sets[k][:3], *sets[k][4:], spare[k % len(spare)]]))
+    return [(i, " ".join(blocks[b] for b in s)) for i, s in enumerate(sets)]
+
+
+def jaccard_classes(texts):
+    """Classes by all pairs, for texts that repeat no shingle: there the similarity is Jaccard's."""
+    sets = [n.shingles(t) for t in texts]
+    assert all((w == 1).all() for _, w in sets)
+    known = np.unique(np.concatenate([k for k, _ in sets]))
+    has = np.zeros((len(sets), len(known)), dtype=np.float32)
+    for row, (keys, _) in zip(has, sets, strict=True):
+        row[np.searchsorted(known, keys)] = 1
+    both, size = has @ has.T, has.sum(axis=1)
+    linked = both >= n.SIMILARITY * (size[:, None] + size[None] - both)
+    label = np.arange(len(sets))
+    while True:
+        after = np.array([label[row].min() for row in linked])
+        if (after == label).all():
+            return label.tolist()
+        label = after
+
+
+def test_mosaics_by_brute_force(docs, prose):
+    """Texts that share blocks meet in bands whose pivots are far from both."""
+    pairs = mosaic(prose, 500)
+    got = {r.doc_id: r.class_id for r in n.classes(docs(pairs)).collect()}
+    want = jaccard_classes([t for _, t in pairs])
+    assert len(set(want)) < len(pairs)
+    assert [got[i] for i, _ in pairs] == want
+
+
+def test_a_pair_is_compared_though_its_pivot_is_far(docs, prose):
+    """The one band that two similar texts share has a pivot unlike both."""
+    base = prose("base", 100)
+    pairs = [(1, base), (2, edited(base, 1, 1)), (3, prose("pivot", 100))] + [(10 + k, prose(k, 100)) for k in range(3)]
+    table = docs(pairs)
+    same = bytearray(n.REGISTERS)
+    found = [(i, "[7]" if i < 3 else "[7, 8]" if i == 3 else "[8]", same if i < 3 else bytearray([i]) * n.REGISTERS) for i, _ in pairs]
+    rows = table.sparkSession.createDataFrame(found, "doc_id long, bands string, signature binary")
+    profiles = rows.join(table, "doc_id").selectExpr("doc_id", "unhex(md5(text)) AS node", "from_json(bands, 'array<bigint>') AS bands", "signature")
+    got = n.linked_classes(table, profiles).collect()
+    want = {r.node for r in profiles.where("doc_id < 3").collect()}
+    assert {r.node for r in got} == want and len({r.component for r in got}) == 1
+
+
+def test_pairs_of_blocks_meet_once():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 256, (6, n.REGISTERS), dtype=np.uint8)
+    signature = base[rng.integers(0, 6, 150)]
+    kind = rng.integers(0, 40, 150)
+    for block in (np.zeros(150, int), rng.integers(2, 4, 150)):
+        i, j = n._agreeing(signature, kind, block)
+        want = {(a, b) for a, b in itertools.combinations(range(150), 2) if kind[a] != kind[b] and (signature[a] == signature[b]).all() and (block.min() == block.max() or block[a] != block[b])}
+        assert len(i) == len(want) and {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == want
+
+
 def test_filter_keeps_one_of_each_class(docs, prose):
     base = prose(1, 80)
     table = docs([(5, base), (3, edited(base, 1, 1)), (9, prose(2, 80)), (3, edited(base, 1, 1)), (6, None), (7, ""), (8, "")])
