@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sproutscope.llm import quality_rules
+from sproutscope.llm.quality_rules import MEASURES, measure
 from sproutscope.llm.batches import Remembered, as_bytes, bounded_batches, once, pieces
 from sproutscope.session import stage
 
@@ -58,14 +58,14 @@ MORE = ["n_distinct", "n_stops", "n_letters"]
 _OTHER = bytes(b for b in range(128) if not chr(b).isalpha()) + bytes(range(0x80, 0xC0))  # and no byte that goes on a character
 
 
-@F.arrow_udf(T.StructType([T.StructField(m, T.LongType()) for m in [*quality_rules.MEASURES, *MORE]]))
+@F.arrow_udf(T.StructType([T.StructField(m, T.LongType()) for m in [*MEASURES, *MORE]]))
 def _measured(text: pa.Array) -> pa.Array:
     rows = []
     for t in as_bytes(text):
         words = (t or b"").split()
-        rows.append((*quality_rules.measure(t), len(set(words)), sum(w[-1:] in b".!?" for w in words), len((t or b"").translate(None, _OTHER))))
-    table = np.array(rows, dtype=np.int64).reshape(-1, len(quality_rules.MEASURES) + len(MORE))
-    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in table.T], names=[*quality_rules.MEASURES, *MORE])
+        rows.append((*measure(t), len(set(words)), sum(w[-1:] in b".!?" for w in words), len((t or b"").translate(None, _OTHER))))
+    table = np.array(rows, dtype=np.int64).reshape(-1, len(MEASURES) + len(MORE))
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in table.T], names=[*MEASURES, *MORE])
 
 
 def pattern_of_votes() -> Column:
