@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sproutscope.llm import byte_bpe, chat_prefixes, decontaminate, language_id, link_trust, near_dup, quality_rules, token_orc, warc_revisits, weak_labels
+from sproutscope.llm import byte_bpe, chat_prefixes, conversation_repair, decontaminate, hard_negatives, language_id, link_trust, mixing, near_dup, quality_rules, token_orc, warc_revisits, weak_labels
 from sproutscope.session import stage, tune
 
 _QUERIES: dict[str, Callable] = {}
@@ -234,3 +234,76 @@ def op10(spark, sf_dir):
     extra = spark.sql("SELECT -1L AS conv_id, t.* FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)").withColumn("text", F.lit(tricky))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat_prefixes.digests(stage(chat_prefixes.format_turns(turns), "chat"))
+
+
+NEGATIVES_SQL = f"""WITH
+e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v,
+      row_number() OVER () AS r FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, a.label AS own, b.vec_id AS id, b.label,
+        list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+      FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.r <> b.r),
+p AS (SELECT r, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, id) AS k FROM s WHERE own = label),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, p.k ORDER BY s.score DESC, s.id) AS rank
+      FROM p JOIN s USING (r) WHERE k <= {hard_negatives.POSITIVES} AND own <> label
+        AND {hard_negatives.LOW} * positive_score <= 100 * score AND 100 * score <= {hard_negatives.HIGH} * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {hard_negatives.NEGATIVES}"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11(spark, sf_dir):
+    """Hard negatives of every anchor and positive of the embeddings."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.valid_rows(table(spark, sf_dir, "embeddings"), moved), 50)
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults drawn by the hash of conversation and turn; nulls are one space."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    drawn = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20
+    rows = conversations.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), drawn.alias("drawn")).where("drawn != 0")
+    told = F.when(F.col("drawn") == 1, "").when(F.col("drawn") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("drawn") == 4, "user").otherwise(F.col("role"))
+    times = F.array_repeat(F.lit(0), F.when(F.col("drawn") == 3, 2).otherwise(1))
+    return rows.select("conv_id", "turn", role.alias("role"), told.alias("text"), F.explode(times).alias("copy")).drop("copy")
+
+
+@query("op12_conversation_repair")
+def op12(spark, sf_dir):
+    """Faults of every damaged conversation, its cheapest edits and the hash of what they leave."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.repair(damaged(turns))
+    names = turns.select(F.col("conv_id").cast("long").alias("name")).distinct()
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    joined = names.join(found, names["name"].eqNullSafe(found["conv_id"]), "left").fillna(0, subset=counts)
+    nothing = F.sha2(F.lit(""), 256)
+    return joined.select(F.col("name").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+MIXING_SQL = rf"""WITH
+d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+t AS (SELECT source, sum(size)::HUGEINT AS source_size FROM d GROUP BY source),
+s AS (SELECT *, [{", ".join(map(str, mixing.WEIGHTS))}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)}]::HUGEINT AS weight FROM t),
+-- in the order of their bounds a weight, a source is at its bound if the rest after those before it gives it more
+o AS (SELECT *, sum(source_size) OVER () - {mixing.MOST_COPIES} * coalesce(sum(source_size) OVER before, 0) AS words, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weights
+      FROM s WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, weight * words > {mixing.MOST_COPIES} * source_size * weights AS over FROM o),
+r AS (SELECT (SELECT sum(source_size) FROM f)::HUGEINT - {mixing.MOST_COPIES} * coalesce(sum(source_size) FILTER (over), 0)::HUGEINT AS words,
+        ((SELECT sum(weight) FROM f) - coalesce(sum(weight) FILTER (over), 0))::HUGEINT AS weights FROM f),
+k AS (SELECT source, source_size, CASE WHEN over THEN ({mixing.MOST_COPIES} * source_size)::DOUBLE ELSE (weight * words)::DOUBLE / weights::DOUBLE END AS target,
+        CASE WHEN source_size = 0 THEN 0 WHEN over THEN {mixing.MOST_COPIES} ELSE weight * r.words END::HUGEINT AS above,
+        CASE WHEN source_size = 0 OR over THEN 1 ELSE source_size * r.weights END::HUGEINT AS below,
+        ('0x' || substr(md5('{mixing.SEED}/' || coalesce('=' || source, '')), 1, 8))::BIGINT % {mixing.OFFSETS} AS start
+      FROM (SELECT source, source_size::HUGEINT AS source_size, weight, over FROM f), r),
+i AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) - 1)::HUGEINT AS i FROM d)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * copies)::BIGINT AS taken, copies FROM (
+  SELECT i.doc_id, i.size, k.source_size, k.target,
+    (((i + 1) * above * {mixing.OFFSETS} + below * start) // (below * {mixing.OFFSETS}) - (i * above * {mixing.OFFSETS} + below * start) // (below * {mixing.OFFSETS}))::BIGINT AS copies
+  FROM i JOIN k ON i.source IS NOT DISTINCT FROM k.source)"""
+
+
+@query("op13_source_mix", MIXING_SQL)
+def op13(spark, sf_dir):
+    """How often and with how many words every document is in the mix of sources."""
+    sized = mixing.with_size(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    found = mixing.allot(sized)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
