@@ -64,22 +64,28 @@ def valid_rows(vectors: DataFrame, label=None) -> DataFrame:
 
 
 def blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``rows`` (vec_id, label, vec) packed; a block has a number of its own."""
+    """``rows`` (vec_id, label, vec) packed; a block has a number of its own.
+
+    The rows are dealt by hash to as many blocks as their number takes, so blocks are full
+    whatever the files and partitions are, and no larger however many rows are alike.
+    """
 
     def run(batches):
-        part, seq, held = TaskContext.get().partitionId(), 0, []
+        part, seq, number, held = TaskContext.get().partitionId(), 0, None, []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "label", "vec")), strict=True):
-                held.append(row)
-                if len(held) == block_rows:
+            for own, *row in zip(*(batch.column(c).to_pylist() for c in ("dealt", "vec_id", "label", "vec")), strict=True):
+                if held and (own != number or len(held) == 2 * block_rows):
                     yield _packed(held, part << 32 | seq)
                     held, seq = [], seq + 1
+                number = own
+                held.append(row)
         if held:
             yield _packed(held, part << 32 | seq)
 
     bounded_batches(rows.sparkSession)
-    # dealt evenly, whatever the files and however many rows are alike
-    dealt = rows.withColumn("uid", F.monotonically_increasing_id()).repartition("uid")
+    n_blocks = max(1, -(-rows.count() // block_rows))
+    dealt = rows.withColumn("dealt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)))
+    dealt = dealt.repartition("dealt").sortWithinPartitions("dealt")
     return stage(dealt.mapInArrow(run, _BLOCK), "blocks")
 
 
@@ -128,7 +134,7 @@ def _meetings(packed: DataFrame, anchors: DataFrame, n_anchors: int, anchor_rows
     all tasks have work, and a block of rows goes to one salt of each group.
     """
     groups = max(1, -(-n_anchors // anchor_rows))
-    salts = max(1, -(-2 * slices_of(packed) // groups))
+    salts = max(1, min(packed.count(), -(-2 * slices_of(packed) // groups)))
     dealt = anchors.withColumn("group", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
     # bounded: a group has about ``anchor_rows`` anchors, however many there are
     grouped = dealt.groupBy("group").agg(F.collect_list(F.struct(*anchors.columns)).alias("anchors"))
