@@ -9,14 +9,15 @@ than all registers hold. Two texts agree in a register with the probability Jacc
 
 Exact copies are one text (node) from the start. Texts that share a band are not paired with each
 other but with the band's pivot, the one that meets the most texts over all bands, so a group of n
-texts costs n comparisons. Texts nearer than ``NEAR`` to a pivot are grouped again by shingles that the
-pivot lacks, as long as a group holds several classes, and those groups get pivots in turn, until a
-round of them brings no new link.
+texts costs n comparisons, and most links show there.
 
-What pivots don't show is looked up pair by pair: two texts of a band that still are in different
-classes are compared by their signatures, in blocks of bounded size, and exactly if at least ``AGREE``
-of 128 registers agree. That leaves out a pair of similarity 0.8 with a chance of ``1e-8``, like a pair
-that shares no band.
+Bands whose texts are still in different classes are settled exactly, inside tasks. Their texts are
+gathered into families by the pivot that each meets most often, so that a family of near texts travels
+once and not once a band; families are cut into blocks of bounded texts and shingles, and every two
+blocks of a family meet once. Texts of different families that share a band meet by that band. A task
+counts the shared shingles of all its pairs by matrix products and returns no pairs but a forest of the
+links between classes, so rows grow with the texts. The comparisons of a family grow with the square of its
+size where its texts are near each other and yet not linked.
 
 Defined cases: texts that are null or have no word are alone in their class; texts of fewer than five
 words have one shingle of all their words; repeated rows are copies; classes are named by their least
@@ -35,14 +36,16 @@ from sproutscope.session import stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Texts at least this similar to a pivot are looked at again by what they have beyond it.
-NEAR = 0.6
+#: Room for rounding in a sum of similarities.
+ROUNDING = 1e-9
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 #: Registers in which a pair of similarity 0.8 agrees but for a chance of 1e-8.
 AGREE = 75
-#: Texts of one band that are compared by signature in one piece; a larger band is several.
-BLOCK = 1024
+#: Texts and shingles that are compared in one piece; a larger group is several.
+BLOCK, BLOCK_SHINGLES = 1024, 400_000
+#: Shingles of a matrix product at a time.
+STRIP = 4096
 
 _U64 = np.uint64
 _STEP = [_U64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1) for k in range(SHINGLE + 1)]
@@ -204,30 +207,138 @@ def _agreeing(signature: np.ndarray, kind: np.ndarray, block: np.ndarray) -> tup
     return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
-def rest_pairs(members: DataFrame, profiles: DataFrame, done: DataFrame, labels: DataFrame) -> DataFrame:
-    """(pivot, node) of all texts of different classes that share a band, weren't compared yet and agree in their signatures."""
+def _incidence(rows: np.ndarray, columns: np.ndarray, n: int, first: int, end: int) -> np.ndarray:
+    """A 0/1 matrix of the entries whose column is in ``first..end``; entries are in order of their columns."""
+    low, high = np.searchsorted(columns, [first, end])
+    out = np.zeros((n, end - first), dtype=np.float32)
+    out[rows[low:high], columns[low:high] - first] = 1
+    return out
+
+
+def shared_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set on the left has in common with each one on the right."""
+    sides, known = [], []
+    for sets in (left, right):
+        keys = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        sides.append((np.repeat(np.arange(len(sets)), [len(k) for k in sets]), keys))
+        known.append(np.unique(keys))
+    both = np.intersect1d(*known, assume_unique=True)
+    entries = []
+    for rows, keys in sides:
+        at = np.searchsorted(both, keys)
+        has = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == keys) if len(both) else np.zeros(len(keys), bool)
+        order = np.argsort(at[has], kind="stable")
+        entries.append((rows[has][order], at[has][order]))
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for first in range(0, len(both), STRIP):
+        end = min(first + STRIP, len(both))
+        out += _incidence(*entries[0], len(left), first, end) @ _incidence(*entries[1], len(right), first, end).T
+    return out
+
+
+def _forest(kind: np.ndarray, pairs) -> list[tuple[int, int]]:
+    """Those of ``pairs`` (left, right, test) that join two kinds not yet joined; a test is made only then."""
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    chosen = []
+    for i, j, test in pairs:
+        a, b = find(int(kind[i])), find(int(kind[j]))
+        if a != b and (test is None or test(i, j)):
+            parent[a] = b
+            chosen.append((i, j))
+    return chosen
+
+
+REST = "node binary, class binary, family binary, signature binary, keys binary, weights binary, n_keys long"
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        nodes = table.column("node").to_pylist()
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(len(nodes), REGISTERS)
-        kind = table.column("class").dictionary_encode().combine_chunks().indices.to_numpy()
-        i, j = _agreeing(signature, kind, table.column("block").to_numpy())
-        pairs = [(max(nodes[x], nodes[y]), min(nodes[x], nodes[y])) for x, y in zip(i, j, strict=True)]
-        return pa.table({"pivot": pa.array([x for x, _ in pairs], pa.binary()), "node": pa.array([y for _, y in pairs], pa.binary())})
 
+def _with_shingles(rest: DataFrame) -> DataFrame:
+    """Texts of the rest as sets: ``weights`` is null where all are 1."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                sets = [shingles(t) for t in part.column("text").to_pylist()]
+                keys = pa.array([k.tobytes() for k, _ in sets], pa.binary())
+                weights = pa.array([None if (w == 1).all() else w.tobytes() for _, w in sets], pa.binary())
+                sizes = pa.array([len(k) for k, _ in sets], pa.int64())
+                columns = [part.column(c) for c in ("node", "class", "family", "signature")] + [keys, weights, sizes]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in REST.split(", ")])
+
+    return rest.select("node", "class", "family", "signature", "text").mapInArrow(run, REST)
+
+
+def _links(table: pa.Table) -> pa.Table:
+    """A forest of the links between classes among the pairs of a block, or of a row of one with a row of another."""
+    table = table.combine_chunks()
+    column = lambda c: table.column(c).to_pylist()
+    nodes, keys, weights = column("node"), [np.frombuffer(k, np.uint64) for k in column("keys")], column("weights")
+    kind = table.column("class").dictionary_encode().combine_chunks().indices.to_numpy()
+    family = table.column("family").dictionary_encode().combine_chunks().indices.to_numpy()
+    block, across = table.column("block").to_numpy(), column("across")[0]
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    flat = np.array([w is None for w in weights])
+    sets = lambda k: (keys[k], np.ones(len(keys[k])) if weights[k] is None else np.frombuffer(weights[k]))
+    wanted = lambda i, j: (kind[i] != kind[j]) & ((family[i] != family[j]) | (not across))
+    # where no shingle is repeated the similarity is Jaccard's, and exact in whole numbers: 9 * shared >= 4 * (sum of sizes)
+    a, b = left[flat[left]], right[flat[right]]
+    size = np.array([len(k) for k in keys], dtype=np.float32)
+    near = 9 * shared_shingles([keys[i] for i in a], [keys[j] for j in b]) >= 4 * (size[a][:, None] + size[b][None])
+    near &= wanted(a[:, None], b[None])
+    i, j = np.nonzero(near)
+    i, j = a[i], b[j]
+    _, first = np.unique(kind[i].astype(np.int64) * (len(kind) + 1) + kind[j], return_index=True)
+    pairs = [(x, y, None) for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True)]
+    if not flat.all():
+        signature = np.frombuffer(b"".join(column("signature")), dtype=np.uint8).reshape(len(nodes), REGISTERS)
+        test = lambda x, y: similarity(sets(x), sets(y)) >= SIMILARITY - ROUNDING
+        pairs += [(x, y, test) for x, y in zip(*_agreeing(signature, kind, block), strict=True) if wanted(x, y) and not (flat[x] and flat[y])]
+    chosen = _forest(kind, pairs)
+    return pa.table({"pivot": pa.array([nodes[x] for x, _ in chosen], pa.binary()), "node": pa.array([nodes[y] for _, y in chosen], pa.binary())})
+
+
+def _blocks_of(n: Column, n_keys: Column) -> Column:
+    return F.ceil(F.greatest(n / BLOCK, n_keys / BLOCK_SHINGLES))
+
+
+def rest_links(members: DataFrame, profiles: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(pivot, node): links that join all classes which share a band and should be one."""
     named = members.join(labels, "node", "left").select("band", "n", "node", F.coalesce("component", "node").alias("class"))
     named = stage(named, "band-classes")
     mixed_bands = named.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("band")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    rows = named.join(mixed_bands, "band").withColumn("block", F.pmod(F.xxhash64("node"), blocks))
-    rows = rows.join(profiles.where(F.size("bands") > 0).select("node", "signature").dropDuplicates(["node"]), "node")
-    # every pair of blocks of a band meets once
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "class", "signature")
-    pairs = rows.groupBy("band", "low", "high").applyInArrow(run, "pivot binary, node binary").distinct()
-    seen = done.select(F.greatest("pivot", "node").alias("pivot"), F.least("pivot", "node").alias("node"))
-    return pairs.join(seen, ["pivot", "node"], "left_anti")
+    rest = stage(named.join(mixed_bands, "band"), "rest-members")
+    # a text's family: the text that most often is the pivot of its bands, and so on from there
+    meets = rest.groupBy("node").agg(F.sum("n").alias("meets"))
+    ranked = rest.join(meets, "node")
+    pivots = ranked.groupBy("band").agg(F.max(F.struct("meets", "node"))["node"].alias("pivot"))
+    led = ranked.join(pivots, "band").groupBy("node", "pivot").agg(F.count("*").alias("times"))
+    leaders = stage(led.groupBy("node").agg(F.max(F.struct("times", "pivot"))["pivot"].alias("pivot")), "leaders")
+    families = components(leaders.where("pivot != node"))
+    nodes = rest.groupBy("node").agg(F.first("class").alias("class"))
+    placed = nodes.join(families.withColumnRenamed("component", "family"), "node", "left").withColumn("family", F.coalesce("family", "node"))
+    signed = profiles.where(F.size("bands") > 0).select("node", "signature").dropDuplicates(["node"])
+    sets = stage(_with_shingles(placed.join(signed, "node").join(texts, "node")), "rest-sets")
+    # inside a family
+    sizes = [F.count("*").alias("n"), F.sum("n_keys").alias("n_keys"), F.min("class").alias("a"), F.max("class").alias("b")]
+    own = sets.groupBy("family").agg(*sizes).where("a != b").select("family", F.hex("family").alias("group"), _blocks_of(F.col("n"), F.col("n_keys")).alias("blocks"))
+    inside = sets.join(own, "family").withColumn("across", F.lit(False))
+    # between families, by the bands that have several
+    described = rest.select("band", "node").join(sets.select("node", "family", "n_keys"), "node")
+    sizes = [F.count("*").alias("n"), F.sum("n_keys").alias("n_keys"), F.min("family").alias("a"), F.max("family").alias("b")]
+    shared = described.groupBy("band").agg(*sizes).where("a != b").select("band", F.col("band").cast("string").alias("group"), _blocks_of(F.col("n"), F.col("n_keys")).alias("blocks"))
+    between = rest.select("band", "node").join(shared, "band").join(sets, "node").withColumn("across", F.lit(True))
+    columns = ["group", "blocks", "across", "node", "class", "family", "signature", "keys", "weights"]
+    rows = inside.select(*columns).unionByName(between.select(*columns)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # every two blocks of a group meet once
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
+    return rows.groupBy("group", "low", "high").applyInArrow(_links, "pivot binary, node binary").distinct()
 
 
 VERIFIED = T.StructType(
@@ -235,13 +346,12 @@ VERIFIED = T.StructType(
         T.StructField("pivot", T.BinaryType()),
         T.StructField("node", T.BinaryType()),
         T.StructField("similarity", T.DoubleType()),
-        T.StructField("extra", T.ArrayType(T.LongType(), False)),
     ]
 )
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs with their exact similarity; ``extra``: shingles of the node that the pivot lacks, where both are near."""
+    """Pairs with their exact similarity."""
 
     def run(batches):
         known = (None, None)
@@ -251,11 +361,8 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 for pivot, node, pivot_text, text in zip(*(part.column(c).to_pylist() for c in ("pivot", "node", "pivot_text", "text")), strict=True):
                     if known[0] != pivot:
                         known = pivot, shingles(pivot_text)
-                    own = shingles(text)
-                    found = similarity(known[1], own)
-                    extra = np.setdiff1d(own[0], known[1][0], assume_unique=True) if found >= NEAR else own[0][:0]
-                    rows.append((pivot, node, found, extra.view(np.int64)))
-                kinds = [pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.int64())]
+                    rows.append((pivot, node, similarity(known[1], shingles(text))))
+                kinds = [pa.binary(), pa.binary(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=VERIFIED.names)
 
     with_text = pairs.join(texts, "node")
@@ -263,24 +370,6 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_text.join(pivot_texts, "pivot").select("pivot", "node", "pivot_text", "text").mapInArrow(run, VERIFIED)
 
 
-def next_pairs(verified: DataFrame, done: DataFrame, labels: DataFrame) -> DataFrame:
-    """(pivot, node) of different classes that may be linked though their pivot didn't show it.
-
-    Two texts near a pivot can be more similar to each other than to it by shingles that both have and
-    the pivot lacks, so they are grouped by those, and each group of several classes gets a pivot.
-    """
-    near = verified.where(F.col("similarity") >= NEAR)
-    named = near.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
-    split = lambda groups: groups.agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").drop("a", "b")
-    spread = named.join(split(named.groupBy("pivot")), "pivot").select("pivot", "node", "similarity", "class", F.explode("extra").alias("shingle"))
-    spread = stage(spread.select(F.xxhash64("pivot", "shingle").alias("group"), "node", "similarity", "class"), "extras")
-    members = spread.join(split(spread.groupBy("group")), "group")
-    chosen = members.groupBy("group").agg(F.max(F.struct("similarity", "node", "class")).alias("p"))
-    pairs = members.join(chosen, "group").where("class != p.class").select(F.greatest("p.node", "node").alias("pivot"), F.least("p.node", "node").alias("node")).distinct()
-    seen = done.select(F.greatest("pivot", "node").alias("pivot"), F.least("pivot", "node").alias("node"))
-    return pairs.join(seen, ["pivot", "node"], "left_anti")
-
-
 def linked_classes(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """(node, component) of all texts that have a link."""
     members = band_members(profiles)
@@ -289,22 +378,12 @@ def linked_classes(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     wanted = pairs.select("node").union(pairs.select("pivot")).distinct()
     # their number grows with the corpus, so they are never broadcast
     needed = stage(texts.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "pair-texts")
-    linked = lambda seen: seen.where(F.col("similarity") >= SIMILARITY)
-    done = labels = None
-    while True:
-        verified = stage(verify(pairs, needed), "verified")
-        seen = verified.select("pivot", "node", "similarity")
-        done = seen if done is None else done.unionByName(seen)
-        if labels is not None and linked(seen).isEmpty():
-            break
-        labels = components(linked(done).select("pivot", "node"))
-        pairs = stage(next_pairs(verified, done, labels), "pairs")
-        if pairs.isEmpty():
-            break
-    rest = stage(rest_pairs(members, profiles, done, labels), "rest-pairs")
+    verified = stage(verify(pairs, needed), "verified")
+    found = verified.where(F.col("similarity") >= SIMILARITY - ROUNDING).select("pivot", "node")
+    labels = components(found)
     # every text of a shared band has been a pivot or met one, so all texts are there
-    more = linked(stage(verify(rest, needed), "verified").select("pivot", "node", "similarity"))
-    return labels if more.isEmpty() else components(linked(done).unionByName(more).select("pivot", "node"))
+    more = stage(rest_links(members, profiles, needed, labels), "rest-links")
+    return labels if more.isEmpty() else components(found.unionByName(more))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -171,3 +171,43 @@ def test_filter_keeps_one_of_each_class(docs, prose):
 
 def test_empty_table(docs):
     assert n.classes(docs([])).count() == 0 and n.filter_documents(docs([])).count() == 0
+
+
+def test_shared_shingles_by_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9000, size).astype(np.uint64)) for size in (0, 1, 5, 300, 4000, 7000, 7000)]
+    found = n.shared_shingles(sets[:4], sets[2:])
+    assert found.tolist() == [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:4]]
+    assert n.shared_shingles([], sets).shape == (0, 7)
+
+
+def test_a_large_band_of_near_texts_gives_no_more_rows_than_texts(spark, prose):
+    """Texts that all meet in one band, some linked in small classes, most not linked at all."""
+    size = 6000
+    base, rng = prose("base", 60).split(), np.random.default_rng(8)
+    texts = []
+    for k in range(size):
+        words, group = base[:], k // 3 if k % 10 else size + k
+        for at in np.random.default_rng(group).choice(58, 5, replace=False):
+            words[at] = f"x{group}y{at}"
+        texts.append(" ".join([*words[:59], f"z{k}"]))
+    rows = [(i, t, bytearray(rng.integers(0, 256, n.REGISTERS, dtype=np.uint8))) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, signature binary")
+    profiles = table.selectExpr("doc_id", "unhex(md5(text)) AS node", "array(7L) AS bands", "signature")
+    nodes = table.selectExpr("unhex(md5(text)) AS node", "text")
+    found = n.rest_links(n.band_members(profiles), profiles, nodes, spark.createDataFrame([], "node binary, component binary")).collect()
+    assert len(found) < 2 * size
+    want = jaccard_classes(texts)
+    assert 1 < len(set(want)) < size
+    name = {r.node: r.doc_id for r in profiles.collect()}
+    parent = list(range(size))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in found:
+        parent[find(name[r.pivot])] = find(name[r.node])
+    got = {}
+    assert [got.setdefault(find(k), k) for k in range(size)] == want
