@@ -1,176 +1,145 @@
-"""Synthetic minority oversampling with exact nearest neighbours.
-
-Identical rows are folded to one vector with its number of copies. Vectors are ordered by
-their distance to the centre and cut into blocks. A block first finds neighbours within
-itself, which bounds how far any better neighbour can be; since distances to the centre
-differ by no more than the distance between two vectors, only a contiguous range of blocks
-can hold one. Each pair of blocks returns at most ``k`` candidates per vector.
+"""Synthetic minority oversampling with neighbours by hashed random projections.
+
+Identical rows are folded to one vector with its number of copies. In each of several tables a vector has
+a code, one bit per seeded random direction, and the vectors lie in the order of their codes; neighbours
+mostly share a long prefix of them. Overlapping windows of bounded rows run over each order, and the
+distances inside a window are exact, so a vector has at most two windows of candidates per table however
+many vectors share a code. The best candidates of all tables, and then the neighbours of neighbours, are
+kept. Up to one window of vectors the result is exact; beyond that it is the true one for most.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sproutscope.operators.ranks import running_tallies
 from sproutscope.session import stage
 
-BLOCK_ROWS = 1024
+#: Vectors that are compared with each other at once, and orders that they are laid out in.
+WINDOW_ROWS, TABLES = 512, 6
 COPIES_PER_TASK_ROW = 10_000
 
 _VECTOR = "array<double>"
 
 
-def _matrix(rows) -> np.ndarray:
-    return np.array([np.asarray(r, dtype="float64") for r in rows])
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all rows of ``a`` to all rows of ``b``, feature by feature."""
-    squares = np.zeros((len(a), len(b)))
-    for column in range(a.shape[1]):
-        squares += (a[:, column, None] - b[None, :, column]) ** 2
-    return np.sqrt(squares)
-
-
 def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
     """``(vec, copies)``: distinct feature vectors."""
     vec = F.array(*[F.col(f).cast("double") for f in features])
     return df.groupBy(vec.alias("vec")).agg(F.count("*").alias("copies"))
 
 
-def _with_radius(vectors: DataFrame, width: int) -> DataFrame:
-    """Adds ``radius``, the distance to the mean vector."""
-    centre = vectors.agg(*[F.avg(F.col("vec")[i]).alias(f"c{i}") for i in range(width)]).first()
-    at_centre = F.array(*[F.lit(float(c)) for c in centre])
-    squared = F.aggregate(
-        F.zip_with("vec", at_centre, lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x
-    )
-    return vectors.withColumn("radius", F.sqrt(squared))
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _blocks(vectors: DataFrame, rows: int, block_rows: int) -> tuple[DataFrame, DataFrame, list[float]]:
-    """Blocks of about ``block_rows`` vectors ordered by radius, their ``parts``, the edges.
+def _laid_out(vectors: DataFrame, width: int, tables: int, bits: int, seed: int) -> DataFrame:
+    """(table, code, along, id, vec): each vector once per table, with its bits and its place beside them."""
+    centre = np.array(vectors.agg(*[F.avg(F.col("vec")[i]) for i in range(width)]).first(), dtype=np.float64)
+    directions = np.random.default_rng(seed).normal(size=(tables, bits + 1, width))  # bounded: log of the rows, not the rows
 
-    A radius shared by many vectors makes a band too large for one block; it is divided
-    into parts by hash.
-    """
-    bands = max(1, -(-rows // block_rows))
-    edges: list[float] = []
-    if bands > 1:
-        probabilities = F.array(*[F.lit(i / bands) for i in range(1, bands)])
-        found = vectors.agg(F.percentile_approx("radius", probabilities, F.lit(10 * bands))).first()[0]
-        edges = sorted(set(found))
-    banded = vectors.withColumn("band", _band(F.col("radius"), edges))
-    parts = banded.groupBy("band").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
-    # bounded: one row per band
-    placed = banded.join(F.broadcast(parts), "band").withColumn(
-        "part", F.pmod(F.xxhash64("vec"), F.col("parts"))
-    )
-    packed = placed.groupBy("band", "part").agg(
-        F.collect_list("vec").alias("vecs"),
-        F.collect_list("radius").alias("radii"),
-        F.collect_list("copies").alias("copies"),
-        F.min("radius").alias("least"),
-        F.max("radius").alias("most"),
-    )
-    return stage(packed, "blocks"), stage(parts, "parts"), edges
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(bits, dtype=np.int64)[::-1]
+        for batch in batches:
+            points = _matrix(batch.column("vec")) - centre
+            for table in range(tables):
+                sides = points @ directions[table].T
+                code = (sides[:, :bits] > 0) @ weights if bits else np.zeros(len(points), dtype=np.int64)
+                columns = [pa.array(np.full(len(points), table, dtype=np.int32)), pa.array(code), pa.array(sides[:, bits])]
+                yield pa.RecordBatch.from_arrays([*columns, batch.column("id"), batch.column("vec")], names=["table", "code", "along", "id", "vec"])
 
+    return vectors.select("id", "vec").mapInArrow(run, f"table int, code long, along double, id long, vec {_VECTOR}")
 
-def _band(radius, edges: list[float]):
-    if not edges:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < radius))
 
+def _closest(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, distances) of the ``k`` nearest others of every point, nearest first."""
+    n = len(points)
+    centred = points - points.mean(axis=0)
+    squares = (centred**2).sum(axis=1)
+    rough = squares[:, None] + squares[None] - 2 * (centred @ centred.T)
+    np.fill_diagonal(rough, np.inf)
+    # products of large numbers round, so some more are measured exactly
+    picked = np.argpartition(rough, min(k + 8, n - 1) - 1, axis=1)[:, : min(k + 8, n - 1)]
+    apart = np.sqrt(((points[:, None] - points[picked]) ** 2).sum(axis=2))
+    order = np.argsort(apart, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(picked, order, axis=1), np.take_along_axis(apart, order, axis=1)
 
-def _bounded(blocks: DataFrame, k: int) -> DataFrame:
-    """Adds to each block the distance of every vector's k-th neighbour inside the block
-    (``bounds``), beyond which no better one lies, and the radii ``low``..``high`` in reach."""
 
-    def per_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bounds = []
-            for vecs in batch.vecs:
-                points = _matrix(vecs)
-                if len(points) > k:
-                    bounds.append(np.partition(_distances(points, points), k, axis=1)[:, k])
-                else:
-                    bounds.append(np.full(len(points), np.inf))
-            yield pd.DataFrame({"band": batch.band, "part": batch.part, "bounds": bounds})
-
-    bounds = blocks.select("band", "part", "vecs").mapInPandas(
-        per_block, f"band int, part long, bounds {_VECTOR}"
-    )
-    bounded = blocks.join(bounds, ["band", "part"])
-    # room for rounding in the comparison of radii and distances
-    slack = lambda r, b: F.lit(1e-9) * (F.lit(1.0) + F.abs(r) + b)
-    return bounded.select(
-        "*",
-        F.array_min(F.zip_with("radii", "bounds", lambda r, b: r - b - slack(r, b))).alias("low"),
-        F.array_max(F.zip_with("radii", "bounds", lambda r, b: r + b + slack(r, b))).alias("high"),
-    )
+_FOUND = "id long, others array<struct<distance:double,other:bigint>>"
 
 
-def nearest(vectors: DataFrame, width: int, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact ``k`` nearest other vectors: ``(vec, near)``, ``near`` sorted (distance, vec, copies)."""
-    vectors = stage(_with_radius(vectors, width), "vectors")
-    blocks, parts, edges = _blocks(vectors, vectors.count(), block_rows)
-    bounded = stage(_bounded(blocks, k), "bounded")
-    reach = bounded.select(
-        "band", "part",
-        F.explode(F.sequence(_band(F.col("low"), edges), _band(F.col("high"), edges))).alias("other_band"),
-    )
-    pairs = reach.join(parts.withColumnRenamed("band", "other_band"), "other_band").select(
-        "band", "part", "other_band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other_part"),
-    )
-    mine = bounded.select("band", "part", "vecs", "radii", "bounds")
-    theirs = blocks.select(
-        F.col("band").alias("other_band"), F.col("part").alias("other_part"),
-        F.col("vecs").alias("other_vecs"), F.col("copies").alias("other_copies"), "least", "most",
-    )
-    met = pairs.join(mine, ["band", "part"]).join(theirs, ["other_band", "other_part"])
+def _in_windows(laid: DataFrame, k: int, window: int) -> DataFrame:
+    """(id, others): the ``k`` nearest in each window of each table; windows overlap by half."""
+
+    def found(ids: np.ndarray, points: np.ndarray) -> pa.RecordBatch:
+        places, apart = _closest(points, k)
+        near = pa.StructArray.from_arrays([pa.array(apart.ravel()), pa.array(ids[places].ravel())], names=["distance", "other"])
+        offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * places.shape[1])
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, near)], names=["id", "others"])
 
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, ids, points, fresh = None, None, None, 0  # fresh: rows at the end that no window has had
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                radii = np.asarray(row.radii, dtype="float64")
-                bounds = np.asarray(row.bounds, dtype="float64")
-                bounds = bounds + 1e-9 * (1.0 + np.abs(radii) + bounds)
-                near = np.flatnonzero((radii - bounds <= row.most) & (radii + bounds >= row.least))
-                if not len(near):
-                    continue
-                others, copies = _matrix(row.other_vecs), np.asarray(row.other_copies)
-                apart = _distances(_matrix([row.vecs[i] for i in near]), others)
-                if (row.band, row.part) == (row.other_band, row.other_part):
-                    apart[np.arange(len(near)), near] = np.inf
-                keep = min(k, len(others))
-                picked = np.argpartition(apart, keep - 1, axis=1)[:, :keep]
-                rows = np.repeat(np.arange(len(near)), keep)
-                columns = picked.ravel()
-                found = apart[rows, columns]
-                useful = np.isfinite(found) & (found <= bounds[near[rows]])
-                if not useful.any():
-                    continue
-                rows, columns, found = rows[useful], columns[useful], found[useful]
-                yield pd.DataFrame(
-                    {
-                        "vec": [row.vecs[near[i]] for i in rows],
-                        "distance": found,
-                        "near_vec": [row.other_vecs[j] for j in columns],
-                        "near_copies": copies[columns],
-                    }
-                )
-
-    found = met.mapInPandas(
-        candidates, f"vec {_VECTOR}, distance double, near_vec {_VECTOR}, near_copies long"
-    )
-    # at most k candidates per pair of blocks, none farther than the vector's own bound
-    ranked = F.slice(
-        F.array_sort(F.collect_list(F.struct("distance", "near_vec", "near_copies"))), 1, k
-    )
-    return found.groupBy("vec").agg(ranked.alias("near"))
+            tables, all_ids, vecs = batch.column("table").to_numpy(), batch.column("id").to_numpy(), _matrix(batch.column("vec"))
+            at = 0
+            while at < len(tables):
+                if tables[at] != table or ids is None:
+                    if fresh and len(ids) > 1:
+                        yield found(ids, points)
+                    table, ids, points, fresh = tables[at], all_ids[:0], vecs[:0], 0
+                same = int(np.searchsorted(tables[at:], table, side="right"))
+                take = min(same, window - len(ids))
+                ids, points = np.concatenate([ids, all_ids[at : at + take]]), np.concatenate([points, vecs[at : at + take]])
+                at, fresh = at + take, fresh + take
+                if len(ids) == window:
+                    yield found(ids, points)
+                    ids, points, fresh = ids[window // 2 :], points[window // 2 :], 0
+        if fresh and len(ids) > 1:
+            yield found(ids, points)
+
+    return laid.mapInArrow(run, _FOUND)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of all lists of an id; their number is bounded by the tables."""
+    return found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("others")))), 1, k).alias("others"))
+
+
+def _neighbours_of_neighbours(best: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(id, others) measured exactly for the neighbours of each id's neighbours: at most ``k * k``."""
+    pairs = best.select("id", F.explode(F.col("others.other")).alias("other"))
+    around = best.select(F.col("id").alias("other"), F.col("others.other").alias("next"))
+    further = pairs.join(around, "other").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
+    wanted = best.join(further, "id").select("id", F.explode(F.array_except("next", F.col("others.other"))).alias("other")).where("other != id")
+    points = vectors.select("id", "vec")
+    met = wanted.join(points, "id").join(points.withColumnsRenamed({"id": "other", "vec": "other_vec"}), "other")
+    squares = F.aggregate(F.zip_with("vec", "other_vec", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+    return met.select("id", F.array(F.struct(F.sqrt(squares).alias("distance"), "other")).alias("others"))
+
+
+def nearest(vectors: DataFrame, width: int, k: int, window: int = WINDOW_ROWS, tables: int = TABLES, seed: int = 42) -> DataFrame:
+    """The ``k`` nearest other vectors: ``(vec, near)``, ``near`` sorted (distance, vec, copies).
+
+    ``vectors`` are distinct. Exact for up to ``window`` of them.
+    """
+    vectors = stage(vectors.withColumn("id", F.monotonically_increasing_id()), "vectors")
+    rows = vectors.count()
+    exact = rows <= window
+    tables, bits = (1, 0) if exact else (tables, min(48, math.ceil(math.log2(rows / window)) + 3))
+    parts = max(1, rows * tables // (8 * window))
+    laid = _laid_out(vectors, width, tables, bits, seed)
+    laid = laid.repartitionByRange(parts, "table", "code", "along", "id").sortWithinPartitions("table", "code", "along", "id")
+    best = stage(_best(_in_windows(laid, k, window), k), "near")
+    if not exact:
+        best = stage(_best(best.unionByName(_neighbours_of_neighbours(best, vectors, k)), k), "near")
+    named = vectors.select(F.col("id").alias("other"), F.col("vec").alias("near_vec"), F.col("copies").alias("near_copies"))
+    near = best.select("id", F.explode("others").alias("o")).select("id", "o.*").join(named, "other")
+    near = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("distance", "near_vec", "near_copies"))).alias("near"))
+    return vectors.join(near, "id").select("vec", "near")
 
 
 def _uniform(seed: int, *parts):
@@ -184,7 +153,7 @@ def smote(
     label: str = "label",
     k: int = 5,
     seed: int = 42,
-    block_rows: int = BLOCK_ROWS,
+    window: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Original rows plus synthetic positives until both classes have the same size.
 
@@ -203,7 +172,7 @@ def smote(
     if wanted <= 0 or k < 1:
         return original
     vectors = stage(_vectors(df.where(F.col(label) == 1), features), "minority")
-    near = nearest(vectors, len(features), k, block_rows)
+    near = nearest(vectors, len(features), k, window, seed=seed)
     # identical rows are each other's nearest; the rest of the k places follow by distance
     itself = F.array_repeat(F.col("vec"), F.least(F.col("copies") - 1, F.lit(k)).cast("int"))
     others = F.flatten(

@@ -18,25 +18,45 @@ def rows(spark):
     return spark.createDataFrame(data, "repo_name string, label int, a double, b double, c double")
 
 
-def test_nearest_is_exact_over_many_blocks(spark):
-    rng = np.random.default_rng(8)
-    points = rng.normal(size=(300, 4)).round(3)
+def _recall(spark, points, k, **sizes):
+    """Share of the true distances that are found; every distance given must be a true one."""
     df = spark.createDataFrame([(list(map(float, p)), 1) for p in points], "vec array<double>, copies long")
-    near = sm.nearest(df, 4, k=5, block_rows=40)
-    assert near.count() == len(points)
-    for row in near.collect():
-        apart = np.sort(np.sqrt(((points - np.array(row.vec)) ** 2).sum(axis=1)))[1:6]
-        assert np.allclose([n.distance for n in row.near], apart)
-
-
-def test_nearest_with_one_shared_radius(spark):
-    """All points on a sphere: one band, cut into parts."""
-    angles = np.linspace(0, 2 * np.pi, 121)[:-1]
-    points = np.stack([np.cos(angles), np.sin(angles)], axis=1)
-    df = spark.createDataFrame([(list(map(float, p)), 1) for p in points], "vec array<double>, copies long")
-    for row in sm.nearest(df, 2, k=2, block_rows=16).collect():
-        apart = np.sort(np.sqrt(((points - np.array(row.vec)) ** 2).sum(axis=1)))[1:3]
-        assert np.allclose([n.distance for n in row.near], apart)
+    got = {tuple(r.vec): r.near for r in sm.nearest(df, points.shape[1], k, **sizes).collect()}
+    assert len(got) == len(points)
+    right = 0
+    for p in points:
+        apart = np.sort(np.sqrt(((points - p) ** 2).sum(axis=1)))[1 : k + 1]
+        near = got[tuple(map(float, p))]
+        assert len(near) == len(apart) and all(np.isclose(n.distance, np.sqrt(((p - np.array(n.near_vec)) ** 2).sum())) for n in near)
+        right += sum(n.distance <= apart[-1] * (1 + 1e-9) for n in near)
+    return right / (len(points) * k)
+
+
+def test_nearest_is_exact_up_to_a_window(spark):
+    points = np.random.default_rng(8).normal(size=(300, 4)).round(3)
+    assert _recall(spark, points, 5) == 1.0
+    assert _recall(spark, points[:3], 2) == 1.0
+
+
+@pytest.mark.parametrize("kind", ["normal", "sphere", "clusters", "skewed"])
+def test_nearest_finds_nine_in_ten_beyond_a_window(spark, kind):
+    rng = np.random.default_rng(3)
+    points = {
+        "normal": lambda: rng.normal(size=(3000, 8)),
+        "sphere": lambda: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(3000, 6))),  # one distance to the centre
+        "clusters": lambda: rng.normal(size=(30, 12)).repeat(100, axis=0) * 10 + rng.normal(size=(3000, 12)),
+        "skewed": lambda: rng.lognormal(sigma=2, size=(3000, 6)),  # most vectors share a code
+    }[kind]()
+    assert _recall(spark, points, 5, window=128) >= 0.9
+
+
+def test_candidates_of_a_vector_are_bounded(spark):
+    """Vectors that share all bits stay in windows, so lists grow with the tables alone."""
+    points = np.concatenate([np.full((900, 2), 5.0) + np.arange(900)[:, None] * 1e-6, [[-1e6, -1e6]]])
+    df = spark.createDataFrame([(i, list(map(float, p))) for i, p in enumerate(points)], "id long, vec array<double>")
+    laid = sm._laid_out(df, 2, 3, 4, 1).repartitionByRange(2, "table", "code", "along").sortWithinPartitions("table", "code", "along")
+    sizes = sm._in_windows(laid, 5, 64).groupBy("id").agg(F.sum(F.size("others")).alias("n")).agg(F.max("n")).first()[0]
+    assert sizes <= 2 * 3 * 5
 
 
 def test_smote_balances_and_interpolates(rows):
