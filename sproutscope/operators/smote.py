@@ -39,7 +39,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _laid_out(vectors: DataFrame, width: int, tables: int, bits: int, seed: int) -> DataFrame:
     """(table, code, along, id, vec): each vector once per table, with its bits and its place beside them."""
-    centre = np.array(vectors.agg(*[F.avg(F.col("vec")[i]) for i in range(width)]).first(), dtype=np.float64)
+    centre = np.zeros(width)
+    if bits:
+        centre = np.array(vectors.agg(*[F.avg(F.col("vec")[i]) for i in range(width)]).first(), dtype=np.float64)
     directions = np.random.default_rng(seed).normal(size=(tables, bits + 1, width))  # bounded: log of the rows, not the rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,9 @@
 """Splits, folds and the cross-validated boosted-tree classifier."""
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sproutscope import schemas as S
+from sproutscope.operators import boosting
 from sproutscope.operators.evaluation import auc_spread, class_report, fold_auc
 from sproutscope.operators.smote import smote
 from sproutscope.session import stage
@@ -173,6 +176,54 @@ def cv_train(
     return CrossValidation(stage(scored, "scored"), importances)
 
 
+def cv_boost(
+    df: DataFrame,
+    features: list[str],
+    label: str = "label",
+    key: str = "repo_name",
+    k: int = 5,
+    seed: int = 42,
+    neighbours: int = 5,
+    **overrides,
+) -> CrossValidation:
+    """:func:`cv_train` with the second-order learner and its penalties, all folds at once.
+
+    The training parts are oversampled by concurrent jobs; then one table holds them all and the
+    models of the folds grow together.
+    """
+    ready = df.select(
+        key, F.col(label).cast("int").alias("label"), *[F.col(f).cast("double").alias(f) for f in features]
+    )
+    folded = stage(stratified_folds(ready, key, "label", k, seed), "folds")
+    ratio = class_ratio(folded)
+
+    def enlarged(fold: int) -> DataFrame:
+        rows = smote(folded.where(F.col("fold") != fold), features, k=neighbours, seed=seed)
+        return stage(rows.select(F.lit(fold).alias("model"), "label", *features), "enlarged")
+
+    parts = concurrently(df.sparkSession, enlarged, range(k))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    rows = rows.withColumns(
+        {
+            "id": F.xxhash64(*features, F.monotonically_increasing_id()),
+            "weight": F.when(F.col("label") == 1, F.lit(float(ratio))).otherwise(F.lit(1.0)),
+        }
+    )
+    models = boosting.fit(rows, features, seed=seed, **overrides)
+    scored = boosting.score(models, folded.withColumn("model", F.col("fold"))).select(key, "fold", "label", "score", "prediction")
+    weights = [(m, f, float(v)) for m, b in sorted(models.items()) for f, v in b.importances().items()]
+    importances = df.sparkSession.createDataFrame(weights, "fold int, feature string, importance double")
+    return CrossValidation(stage(scored, "scored"), importances)
+
+
+def concurrently(spark, function, items) -> list:
+    """``function`` of each item, from threads that submit their jobs side by side."""
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(function), items))
+
+
 def mean_importance(importances: DataFrame, top: int = 15) -> DataFrame:
     """Mean importance over the folds, the largest first."""
     return (

@@ -209,6 +209,9 @@ BOOSTER_DEFAULTS = {
     "feature_sample": 0.8, "min_leaf_rows": 5, "min_gain": 0.1,
 }
 
+# penalties on leaf values and the least curvature of a leaf, for the second-order learner
+BOOSTER_PENALTIES = {"alpha": 0.1, "lambda": 1.0, "min_leaf_weight": 5.0}
+
 # the learner's own defaults, used with a single train/test split
 PLAIN_BOOSTER = {
     "rounds": 100, "depth": 6, "learning_rate": 0.3, "row_sample": 1.0,
