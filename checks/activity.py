@@ -245,14 +245,20 @@ WHERE first_ship >= o_orderdate
 """,
 )
 def _(t):
-    first = t.table("lineitem").groupBy("l_orderkey").agg(
-        F.min("l_shipdate").cast("timestamp").alias("first_ship")
+    """An order as an opened issue, each of its shipments as a comment on it."""
+    opened = t.table("orders").select(
+        F.col("o_orderkey").alias("key"), F.lit(S.ISSUE).alias("type"), F.lit("opened").alias("action"),
+        F.col("o_orderdate").cast("timestamp").alias("event_ts"), F.col("o_orderdate").cast("timestamp").alias("opened_at"),
     )
-    opened = F.col("o_orderdate").cast("timestamp")
-    pairs = t.table("orders").join(first, F.col("o_orderkey") == F.col("l_orderkey"))
-    return pairs.select("o_orderkey", hours_between(opened, F.col("first_ship")).alias("hours")).where(
-        F.col("hours") >= 0
+    shipped = t.table("lineitem").select(
+        F.col("l_orderkey").alias("key"), F.lit(S.ISSUE_COMMENT).alias("type"), F.lit("created").alias("action"),
+        F.col("l_shipdate").cast("timestamp").alias("event_ts"), F.lit(None).cast("timestamp").alias("opened_at"),
     )
+    text = F.col("key").cast("string")
+    events = opened.unionByName(shipped).withColumns({"repo_name": text, "number": text, "event_id": F.xxhash64("key", "type", "event_ts").cast("string")})
+    pairs = resp.threads(events).where("opened_at IS NOT NULL AND responded_at IS NOT NULL")
+    hours = hours_between(F.col("opened_at"), F.col("responded_at"))
+    return pairs.select(F.col("number").cast("long").alias("o_orderkey"), hours.alias("hours")).where(F.col("hours") >= 0)
 
 
 @check(

@@ -10,7 +10,7 @@ from sproutscope.functions import scalars as fn
 from sproutscope.operators import cohort as co
 from sproutscope.operators import governance as gov
 from sproutscope.operators import profiles
-from sproutscope.session import new_path
+from sproutscope.session import new_path, stage
 from sproutscope.sources import events as src
 from sproutscope.sources import tables as tab
 
@@ -36,6 +36,21 @@ def _(t):
     return rounded(src.flatten_events(good).drop("commit_emails"))
 
 
+@check(
+    "src1_counts_while_reading",
+    """SELECT (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS good,
+              (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS malformed,
+              (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS landed""",
+)
+def _(t):
+    """Good and malformed lines counted by the pass that lands the events."""
+    path = new_path(t.spark, "feed")
+    t.archive_lines.write.text(path)
+    good, counts = src.observed(src.read_events(t.spark, path))
+    landed = stage(src.flatten_events(good), "landed").count()
+    return t.spark.createDataFrame([(counts.get["good"], counts.get["malformed"], landed)], "good long, malformed long, landed long")
+
+
 @check(
     "src1_malformed_lines",
     """SELECT (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS good,
@@ -56,7 +71,7 @@ WHERE event_ts >= DATE '1996-03-05' AND event_ts < DATE '1996-04-21' GROUP BY 1
 """),
 )
 def _(t):
-    """Daily gzip files named by date, of which the reader opens a date range."""
+    """Gzip lines by month, restricted by the rule on the date in a file's name; each event's day stands for its file."""
     path = new_path(t.spark, "archive")
     lines = t.archive.select(
         F.date_format("event_ts", "yyyy-MM").alias("month"),

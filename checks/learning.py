@@ -48,6 +48,31 @@ def _(t):
     return rounded(prep.impute_domain(rows))
 
 
+@check(
+    "pre2_null_flags",
+    """SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 1 WHEN c_acctbal > 0 THEN 0 ELSE 2 END AS rich,
+         CASE WHEN c_acctbal > 0 THEN 0 ELSE 1 END AS known, CASE WHEN c_nationkey > 5 THEN 1 ELSE 0 END AS far FROM customer""",
+)
+def _(t):
+    """Flags with nulls take a code of their own, after those that occur."""
+    balance = F.col("c_acctbal")
+    rich = F.when(balance > 5000, F.lit(True)).when(balance > 0, F.lit(False))
+    known = F.when(balance > 0, F.lit(True))
+    return prep.impute_domain(t.table("customer").select("c_custkey", rich.alias("rich"), known.alias("known"), (F.col("c_nationkey") > 5).alias("far")))
+
+
+@check(
+    "pre1_feature_frame_fork",
+    with_study("SELECT total_commits, spend, segment, round(divergence_ratio, 6) AS divergence_ratio FROM study"),
+)
+def _(t):
+    rows = t.study.select(
+        "repo_name", F.lit("x").alias("topics"), "total_commits", "spend", "segment", "divergence_ratio",
+        "is_sustainable",
+    )
+    return rounded(prep.feature_frame(rows, "fork"))
+
+
 @check(
     "pre3_generic_imputation",
     with_study("""
@@ -285,9 +310,7 @@ def _(t):
 def _(t):
     """Customers with a high balance as one cohort, the others as the other."""
     rows, wealthy = _training_rows(t), F.col("balance") > 4500
-    ranked = lambda part: tr.mean_importance(
-        tr.cv_train(part, FEATURES, k=2, rounds=3, depth=3).importances
-    )
+    ranked = lambda part: tr.mean_importance(tr.cv_boost(part, FEATURES).importances)
     return tr.compare_importance(ranked(rows.where(wealthy)), ranked(rows.where(~wealthy)))
 
 
@@ -308,7 +331,7 @@ def _dataset(t):
 @check("ml4_ml5_cohort_comparison")
 def _(t):
     data, owned = _dataset(t), F.col("fork_owner_type") == "Organization"
-    tables = analysis.compare_cohorts(data.where(owned), data.where(~owned), k=2, rounds=3, depth=3)
+    tables = analysis.compare_cohorts(data.where(owned), data.where(~owned))
     return tables["importance"]
 
 

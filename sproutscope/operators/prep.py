@@ -1,7 +1,7 @@
 """From the dataset to model features: column choice, imputation, encoding."""
 
 from pyspark.ml.feature import OneHotEncoder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,15 +40,29 @@ def feature_frame(df: DataFrame, cohort: str = "fork", keep=()) -> DataFrame:
 def impute_domain(df: DataFrame, skip=_LABELS) -> DataFrame:
     """Unanswered threads count as twice the median delay; any other missing number is 0.
 
-    Booleans become 0/1. Text columns are left to the encoder.
+    Booleans become 0/1; one that has nulls is a category like any text, with codes in the order
+    False, True, null of those that occur. Text columns are left to the encoder.
     """
     numbers, _text, flags = _split_types(df, skip)
     doubled = [c for c in S.DOUBLED_MEDIAN_FEATURES if c in numbers]
     middle = column_medians(df, doubled)
     filled = {c: F.coalesce(F.col(c), F.lit(2 * middle[c])) for c in doubled if middle[c] is not None}
     filled |= {c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in numbers if c not in filled}
-    filled |= {c: indicator(F.col(c)) for c in flags}
-    return df.withColumns(filled)
+    return df.withColumns(filled | _flag_codes(df, flags))
+
+
+def _flag_codes(df: DataFrame, flags: list[str]) -> dict[str, Column]:
+    """The code of each flag: 0/1, or its rank among False, True and null where there are nulls."""
+    if not flags:
+        return {}
+    kinds = {"false": lambda c: ~c, "true": lambda c: c, "null": lambda c: c.isNull()}
+    found = df.agg(*[F.coalesce(F.max(test(F.col(c))), F.lit(False)).alias(f"{i}_{k}") for i, c in enumerate(flags) for k, test in kinds.items()]).first()
+    codes = {}
+    for i, c in enumerate(flags):
+        false, true = int(found[f"{i}_false"]), int(found[f"{i}_true"])
+        code = F.when(F.col(c), false).when(~F.col(c), 0).otherwise(false + true)
+        codes[c] = code if found[f"{i}_null"] else indicator(F.col(c))
+    return codes
 
 
 def _modes(df: DataFrame, cols: list[str]) -> dict[str, str]:

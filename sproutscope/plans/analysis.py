@@ -28,9 +28,9 @@ def _features(df: DataFrame) -> list[str]:
 
 
 def cross_validated(dataset: DataFrame, cohort: str, **overrides) -> training.CrossValidation:
-    """Cross-validated booster over the encoded features of one cohort."""
-    ready = prep.boosted_features(dataset, cohort)
-    return training.cv_train(ready, _features(ready), label="is_sustainable", **overrides)
+    """Cross-validated booster, by default at the study's settings, over the encoded features of one cohort."""
+    ready = stage(prep.boosted_features(dataset, cohort), "features")
+    return training.cv_boost(ready, _features(ready), label="is_sustainable", **overrides)
 
 
 def compare_cohorts(forks: DataFrame, nonforks: DataFrame, top: int = 15, **overrides) -> dict[str, DataFrame]:

@@ -1,13 +1,13 @@
 """Event sources: NDJSON feeds, hourly archive folders and the month-partitioned table."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sproutscope import schemas as S
 from sproutscope.functions.scalars import strict_timestamp
 
 __all__ = [
-    "read_events", "parse_event_lines", "split_corrupt", "read_archive", "in_file_dates", "stream_events",
+    "read_events", "parse_event_lines", "split_corrupt", "observed", "read_archive", "in_file_dates", "stream_events",
     "flatten_events", "land_events", "scan_months",
 ]
 
@@ -16,17 +16,12 @@ ARCHIVE_FILE_NAME = r"^(\d{4}-\d{2}-\d{2})-\d{1,2}\.json"
 
 
 def read_events(spark: SparkSession, path) -> DataFrame:
-    """Newline-delimited JSON events; a malformed line keeps only its text in ``_corrupt``."""
-    return parse_event_lines(_lines(spark.read, path))
+    """Newline-delimited JSON events; a malformed line keeps only its text in ``_corrupt``.
 
-
-def _lines(reader, path) -> DataFrame:
-    """Text lines of a batch or stream reader.
-
-    Lines are parsed by an expression rather than by the JSON source because that source
-    refuses queries that look at malformed lines alone, such as counting them.
+    The JSON source parses each line once. It refuses queries that look at malformed lines
+    alone; :func:`observed` counts them while the good ones are read.
     """
-    return reader.option("ignoreMissingFiles", "true").text(path)
+    return _parsed(spark.read, path)
 
 
 def parse_event_lines(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -46,6 +41,14 @@ def split_corrupt(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+def observed(raw: DataFrame, name: str = "feed") -> tuple[DataFrame, Observation]:
+    """``(good events, counts)``; ``counts.get`` has ``good`` and ``malformed`` lines once the events were read."""
+    counts = Observation(name)
+    malformed = F.col(S.CORRUPT).isNotNull()
+    seen = raw.observe(counts, F.count_if(~malformed).alias("good"), F.count_if(malformed).alias("malformed"))
+    return seen.where(~malformed).drop(S.CORRUPT), counts
+
+
 def in_file_dates(df: DataFrame, file_name, start: str, end: str) -> DataFrame:
     """Rows of files dated ``start``..``end`` (days, both included)."""
     day = F.try_to_date(F.regexp_extract(file_name, ARCHIVE_FILE_NAME, 1), "yyyy-MM-dd")
