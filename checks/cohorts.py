@@ -32,7 +32,7 @@ def _(t):
     """NDJSON text written, read back leniently and flattened."""
     path = new_path(t.spark, "feed")
     t.archive_lines.write.text(path)
-    good, _bad = src.split_corrupt(src.read_events(t.spark, path))
+    good, _counts = src.read_feed(t.spark, path)
     return rounded(src.flatten_events(good).drop("commit_emails"))
 
 
@@ -46,7 +46,7 @@ def _(t):
     """Good and malformed lines counted by the pass that lands the events."""
     path = new_path(t.spark, "feed")
     t.archive_lines.write.text(path)
-    good, counts = src.observed(src.read_events(t.spark, path))
+    good, counts = src.read_feed(t.spark, path)
     landed = stage(src.flatten_events(good), "landed").count()
     return t.spark.createDataFrame([(counts.get["good"], counts.get["malformed"], landed)], "good long, malformed long, landed long")
 

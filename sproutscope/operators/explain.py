@@ -81,7 +81,7 @@ def explain_local(
                 values = np.vstack([origin, drawn])
                 same = (intervals(values) == intervals(origin[None, :])).astype("int8")
                 yield pd.DataFrame(
-                    {"instance": instance, "same": list(same), "vector": list(values)}
+                    {"instance": instance, "same": list(same), "vector": list(values), "origin": [origin] * n_samples}
                 )
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
@@ -102,24 +102,21 @@ def explain_local(
             }
         )
 
+    # a key that is repeated is explained once, by the least of its rows
     instances = rows.select(
         F.col(key).cast("string").alias("instance"),
         F.xxhash64(F.col(key), F.lit(seed)).alias("mixed"),
         F.array(*[F.col(f).cast("double") for f in features]).alias("origin"),
-    )
+    ).groupBy("instance", "mixed").agg(F.min("origin").alias("origin"))
     # a drawn sample sits in one partition; scoring it should not
     spread = instances.repartition(instances.sparkSession.sparkContext.defaultParallelism, "instance")
     perturbed = spread.mapInPandas(
-        perturb, "instance string, same array<byte>, vector array<double>"
+        perturb, "instance string, same array<byte>, vector array<double>, origin array<double>"
     )
     scored = model.transform(perturbed.withColumn("features", array_to_vector("vector"))).select(
-        "instance", "same", vector_to_array("probability")[1].alias("score")
-    )
-    return (
-        scored.join(instances.select("instance", "origin"), "instance")
-        .groupBy("instance")
-        .applyInPandas(fit, "instance string, feature string, weight double")
+        "instance", "same", "origin", vector_to_array("probability")[1].alias("score")
     )
+    return scored.groupBy("instance").applyInPandas(fit, "instance string, feature string, weight double")
 
 
 def explain_summary(

@@ -9,6 +9,7 @@ from sproutscope import schemas as S
 from sproutscope.functions.scalars import indicator
 from sproutscope.operators.ranks import column_medians
 from sproutscope.session import stage
+from sproutscope.sizing import BROADCAST_ROWS, attach
 
 _LABELS = ("is_sustainable",)
 
@@ -86,16 +87,17 @@ def impute_generic(df: DataFrame, skip=_LABELS) -> DataFrame:
     return df.withColumns(filled)
 
 
-def label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
+def label_encode(df: DataFrame, cols: list[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Text replaced by its rank in the alphabet of the column; null is the category ``nan``.
 
-    Any number of categories: codes are ranked in Spark and joined back per column.
+    Any number of categories: codes are ranked in Spark and joined back per column, beyond
+    ``max_rows`` categories by a shuffle that splits a frequent one.
     """
     named = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols})
     codes = category_codes(named, cols)
     for i, c in enumerate(cols):
         own = codes.where(F.col("column") == c).select(F.col("category").alias(c), F.col("code").alias(f"_code_{i}"))
-        named = named.join(own, c)
+        named = attach(named, own, c, spread=F.struct(*[F.col(x) for x in df.columns if x != c]), max_rows=max_rows)
     order = [F.col(f"_code_{cols.index(c)}").cast("int").alias(c) if c in cols else F.col(c) for c in df.columns]
     return named.select(*order)
 

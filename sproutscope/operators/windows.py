@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sproutscope import schemas as S
 from sproutscope.functions.anchored import EARLY, AnchoredWindow, first_days, first_months, whole_days
+from sproutscope.session import stage
 from sproutscope.sizing import BROADCAST_ROWS, attach
 
 
@@ -70,14 +71,16 @@ def events_in_window(
     within: AnchoredWindow = EARLY,
     max_broadcast_rows: int = BROADCAST_ROWS,
     size: Extent | None = None,
+    anchors: DataFrame | None = None,
 ) -> DataFrame:
     """Events of cohort repositories inside their own window, with ``created_at`` attached.
 
     Repeated cohort rows count once. The cohort's counted size decides between a broadcast
-    and a skew-safe shuffle join; its anchor range becomes literal scan predicates. ``size``
-    is the :func:`extent` of :func:`anchors_of` the cohort where the caller has it.
+    and a skew-safe shuffle join; its anchor range becomes literal scan predicates. ``anchors``
+    (:func:`anchors_of` the cohort) and ``size`` (their :func:`extent`) are taken from a caller that
+    has them; anchors made here are written once and read for both.
     """
-    anchors = anchors_of(cohort)
+    anchors = stage(anchors_of(cohort), "anchors") if anchors is None else anchors
     size = size or extent(anchors)
     joined = attach(
         _within_extent(events, size, within),

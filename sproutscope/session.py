@@ -22,11 +22,6 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        # a lookup past the broadcast bound still filters the scan of the large side
-        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "4g",
-        "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "50000000",
-        "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(1 << 29),
     }.items():
         spark.conf.set(key, value)
     return spark

@@ -7,7 +7,7 @@ from sproutscope import schemas as S
 from sproutscope.functions.scalars import strict_timestamp
 
 __all__ = [
-    "read_events", "parse_event_lines", "split_corrupt", "observed", "read_archive", "in_file_dates", "stream_events",
+    "read_events", "parse_event_lines", "split_corrupt", "observed", "read_feed", "read_archive", "in_file_dates", "stream_events",
     "flatten_events", "land_events", "scan_months",
 ]
 
@@ -18,10 +18,23 @@ ARCHIVE_FILE_NAME = r"^(\d{4}-\d{2}-\d{2})-\d{1,2}\.json"
 def read_events(spark: SparkSession, path) -> DataFrame:
     """Newline-delimited JSON events; a malformed line keeps only its text in ``_corrupt``.
 
-    The JSON source parses each line once. It refuses queries that look at malformed lines
-    alone; :func:`observed` counts them while the good ones are read.
+    For looking at malformed lines themselves; :func:`read_feed` only counts them and is faster.
     """
-    return _parsed(spark.read, path)
+    return parse_event_lines(_lines(spark.read, path))
+
+
+def _lines(reader, path) -> DataFrame:
+    """Text lines of a batch or stream reader.
+
+    Lines are parsed by an expression rather than by the JSON source because that source
+    refuses queries that look at malformed lines alone.
+    """
+    return reader.option("ignoreMissingFiles", "true").text(path)
+
+
+def read_feed(spark: SparkSession, path, name: str = "feed") -> tuple[DataFrame, Observation]:
+    """:func:`observed` events of NDJSON files, each line parsed once by the JSON source."""
+    return observed(_parsed(spark.read, path), name)
 
 
 def parse_event_lines(lines: DataFrame, text: str = "value") -> DataFrame:

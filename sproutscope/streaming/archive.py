@@ -13,7 +13,8 @@ from sproutscope import schemas as S
 from sproutscope.functions.anchored import EARLY, LABEL, AnchoredWindow
 from sproutscope.operators.activity import activity_measures
 from sproutscope.operators.features import assemble
-from sproutscope.operators.windows import anchors_of, events_in_window, extent
+from sproutscope.operators.windows import Extent, anchors_of, events_in_window, extent
+from sproutscope.session import stage
 from sproutscope.sources.events import flatten_events, split_corrupt, stream_events
 
 __all__ = [
@@ -36,10 +37,10 @@ def drain(query: StreamingQuery) -> None:
 
 
 def _per_batch(stream: DataFrame, table: str, checkpoint: str, shape) -> StreamingQuery:
-    """Write ``shape(batch)`` of every micro-batch under its own ``batch_id``."""
+    """Write ``shape(batch, batch_id)`` of every micro-batch under its own ``batch_id``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        shape(batch).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        shape(batch, batch_id).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     return (
         stream.writeStream.outputMode("update")
@@ -50,6 +51,12 @@ def _per_batch(stream: DataFrame, table: str, checkpoint: str, shape) -> Streami
     )
 
 
+def _prepared(cohort: DataFrame) -> tuple[DataFrame, Extent]:
+    """Anchors, written once for all batches, and their extent."""
+    anchors = stage(anchors_of(cohort), "anchors")
+    return anchors, extent(anchors)
+
+
 def stream_activity(
     events: DataFrame, cohort: DataFrame, table: str, checkpoint: str, within: AnchoredWindow = EARLY
 ) -> StreamingQuery:
@@ -58,11 +65,11 @@ def stream_activity(
     Keeping the author in the key makes distinct authors exact across batches without any
     streaming state.
     """
-    size = extent(anchors_of(cohort))
+    anchors, size = _prepared(cohort)
 
-    def partials(batch: DataFrame) -> DataFrame:
+    def partials(batch: DataFrame, batch_id: int) -> DataFrame:
         return (
-            events_in_window(batch, cohort, within, size=size)
+            events_in_window(batch, cohort, within, size=size, anchors=anchors)
             .groupBy("repo_name", "actor_login")
             .agg(*activity_measures())
         )
@@ -89,16 +96,29 @@ def read_activity(table: DataFrame, cohort: DataFrame) -> DataFrame:
 def stream_labels(
     events: DataFrame, cohort: DataFrame, table: str, checkpoint: str, within: AnchoredWindow = LABEL
 ) -> StreamingQuery:
-    """Repositories with a push in the label window, once per batch that has one."""
-    size = extent(anchors_of(cohort))
+    """Repositories with a push in the label window, each in the batch of its first one.
+
+    Repositories that earlier batches found are taken out before the window join, and once
+    none is left a batch joins nothing.
+    """
+    anchors, size = _prepared(cohort)
 
-    def hits(batch: DataFrame) -> DataFrame:
+    def hits(batch: DataFrame, batch_id: int) -> DataFrame:
+        left = open_anchors(batch.sparkSession, table, anchors, batch_id)
         pushes = batch.where(F.col("type") == S.PUSH)
-        return events_in_window(pushes, cohort, within, size=size).select("repo_name").distinct()
+        return events_in_window(pushes, cohort, within, size=extent(left), anchors=left).select("repo_name").distinct()
 
     return _per_batch(events, table, checkpoint, hits)
 
 
+def open_anchors(spark: SparkSession, table: str, anchors: DataFrame, batch_id: int) -> DataFrame:
+    """Anchors of repositories that no batch before ``batch_id`` has found."""
+    if not batch_id:
+        return anchors
+    found = spark.read.schema("repo_name string, batch_id long").parquet(table).where(F.col("batch_id") < batch_id)
+    return stage(anchors.join(found, "repo_name", "left_anti"), "open-anchors")
+
+
 def read_labels(hits: DataFrame, cohort: DataFrame) -> DataFrame:
     found = hits.select("repo_name").distinct().withColumn("is_sustainable", F.lit(1))
     return cohort.select("repo_name").join(found, "repo_name", "left").fillna(
@@ -113,11 +133,11 @@ def stream_contributor_months(
 
     Partials of all batches add up, so files may come in any order and however late.
     """
-    size = extent(anchors_of(cohort))
+    anchors, size = _prepared(cohort)
 
-    def partials(batch: DataFrame) -> DataFrame:
+    def partials(batch: DataFrame, batch_id: int) -> DataFrame:
         pushes = batch.where(F.col("type") == S.PUSH)
-        return events_in_window(pushes, cohort, within, size=size).groupBy(
+        return events_in_window(pushes, cohort, within, size=size, anchors=anchors).groupBy(
             "repo_name", F.date_format("event_ts", "yyyy-MM").alias("month"), F.col("actor_login").alias("contributor")
         ).agg(F.count("*").alias("commit_count"))
 

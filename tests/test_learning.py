@@ -140,7 +140,7 @@ def test_preparation_of_the_dataset(spark):
     assert df.columns == names
     boosted = {r.repo_name: r for r in prep.boosted_features(df, "fork").collect()}
     assert boosted["c"].avg_pr_first_response_hrs == 6.0
-    assert boosted["b"].total_commits == 0 and boosted["b"].has_license == 0
+    assert boosted["b"].total_commits == 0 and boosted["b"].has_license == 2  # False, True, null
     assert [boosted[k].primary_language for k in "abc"] == [1, 2, 0]
     assert "topics" not in boosted["a"].asDict()
     assert "divergence_ratio" not in prep.boosted_features(df, "nonfork").columns

@@ -13,7 +13,8 @@ from sproutscope.operators import governance as gov
 from sproutscope.operators import ranks
 from sproutscope.operators import windows as win
 from sproutscope.operators.spans import counts_in_spans
-from sproutscope.sizing import attach, fits, hot_keys, spread_join
+from sproutscope.operators.prep import label_encode
+from sproutscope.sizing import attach, fits, hot_keys, key_filter, spread_join
 
 
 def _plan(df):
@@ -37,6 +38,25 @@ def test_spread_join_equals_join(spark):
     assert fits(lookup, 91) and not fits(lookup, 90)
 
 
+def test_rows_of_other_keys_are_dropped_before_the_shuffle(spark):
+    big = spark.range(20_000).select(F.col("id"), (F.col("id") % 1000).alias("k"))
+    lookup = spark.range(50).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    kept = key_filter(big, lookup, ["k"])
+    assert kept.columns == big.columns
+    assert {r.k for r in kept.select("k").distinct().collect()} >= set(range(50)) and kept.count() < 1100
+    assert "SortMergeJoin" not in _plan(kept) and "BroadcastHashJoin" in _plan(kept)
+    # a bitmap that is far too small only lets more rows through
+    assert spread_join(big, lookup, ["k"], F.col("id")).count() == 1000
+    assert key_filter(big, lookup, ["k"], words=1).where("k < 50").count() == 1000
+
+
+def test_a_frequent_category_is_split(spark):
+    df = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("c"), F.col("id") % 70)).otherwise("most").alias("c"))
+    want = {r.id: r.c for r in label_encode(df, ["c"]).collect()}
+    got = label_encode(df, ["c"], max_rows=2)
+    assert {r.id: r.c for r in got.collect()} == want and got.columns == df.columns
+
+
 def test_attach_broadcasts_only_counted_lookups(spark):
     big = spark.range(1000).select(F.col("id"), (F.col("id") % 7).alias("k"))
     lookup = spark.range(7).select(F.col("id").alias("k"))

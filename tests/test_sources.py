@@ -27,6 +27,17 @@ def test_lenient_lines(spark, tmp_path):
     assert [r.event_id for r in src.flatten_events(good).collect()] == ["1"]
 
 
+def test_feed_counts_malformed_lines_while_it_is_read(spark, tmp_path):
+    lines = [json.dumps(_push(1)), "", "   ", '{"id": "2", "type"', json.dumps(_push(3))]
+    (tmp_path / "feed.json").write_text("\n".join(lines))
+    events, counts = src.read_feed(spark, str(tmp_path))
+    assert {r.id for r in events.collect()} == {"1", "3"}
+    assert counts.get == {"good": 2, "malformed": 1}
+    flat, _ = src.read_feed(spark, str(tmp_path))
+    plan = src.flatten_events(flat)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1  # of the payload alone
+
+
 def test_payload_object_equals_payload_string(spark, tmp_path):
     body = {"action": "opened", "issue": {"number": 4, "created_at": "2024-01-02T00:00:00Z"}}
     rows = [{**_push(i, payload=p), "type": S.ISSUE} for i, p in enumerate([body, json.dumps(body)])]

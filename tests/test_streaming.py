@@ -65,3 +65,14 @@ def test_restart_counts_each_file_once(spark, tmp_path, ts):
     assert got.where("is_sustainable = 1").count() == 1
     got = st.read_contributor_months(spark.read.parquet(tables["months"][0]))
     assert _rows(got) == _rows(contributor_months(flat, cohort))
+
+
+def test_found_repositories_are_not_joined_again(spark, ts, tmp_path):
+    table = str(tmp_path / "hits")
+    anchors = spark.createDataFrame([("a",), ("b",), ("c",)], "repo_name string")
+    assert st.open_anchors(spark, table, anchors, 0).count() == 3
+    spark.createDataFrame([("a",)], "repo_name string").write.parquet(f"{table}/batch_id=0")
+    spark.createDataFrame([("b",)], "repo_name string").write.parquet(f"{table}/batch_id=1")
+    left = lambda batch: sorted(r[0] for r in st.open_anchors(spark, table, anchors, batch).collect())
+    assert left(1) == ["b", "c"]  # a batch that is run again doesn't see its own rows
+    assert left(2) == ["c"]
