@@ -24,6 +24,8 @@ words have one shingle of all their words; repeated rows are copies; classes are
 ``doc_id`` (nulls only if there is no other); an empty table gives an empty result.
 """
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -294,11 +296,18 @@ def _links(table: pa.Table) -> pa.Table:
     i, j = np.nonzero(near)
     i, j = a[i], b[j]
     _, first = np.unique(kind[i].astype(np.int64) * (len(kind) + 1) + kind[j], return_index=True)
-    pairs = [(x, y, None) for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True)]
+    i, j = i[first], j[first]
+
+    def linked():
+        for at in range(0, len(i), STRIP):  # few at a time, as there may be as many as the block has pairs
+            yield from ((x, y, None) for x, y in zip(i[at : at + STRIP].tolist(), j[at : at + STRIP].tolist(), strict=True))
+
+    pairs = linked()
     if not flat.all():
         signature = np.frombuffer(b"".join(column("signature")), dtype=np.uint8).reshape(len(nodes), REGISTERS)
         test = lambda x, y: similarity(sets(x), sets(y)) >= SIMILARITY - ROUNDING
-        pairs += [(x, y, test) for x, y in zip(*_agreeing(signature, kind, block), strict=True) if wanted(x, y) and not (flat[x] and flat[y])]
+        agreeing = zip(*_agreeing(signature, kind, block), strict=True)
+        pairs = itertools.chain(pairs, ((x, y, test) for x, y in agreeing if wanted(x, y) and not (flat[x] and flat[y])))
     chosen = _forest(kind, pairs)
     return pa.table({"pivot": pa.array([nodes[x] for x, _ in chosen], pa.binary()), "node": pa.array([nodes[y] for _, y in chosen], pa.binary())})
 
