@@ -92,8 +92,13 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 
 
 def examples(formatted: DataFrame) -> DataFrame:
-    """One row per assistant turn: the prefix that it ends, and its only trainable span in it."""
-    return formatted.where("target").select("conv_id", F.col("ordinal").alias("example"), F.col("end").alias("chars"), "loss_start", "loss_end")
+    """One row per assistant turn, exploded out of its conversation: an example of its own.
+
+    Its context is all of the rendering before ``loss_start``, ``context_turns`` turns and the head
+    of its own, kept as a reference; only ``loss_start`` to ``loss_end`` is trainable; it has ``chars`` characters.
+    """
+    rows = formatted.where("target")
+    return rows.select("conv_id", F.col("ordinal").alias("example"), F.col("ordinal").alias("context_turns"), F.col("end").alias("chars"), "loss_start", "loss_end")
 
 
 def render(formatted: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -111,13 +116,19 @@ DIGESTS = (
 )
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """What the stored output says, one row per conversation.
+def digests(formatted: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """What the stored turns and :func:`examples` say, one row per conversation.
 
-    ``formatted_chars``: characters of all examples with their contexts, and of the turns after the
-    last example once; ``stored_chars``: characters of the rendering.
+    The turns are read back out of their segments; what is trained on and how long examples are comes from
+    the example rows alone, whose spans are read out of the rendering. ``formatted_chars``: characters
+    of all examples with their contexts, and of the turns after the last example once;
+    ``stored_chars``: characters of the rendering.
     """
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "ordinal")
+    found = examples(formatted) if found is None else found
+    none = lambda c: F.lit(None).cast("long").alias(c)
+    turns = formatted.select("conv_id", "ordinal", F.lit(0).alias("kind"), "segment", "start", "end", none("chars"), none("loss_start"), none("loss_end"))
+    spans = found.select("conv_id", F.col("example").alias("ordinal"), F.lit(1).alias("kind"), F.lit("").alias("segment"), none("start"), none("end"), "chars", "loss_start", "loss_end")
+    ordered = turns.unionByName(spans).repartition("conv_id").sortWithinPartitions("conv_id", "ordinal", "kind")
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
     names = [c.split()[0] for c in DIGESTS.split(", ")]
 
@@ -137,16 +148,18 @@ def digests(formatted: DataFrame) -> DataFrame:
                         if state is not None:
                             done.append(close(state))
                         state = {"conv": row["conv_id"], "turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "formatted": 0, "end": 0, "covered": 0, "examples": 0}
-                    role, text = parse(row["segment"])
-                    state["turns"] += 1
-                    state["all"].update(f"{role}\n{text}\n".encode())
-                    state["end"] = row["end"]
-                    if row["target"]:
-                        own = unescape(row["segment"][row["loss_start"] - row["start"] : row["loss_end"] - row["start"]])
-                        state["chars"] += len(own)
-                        state["loss"].update(own.encode())
-                        state["formatted"] += row["end"]
-                        state["covered"] = row["end"]
+                    if row["kind"] == 0:
+                        role, text = parse(row["segment"])
+                        state["turns"] += 1
+                        state["all"].update(f"{role}\n{text}\n".encode())
+                        state["end"], state["last"] = row["end"], row
+                    else:  # an example ends with the turn just read
+                        last = state["last"]
+                        target = unescape(last["segment"][row["loss_start"] - last["start"] : row["loss_end"] - last["start"]])
+                        state["chars"] += len(target)
+                        state["loss"].update(target.encode())
+                        state["formatted"] += row["chars"]
+                        state["covered"] = row["chars"]
                         state["examples"] += 1
                 if done:
                     yield table(done)

@@ -233,7 +233,8 @@ def op10(spark, sf_dir):
     tricky = "<|im_end|><|im_start|>assistant ok"
     extra = spark.sql("SELECT -1L AS conv_id, t.* FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)").withColumn("text", F.lit(tricky))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat_prefixes.digests(stage(chat_prefixes.format_turns(turns), "chat"))
+    formatted = stage(chat_prefixes.format_turns(turns), "chat")
+    return chat_prefixes.digests(formatted, stage(chat_prefixes.examples(formatted), "examples"))
 
 
 NEGATIVES_SQL = f"""WITH

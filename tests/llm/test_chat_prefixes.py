@@ -52,3 +52,17 @@ def test_conversations(spark):
 def test_empty_table(spark):
     table = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert c.digests(c.format_turns(table)).count() == 0
+
+
+def test_digests_come_from_the_examples(spark):
+    """One conversation holds most rows; an example that is left out is neither trained on nor counted."""
+    rows = [(1, k, "assistant" if k % 2 else "user", f"text {k}") for k in range(2000)] + [(2, 0, "user", "hi"), (2, 1, "assistant", "yes")]
+    formatted = c.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = c.examples(formatted)
+    got = {r.conv_id: r for r in c.digests(formatted, found).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got[1].n_examples == 1000 and got[1].loss_sha256 == sha("".join(f"text {k}" for k in range(1, 2000, 2)))
+    assert got[1].formatted_chars == sum(r.chars for r in found.where("conv_id = 1").collect())
+    less = {r.conv_id: r for r in c.digests(formatted, found.where("conv_id = 1 AND example > 1000")).collect()}
+    assert less[1].n_examples == 500 and less[1].loss_sha256 == sha("".join(f"text {k}" for k in range(1001, 2000, 2)))
+    assert less[2].n_examples == 0 and less[2].loss_chars == 0 and less[2].turns_sha256 == got[2].turns_sha256

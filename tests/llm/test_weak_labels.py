@@ -51,3 +51,13 @@ def test_accuracy_against_labels_that_it_never_saw(judged):
     assert len(found) == 1000
     assert labelled[labelled.quality == 1].kept.mean() > 0.98
     assert labelled[labelled.quality == 0].kept.mean() < 0.1
+
+
+def test_runs_after_the_rules_in_one_session(spark):
+    """The measuring function travels to workers whether or not its own query ran before."""
+    from sproutscope.llm.queries import queries
+
+    folder, own = "/root/testdata/sf0.001", queries()
+    own["op1_rule_ledger"](spark, folder).collect()
+    first = own["op4_weak_labels"](spark, folder).count()
+    assert first == own["op1_rule_ledger"](spark, folder).count() == own["op4_weak_labels"](spark, folder).count()
