@@ -10,6 +10,7 @@ from sproutscope.functions import scalars as fn
 from sproutscope.operators import cohort as co
 from sproutscope.operators import governance as gov
 from sproutscope.operators import profiles
+from sproutscope.plans import collection
 from sproutscope.session import new_path, stage
 from sproutscope.sources import events as src
 from sproutscope.sources import tables as tab
@@ -551,6 +552,21 @@ def _(t):
     return gov.governance(_responses(t))
 
 
+@check("gov1_jon10_resumed_collection", GOVERNANCE_SQL)
+def _(t):
+    """Governance by three runs over responses that land bit by bit, of which the second finds nothing new."""
+    folder, table = new_path(t.spark, "responses"), new_path(t.spark, "collected")
+    responses = _responses(t)
+    number = F.element_at(F.split("repo_name", "/"), 2).cast("long")
+    land = lambda rows: rows.select("repo_name", "response").write.mode("append").json(folder)
+    run = lambda: collection.collect(t.spark, collection.read_responses(t.spark, folder), responses, table)
+    land(responses.where(number % 2 == 0))
+    run()
+    run()
+    land(responses)  # the first half once more
+    return collection.answered(run()).select(*gov.governance(responses).columns)
+
+
 PARENT_SQL = """SELECT 'o/' || s_suppkey AS repo_name, CASE WHEN s_suppkey % 4 <> 0 THEN 'o/' || s_nationkey END AS parent_repo,
          CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey * 3 END AS parent_stars,
          CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey * 2 END AS parent_forks,
