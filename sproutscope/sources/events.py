@@ -134,6 +134,8 @@ def flatten_events(raw: DataFrame) -> DataFrame:
 
 #: Parts of a month by repository, and of a repository by event.
 REPO_BUCKETS, EVENT_BUCKETS = 16, 4
+#: The same of one landed day, so that a day is at most eight files.
+DAY_REPO_BUCKETS, DAY_EVENT_BUCKETS = 4, 2
 
 
 def land_events(flat: DataFrame, path: str) -> None:
@@ -141,11 +143,13 @@ def land_events(flat: DataFrame, path: str) -> None:
 
     With ``file_day`` the table is partitioned by it too, and days that are landed again replace
     what was there, so a run that was broken off can be repeated. Without it rows are appended.
-    Events are dealt by hash in one pass, a repository too large for one task over several.
+    Events are dealt by hash in one pass, a repository too large for one task over several; the
+    number of files per folder has a bound, however many tasks read the archive.
     """
     keys = [c for c in ("ym", "file_day") if c in flat.columns]
     bucket = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    dealt = flat.repartition("ym", bucket("repo_name", REPO_BUCKETS), bucket("event_id", EVENT_BUCKETS))
+    repos, events = (DAY_REPO_BUCKETS, DAY_EVENT_BUCKETS) if "file_day" in keys else (REPO_BUCKETS, EVENT_BUCKETS)
+    dealt = flat.repartition(*keys, bucket("repo_name", repos), bucket("event_id", events))
     writer = dealt.sortWithinPartitions(*keys, "repo_name").write.partitionBy(*keys)
     if "file_day" in keys:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

@@ -170,3 +170,14 @@ def test_duplicate_rows_with_maps(spark):
         [("a", {"x": 1, "y": 2}), ("a", {"y": 2, "x": 1}), ("b", {"x": 1})], "k string, m map<string,long>"
     )
     assert [(r.k, r.copies) for r in co.duplicate_rows(df).collect()] == [("a", 2)]
+
+
+def test_a_landed_day_is_few_files(spark, tmp_path):
+    rows = [(f"e{k}", f"r/{k % 97}", "202401" if k % 2 else "202402", f"2024-0{1 if k % 2 else 2}-0{1 + k % 3}") for k in range(3000)]
+    flat = spark.createDataFrame(rows, "event_id string, repo_name string, ym string, file_day string").repartition(50)
+    for _ in range(2):  # landing again replaces the days
+        src.land_events(flat, str(tmp_path / "t"))
+        files = list((tmp_path / "t").glob("ym=*/file_day=*/*.parquet"))
+        folders = {f.parent for f in files}
+        assert len(folders) == 6 and len(files) <= 6 * src.DAY_REPO_BUCKETS * src.DAY_EVENT_BUCKETS
+        assert spark.read.parquet(str(tmp_path / "t")).count() == 3000
