@@ -12,6 +12,8 @@ from sproutscope.session import stage
 from sproutscope.sizing import BROADCAST_ROWS, attach
 
 _LABELS = ("is_sustainable",)
+#: Columns that a plan can still hold, and the driver the names of.
+MOST_DUMMIES = 5000
 
 
 def _split_types(df: DataFrame, skip=()) -> tuple[list[str], list[str], list[str]]:
@@ -159,10 +161,14 @@ def top_categories(df: DataFrame, cols: list[str], n: int = 10) -> DataFrame:
 def one_hot(df: DataFrame, cols: list[str], kept: DataFrame | None = None) -> DataFrame:
     """Each column replaced by 0/1 columns ``column_category``, the first category dropped.
 
-    ``kept`` (``column, category``) restricts the dummies, e.g. to :func:`top_categories`.
+    ``kept`` (``column, category``) restricts the dummies, e.g. to :func:`top_categories`. Each
+    becomes a column of the result; more than ``MOST_DUMMIES`` are refused, not cut:
+    :func:`one_hot_vectors` takes any number.
     """
     chosen = dummy_counts(df, cols) if kept is None else kept
-    found = chosen.select("column", "category").collect()  # each becomes a column of the result
+    found = chosen.select("column", "category").limit(MOST_DUMMIES + 1).collect()
+    if len(found) > MOST_DUMMIES:
+        raise ValueError(f"more than {MOST_DUMMIES} dummy columns: use one_hot_vectors")
     dummies = [
         indicator(F.col(c).cast("string") == category).alias(f"{c}_{category}")
         for c, category in sorted((row["column"], row["category"]) for row in found)

@@ -165,3 +165,11 @@ def test_many_categories_are_ranked(spark):
     df = spark.range(12_000).select("id", F.col("id").cast("string").alias("v"))
     codes = {r.v: r.id for r in prep.label_encode(df.withColumn("id", F.col("v")), ["id"]).collect()}
     assert [codes[v] for v in sorted(codes)] == list(range(12_000))
+
+
+def test_too_many_dummies_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(prep, "MOST_DUMMIES", 3)
+    df = spark.createDataFrame([(k, f"v{k}") for k in range(6)], "id int, v string")
+    with pytest.raises(ValueError, match="one_hot_vectors"):
+        prep.one_hot(df, ["v"])
+    assert prep.one_hot(df.where("id < 4"), ["v"]).columns == ["id", "v_v1", "v_v2", "v_v3"]
