@@ -16,19 +16,20 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from sproutscope.llm.batches import Remembered, add_columns, bounded_batches, once, pieces
+from sproutscope.llm.batches import add_columns, bounded_batches, once, pieces
 from sproutscope.llm.byte_bpe import Pieces
 from sproutscope.session import new_path
 
 END_ID = 2
-#: Distinct words whose ids a worker remembers, twice over.
-REMEMBERED = 400_000
+#: Distinct words whose ids a worker remembers.
+REMEMBERED = 800_000
 #: Rows between two entries of the row index, and so the least that a lookup reads.
 INDEX_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
@@ -45,15 +46,30 @@ STORED = T.StructType(
 )
 
 
-_ENDED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
+#: A word, perhaps with its space, the marks after it, and perhaps a next line's first word with its own:
+#: letters, marks and a single line break are pieces apart, so they need not make new words together.
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[.,;:!?#$%&*|<>]+"
+_MARK_CHARS = _MARKS[1:-2]
+_LETTER_CHARS = " " + "".join(chr(c) for c in range(256) if re.match(_LETTERS, chr(c)))
+_PARTS = rf"\A(?P<a> ?{_LETTERS})(?P<b>{_MARKS})?(?P<c>\n)(?P<d>{_LETTERS})(?P<e>{_MARKS})?\z"
+#: New pieces that go through the tokenizer as one text.
+_TOGETHER = 4096
+
+
+def _runs(values: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs ``at`` one after another, their lengths), where ``values`` is cut into runs of ``lengths``."""
+    starts, taken = (np.cumsum(lengths) - lengths)[at], lengths[at]
+    upto = np.cumsum(taken)
+    return values[np.repeat(starts - upto + taken, taken) + np.arange(upto[-1] if len(upto) else 0)], taken
 
 
 class Words:
     """Ids of texts by a tokenizer file; each distinct word goes through the tokenizer once.
 
     A byte-level tokenizer without a normaliser always starts a piece at a space before a character
-    that isn't white space, so the words between such spaces can be encoded apart. Any other kind
-    of tokenizer gets whole texts.
+    that isn't white space, so the words between such spaces can be encoded apart. Words are cut,
+    numbered and looked up in Arrow. New ones are encoded many at a time as one text and told apart by the
+    bytes of their tokens. Any other kind of tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -63,27 +79,122 @@ class Words:
         self.tokenizer.no_truncation()
         pre = self.tokenizer.pre_tokenizer
         self.by_word = self.tokenizer.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex
-        self.ids = Remembered(REMEMBERED)
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, number in vocabulary.items():
+            self.bytes_of[number] = len(token)  # byte-level tokens have a character for each byte
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.values, self.lengths = pa.array([], pa.string()), np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
+    def _together(self, words: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each) of words that surely are cut apart where ``before`` stands before each."""
+        values, lengths = [], []
+        for k in range(0, len(words), _TOGETHER):
+            group = words.slice(k, _TOGETHER)
+            texts = group.to_pylist()
+            ids = np.frombuffer(self._encoded([before + before.join(texts)])[0], dtype="<i4")
+            ends = np.concatenate([[0], np.cumsum(self.bytes_of[ids])])
+            sizes = pc.binary_length(group).to_numpy().astype(np.int64) + len(before)
+            stops = np.cumsum(sizes)
+            begins = stops - sizes + len(before)
+            first, stop = np.searchsorted(ends, begins), np.searchsorted(ends, stops)
+            if ends[-1] == stops[-1] and (ends[first] == begins).all() and (ends[stop] == stops).all():
+                inside = np.zeros(len(ids) + 1, dtype=np.int64)
+                np.add.at(inside, first, 1)
+                np.add.at(inside, stop, -1)
+                values.append(ids[np.cumsum(inside)[:-1] > 0])
+                lengths.append(stop - first)
+            else:
+                raw = self._encoded(texts)
+                values.append(np.frombuffer(b"".join(raw), dtype="<i4"))
+                lengths.append(np.array([len(r) // 4 for r in raw], dtype=np.int64))
+        return np.concatenate([np.empty(0, dtype=np.int32), *values]), np.concatenate([np.empty(0, dtype=np.int64), *lengths])
+
+    def _learn(self, new: pa.Array) -> None:
+        second = pc.utf8_slice_codeunits(new, 1, 2)
+        spaced = pc.and_(pc.starts_with(new, " "), pc.invert(pc.or_(pc.utf8_is_space(second), pc.equal(second, ""))))
+        letters = pc.match_substring_regex(new, rf"\A{_LETTERS}\z")
+        other = new.filter(pc.invert(pc.or_(spaced, letters)))
+        raw = self._encoded(other.to_pylist())
+        spaced, letters = new.filter(spaced), new.filter(letters)
+        found = [self._together(spaced, ""), self._together(letters, "\n")]
+        self.known = pa.concat_arrays([self.known, spaced, letters, other])
+        self.values = np.concatenate([self.values, *(v for v, _ in found), np.frombuffer(b"".join(raw), dtype="<i4")])
+        self.lengths = np.concatenate([self.lengths, *(n for _, n in found), np.array([len(r) // 4 for r in raw], dtype=np.int64)])
+
+    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each) of words, by way of their parts."""
+        marked, empty = pc.match_substring_regex(words, rf"\A ?{_LETTERS}{_MARKS}\z"), pa.array([""] * len(words), pa.string())
+        stem = pc.if_else(marked, pc.utf8_rtrim(words, _MARK_CHARS), words)
+        columns = [stem, pc.if_else(marked, pc.utf8_ltrim(words, _LETTER_CHARS), ""), empty, empty, empty]
+        lines = pc.match_substring_regex(words, _PARTS)
+        matched = pc.extract_regex(words.filter(lines), _PARTS)
+        columns = [pc.replace_with_mask(c, lines, pc.struct_field(matched, name)) for c, name in zip(columns, "abcde", strict=True)]
+        coded = pa.concat_arrays(columns).dictionary_encode()
+        parts = coded.dictionary
+        at = pc.index_in(parts, value_set=self.known)
+        if at.null_count:
+            if len(self.known) and len(self.known) + at.null_count > REMEMBERED:
+                self.forget()
+                at = pc.index_in(parts, value_set=self.known)
+            self._learn(parts.filter(pc.is_null(at)))
+            at = pc.index_in(parts, value_set=self.known)
+        places = at.to_numpy()[coded.indices.to_numpy()].reshape(len(columns), len(words)).T
+        values, lengths = _runs(self.values, self.lengths, places.ravel())
+        return values, lengths.reshape(places.shape).sum(axis=1)
+
+    def column(self, texts: pa.Array, ended: list[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's end), every text followed by the ids ``ended``."""
+        end = np.array(ended, dtype=np.int32)
         if not self.by_word:
-            return self._encoded(texts)
-        self.ids.age()
-        ids, parts = self.ids.new, []
-        for text in texts:
-            first, *rest = Pieces.words(text)
-            parts.append([first, *[" " + w for w in rest]])
-        new = [w for w in {w for words in parts for w in words if w not in ids} if self.ids.older(w) is None]
-        # punctuation after letters is a piece of its own, so it need not make a new word of every word
-        split = {w: m.groups() if (m := _ENDED.fullmatch(w)) else (w,) for w in new}
-        unknown = list({p for both in split.values() for p in both if p not in ids and self.ids.older(p) is None})
-        ids.update(zip(unknown, self._encoded(unknown), strict=True))
-        ids.update((w, b"".join([ids[p] for p in both])) for w, both in split.items() if len(both) > 1)
-        return [b"".join([ids[w] for w in words]) for words in parts]
+            raw = [r + end.tobytes() for r in self._encoded([t or "" for t in texts.to_pylist()])]
+            return np.frombuffer(b"".join(raw), dtype="<i4"), np.cumsum([len(r) // 4 for r in raw], dtype=np.int64)
+        cut = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        starts, coded = cut.offsets.to_numpy().astype(np.int64), cut.values.dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary
+        rows, firsts = np.repeat(np.arange(len(texts)), np.diff(starts)), starts[:-1]
+        begins = pc.utf8_slice_codeunits(distinct, 0, 1)
+        unsure = pc.or_(pc.utf8_is_space(begins), pc.equal(begins, "")).to_numpy(zero_copy_only=False)[codes]
+        unsure[firsts] = False
+        whole = np.unique(rows[unsure])  # texts that plain spaces don't cut rightly
+        apart = [(r, w) for r in whole.tolist() for w in _cut(texts[r].as_py())]
+        later = np.ones(len(rows), dtype=bool)
+        later[firsts] = False
+        later &= ~np.isin(rows, whole)
+        begin = np.setdiff1d(np.arange(len(texts)), whole)
+        used = np.zeros(len(distinct), dtype=bool)
+        used[codes[later]] = True
+        words = pc.binary_join_element_wise(" ", distinct.filter(pa.array(used)), "")
+        plain = len(words)
+        words = pa.concat_arrays([words, cut.values.take(pa.array(firsts[begin])), pa.array([w for _, w in apart], pa.string())])
+        values, lengths = self._ids_of(words)
+        owners = np.concatenate([begin, rows[later], np.array([r for r, _ in apart], dtype=np.int64), np.arange(len(texts))])
+        places = np.concatenate(
+            [
+                plain + np.arange(len(begin)),
+                (np.cumsum(used) - 1)[codes[later]],
+                plain + len(begin) + np.arange(len(apart)),
+                np.full(len(texts), len(words)),
+            ]
+        )[np.argsort(owners, kind="stable")]
+        values, taken = _runs(np.concatenate([values, end]), np.concatenate([lengths, [len(end)]]), places)
+        upto = np.cumsum(taken)
+        return values, upto[np.cumsum(np.bincount(owners, minlength=len(texts))) - 1]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        ids, ends = self.column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=False)]
+
+
+def _cut(text: str) -> list[str]:
+    first, *rest = Pieces.words(text)
+    return [first, *[" " + w for w in rest]]
 
 
 def loaded(path: str) -> Words:
@@ -93,17 +204,15 @@ def loaded(path: str) -> Words:
 def write(docs: DataFrame, tokenizer_path: str, to: str, end_id: int = END_ID) -> None:
     """Tokenises ``docs`` (doc_id, text) and writes the files, ascending by ``doc_id`` over the parts."""
     bounded_batches(docs.sparkSession)
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         own, part, start = loaded(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows in pieces(batch, "text"):
-                encoded = [raw + end for raw in own.encode(rows.column("text").to_pylist())]
-                counts = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) // 4
-                offsets = np.concatenate([[0], np.cumsum(counts)])
-                values = pa.array(np.frombuffer(b"".join(encoded), dtype="<i4"))
-                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+                values, ends = own.column(rows.column("text"), [end_id])
+                offsets = np.concatenate([[0], ends])
+                counts = np.diff(offsets)
+                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
                 columns = [rows.column("doc_id"), pa.array(np.full(len(counts), part, dtype=np.int32)), pa.array(start + offsets[:-1]), pa.array(counts), ids]
                 start += int(offsets[-1])
                 yield pa.RecordBatch.from_arrays(columns, names=STORED.names)

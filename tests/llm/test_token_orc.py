@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -54,5 +55,41 @@ def test_files_have_bloom_filters_and_pruned_lookups(spark, docs, prose):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,77)]" in plan and "ids" not in plan.split("ReadSchema")[1]
 
 
+@pytest.fixture
+def even_ids(spark, docs, prose):
+    """One file of 5,000 even ids, a few index groups long."""
+    path = new_path(spark, "orc-lookups")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        o.write(docs([(2 * i, prose(i, 5)) for i in range(5000)]), PATH, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    return o.read(spark, path)
+
+
+def rows_read(df):
+    """Rows that the scan gave after skipping stripes and row groups."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_lookups_skip_row_groups_by_index_and_bloom_filter(even_ids):
+    assert 0 < rows_read(even_ids.where("doc_id = 4444").select("n_tokens")) <= o.INDEX_STRIDE
+    # odd ids lie between the least and the most of a group, so only the Bloom filter can rule them out
+    read = [rows_read(even_ids.where(f"doc_id = {2 * i + 1}").select("n_tokens")) for i in range(500, 4500, 200)]
+    assert sum(n > 0 for n in read) <= 2
+
+
+def test_ids_are_the_same_whatever_the_pieces_of_work(prose):
+    texts = [prose(k, 40) + ".\nNext " + " " * (k % 3) + prose(-k, 3) for k in range(60)] + ["", None, " ", "  a", "a ", "\n b"]
+    fresh = o.Words(PATH)
+    together = fresh.encode(texts)
+    assert together == [fresh.encode([t])[0] for t in texts]
+    fresh.bytes_of[:] = 0  # tokens that can't be told apart by their bytes
+    fresh.forget()
+    assert fresh.encode(texts) == together
+
+
 def test_empty_table(docs):
     assert o.round_trip(docs([]), PATH).count() == 0
