@@ -1,4 +1,9 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -15,16 +20,40 @@ def test_em_recovers_known_accuracies():
     right = rng.random((n, k)) < accuracy
     votes = np.where(rng.random((n, k)) < 0.2, w.NONE, np.where(right == good[:, None], w.GOOD, w.BAD))
     patterns, where, counts = np.unique((votes * 3 ** np.arange(k)).sum(axis=1), return_inverse=True, return_counts=True)
-    w.LEAST_PRECISION, kept = 0.5, w.LEAST_PRECISION
-    try:
-        prior, chances, posterior = w.fit_labellers(patterns, counts)
-    finally:
-        w.LEAST_PRECISION = kept
+    prior, chances, posterior = w.fit_labellers(patterns, counts)
     assert abs(prior - 0.7) < 0.03
     assert np.abs(np.array(list(w.accuracies(chances, prior).values())) - accuracy).max() < 0.03
     assert ((posterior[where] >= 0.5) == good).mean() > 0.97
 
 
+def test_em_tells_kinds_of_faults_from_quality():
+    """Labellers of one side vote bad together, on documents of their kind of fault alone."""
+    rng = np.random.default_rng(6)
+    n, repeats = 20_000, np.array([name in w.REPETITION for name in w.LABELLERS])
+    kind = rng.choice(3, n, p=[0.08, 0.06, 0.86])  # repetition, other faults, good
+    chance = np.where(kind[:, None] == 2, 0.01, np.where((kind[:, None] == 0) == repeats, 0.8, 0.01))
+    votes = np.where(rng.random(chance.shape) < 0.1, w.NONE, np.where(rng.random(chance.shape) < chance, w.BAD, w.GOOD))
+    patterns, where, counts = np.unique((votes * 3 ** np.arange(len(repeats))).sum(axis=1), return_inverse=True, return_counts=True)
+    prior, chances, posterior = w.fit_labellers(patterns, counts)
+    assert abs(prior - 0.86) < 0.02
+    assert ((posterior[where] >= 0.5) == (kind == 2)).mean() > 0.98
+    assert (chances[:, 1, w.BAD] < 0.03).all()
+
+
+def test_features_by_hand():
+    texts = ["The cat the\tthe 12a", None, " ", "ÉA 7 7\n", "a"]
+    of, keys, values = w.features(pa.array(texts, pa.string()))
+    hashed = lambda word: int(w._places(pa.array([word]))[0])
+    shape = lambda word: "shape " + re.sub("[0-9]+", "0", re.sub("[a-z\x80-\U0010ffff]+", "a", word))
+    want = []
+    for k, t in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        own = Counter(hashed(f) for w_ in words for f in (w_, shape(w_)))
+        own[hashed("repeat of a word")] += sum(a == b for a, b in zip(words, words[1:], strict=False))
+        want += [(k, f, math.sqrt(c / own.total())) for f, c in sorted(own.items()) if c]
+    assert [(a, b, round(c, 9)) for a, b, c in zip(of.tolist(), keys.tolist(), values.tolist(), strict=True)] == [(a, b, round(c, 9)) for a, b, c in want]
+
+
 def test_patterns_by_hand(spark, docs, prose):
     rows = w.classify(docs([(1, prose(1, 60) + "."), (2, "### " * 60), (3, None), (4, "one two")])).collect()
     by = {r.doc_id: r for r in rows}
