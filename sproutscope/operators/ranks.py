@@ -58,8 +58,8 @@ def running_tallies(
     local = bucketed.select(
         "*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_local_{n}") for n in names]
     )
-    # bounded: at most one row per range and series that meet, ranges plus series in all
-    return local.join(F.broadcast(offsets), ["series", "_bucket"]).select(
+    # a row per range and series that meet grows with the series, so how to join it is left to its size at run time
+    return local.join(offsets, ["series", "_bucket"]).select(
         "series",
         "value",
         *names,
