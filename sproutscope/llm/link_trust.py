@@ -8,14 +8,15 @@ against the direction of links, as a host that links to bad hosts is suspect. A
 distrust exceeds its trust by a factor.
 
 Edges between hosts are the links of pages to other hosts, and one in each direction between a host
-and its registered domain (last two labels). Masses are integers, so a result doesn't depend on the
-order of sums. Ranks are written to the shared folder after each step, and edges are counted per pair
-of hosts before they are joined, so a host with very many pages is one row.
+and its registered domain (last two labels). They are counted per pair of hosts before they are joined,
+so a host with very many pages is one row. Trust and distrust walk together, as two kinds of one
+table, and every ``BLOCK`` steps their masses are written to the shared folder.
 
-Where no host has more than ``COARSE_LINKS`` links, shares are whole millionths and masses whole
-1e-12ths of all mass, as in the SQL. Where a host has more, or such a step would leave an edge with
-nothing, every step moves ``mass * n / out`` in decimals that are ``FINE`` times finer. Verdicts compare the finer
-masses; ``trust`` and ``distrust`` are shown in 1e-12ths.
+A step moves ``mass * n / out`` rounded down, in whole parts of ``MASS * FINE``, so a result doesn't depend
+on the order of sums and a rare link of a host with very many still carries its share. Steps end when
+those of a block changed at most a ``TOLERANCE``-th of the mass of either kind. A step keeps ``DAMPING``
+per cent of a change, so that is after 48 steps at most, and all further ones would change 0.4 times as
+much. ``trust`` and ``distrust`` are shown in 1e-12ths; verdicts compare the full masses.
 
 Defined cases: a url that is null or has no ``://`` has empty host and path, no rule and the verdict
 allow; null pages have no links; repeated rows count each; hosts that no mass reaches are allowed;
@@ -32,12 +33,10 @@ from sproutscope.session import stage
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
 
-STEPS = 10
+BLOCK = 8  # steps in one plan
+TOLERANCE = 100
 DAMPING = 85  # per cent
 MASS = 10**12
-SHARE = 10**6
-#: Links of a host up to which whole millionths are within a thousandth of its shares.
-COARSE_LINKS = 1000
 #: ``MASS * FINE`` times the links between two hosts has to fit into 38 digits.
 FINE = 10**13
 FACTOR = 1
@@ -92,65 +91,51 @@ def seeds(pages: DataFrame) -> DataFrame:
     return share.select("host", verdict.alias("verdict")).where("verdict IS NOT NULL")
 
 
-def _fine(mass) -> Column:
-    return (mass.cast("decimal(38,0)") * F.lit(FINE)).cast("decimal(38,0)")
-
-
-def _coarse_moved() -> Column:
-    return F.expr(f"((mass * ((n * {SHARE}) DIV out)) DIV {SHARE} * {DAMPING}) DIV 100")
-
-
-def _fine_moved() -> Column:
+def _moved() -> Column:
     part = F.expr("CAST(mass * n AS DECIMAL(38,0))")
     whole = ((part - part % F.col("out")) / F.col("out")).cast("decimal(38,0)")  # DIV would end at 64 bits
     return F.floor(whole * DAMPING / 100).cast("decimal(38,0)")
 
 
-def spread(edges: DataFrame, start: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(host, mass) after ``steps`` of personalised PageRank from the hosts of ``start``.
+def spread(edges: DataFrame, start: DataFrame) -> tuple[DataFrame, int]:
+    """((kind, host, mass), steps) of a personalised PageRank of each kind from its hosts in ``start``.
 
-    ``edges``: source, target, n. Every seed gets the same share; mass that a host without links
-    receives ends there. All seeds together have ``MASS * FINE``.
+    ``edges``: kind, source, target, n; ``start``: kind, host. Every seed of a kind gets the same share of
+    ``MASS * FINE``; mass that a host without links receives ends there.
     """
-    n = start.count()
-    if n == 0:
-        return start.select("host", F.lit(0).cast("decimal(38,0)").alias("mass"))
-    out = edges.groupBy("source").agg(F.sum("n").alias("out"))
-    counted = stage(edges.join(out, "source").select("source", "target", "n", "out"), "link-shares")
-    ranks = None
-    if counted.where(F.col("out") > COARSE_LINKS).isEmpty():
-        ranks = _walk(counted, start.select("host"), MASS // n, "long", _coarse_moved(), steps, whole=True)
-    if ranks is not None:
-        return ranks.select("host", _fine(F.col("mass")).alias("mass"))
-    return _walk(counted, start.select("host"), MASS * FINE // n, "decimal(38,0)", _fine_moved(), steps)
-
-
-def _walk(counted: DataFrame, start: DataFrame, seed: int, kind: str, moved: Column, steps: int, whole: bool = False) -> DataFrame | None:
-    """(host, mass) after ``steps``; with ``whole``, none if an edge gets nothing of the mass of its source."""
-    mass = lambda m: F.lit(str(m)).cast(kind).alias("mass")
-    again = start.select("host", mass(seed * (100 - DAMPING) // 100), F.lit(False).alias("lost"))
-    ranks = start.select("host", mass(seed))
-    for _ in range(steps):
-        step = ranks.withColumnRenamed("host", "source").join(counted, "source").select(F.col("target").alias("host"), moved.alias("mass"), (F.col("mass") > 0).alias("had"))
-        step = step.select("host", "mass", (F.col("had") & (F.col("mass") == 0)).alias("lost"))
-        summed = stage(step.unionByName(again).groupBy("host").agg(F.sum("mass").cast(kind).alias("mass"), F.max("lost").alias("lost")), "ranks")
-        if whole and not summed.where("lost").isEmpty():
-            return None
-        ranks = summed.select("host", "mass")
-    return ranks
+    exact = lambda c: c.cast("decimal(38,0)")
+    counts = {r.kind: r.n for r in start.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return start.select("kind", "host", exact(F.lit(0)).alias("mass")), 0
+    seed = F.create_map(*[x for kind, n in counts.items() for x in (F.lit(kind), exact(F.lit(str(MASS * FINE // n))))])[F.col("kind")]
+    ranks = stage(start.select("kind", "host", seed.alias("mass")), "trust-seeds")
+    again = ranks.select("kind", "host", exact(F.floor(F.col("mass") * (100 - DAMPING) / 100)).alias("mass"))
+    out = edges.groupBy("kind", "source").agg(F.sum("n").alias("out"))
+    counted = stage(edges.join(out, ["kind", "source"]).select("kind", F.col("source").alias("host"), "target", "n", "out"), "link-shares")
+    steps, change = 0, None
+    while change is None or change > MASS * FINE // TOLERANCE:
+        before = ranks
+        for _ in range(BLOCK):
+            moved = ranks.join(counted, ["kind", "host"]).select("kind", F.col("target").alias("host"), _moved().alias("mass"))
+            ranks = moved.union(again).groupBy("kind", "host").agg(exact(F.sum("mass")).alias("mass"))
+        ranks = stage(ranks, "trust-ranks")
+        differences = ranks.union(before.withColumn("mass", exact(-F.col("mass")))).groupBy("kind", "host").agg(F.abs(F.sum("mass")).alias("by"))
+        steps, change = steps + BLOCK, differences.groupBy("kind").agg(F.sum("by").alias("by")).agg(F.max("by")).first()[0]
+    return ranks, steps
 
 
 def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(page_id, host, path, rule, verdict, trust, distrust) of every page (page_id, url, html)."""
+    """(page_id, host, path, rule, verdict, trust, distrust, steps) of every page (page_id, url, html)."""
     ruled = with_rule(split_url(pages.select("page_id", "url", "html")), rules)
     first = stage(seeds(ruled), "seeds")
     edges = stage(links(ruled), "links")
-    trust = spread(edges, first.where("verdict = 'allow'"))
-    against = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "n")
-    distrust = spread(against, first.where("verdict = 'block'"))
-    hosts = trust.withColumnRenamed("mass", "trust").join(distrust.withColumnRenamed("mass", "distrust"), "host", "full")
+    trust, distrust = F.lit("allow").alias("kind"), F.lit("block").alias("kind")
+    both = edges.select(trust, "source", "target", "n").union(edges.select(distrust, "target", "source", "n"))
+    ranks, steps = spread(both, first.select(F.col("verdict").alias("kind"), "host"))
+    of_kind = lambda kind, name: F.max(F.when(F.col("kind") == kind, F.col("mass"))).alias(name)
+    hosts = ranks.groupBy("host").agg(of_kind("allow", "trust"), of_kind("block", "distrust"))
     mass = lambda c: F.coalesce(c, F.lit(0).cast("decimal(38,0)")).alias(c)
     scored = ruled.drop("html", "url").join(hosts, "host", "left").select("page_id", "host", "path", "rule", "rule_verdict", mass("trust"), mass("distrust"))
     own = F.when(F.col("distrust") > F.col("trust") * FACTOR, "block").otherwise("allow")
     shown = lambda c: F.floor(F.col(c) / F.lit(FINE)).cast("long").alias(c)
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), shown("trust"), shown("distrust"))
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), shown("trust"), shown("distrust"), F.lit(steps).alias("steps"))

@@ -119,18 +119,25 @@ def _link_trust_sql() -> str:
         "up AS (SELECT DISTINCT host AS source, regexp_extract(host, '([^.]+[.][^.]+)$', 1) AS target FROM u WHERE host <> '')",
         "e AS MATERIALIZED (SELECT source, target, count(*) AS n FROM (SELECT * FROM o UNION ALL SELECT * FROM up UNION ALL SELECT target, source FROM up) WHERE source <> '' AND target <> '' AND source <> target GROUP BY ALL)",
     ]
-    for name, verdict, a, b in (("t", "allow", "source", "target"), ("d", "block", "target", "source")):
-        parts.append(f"{name}s AS (SELECT {a} AS source, {b} AS target, (n * {link_trust.SHARE}) // sum(n) OVER (PARTITION BY {a}) AS share FROM e)")
-        mass = f"({link_trust.MASS} // (SELECT count(*) FROM seed WHERE verdict = '{verdict}'))"
-        parts.append(f"{name}0 AS MATERIALIZED (SELECT host, {mass} AS mass FROM seed WHERE verdict = '{verdict}')")
-        for k in range(link_trust.STEPS):
-            moved = f"SELECT target AS host, ((mass * share) // {link_trust.SHARE} * {link_trust.DAMPING}) // 100 AS mass FROM {name}{k} JOIN {name}s ON source = host"
-            again = f"SELECT host, mass * {100 - link_trust.DAMPING} // 100 FROM {name}0"
-            parts.append(f"{name}{k + 1} AS MATERIALIZED (SELECT host, sum(mass)::BIGINT AS mass FROM ({moved} UNION ALL {again}) GROUP BY host)")
-    last = link_trust.STEPS
-    return f"""WITH {", ".join(parts)}
-SELECT page_id, u.host, path, rule, coalesce(rv, CASE WHEN coalesce(d.mass, 0) > {link_trust.FACTOR} * coalesce(t.mass, 0) THEN 'block' ELSE 'allow' END) AS verdict,
-  coalesce(t.mass, 0) AS trust, coalesce(d.mass, 0) AS distrust FROM u LEFT JOIN t{last} t USING (host) LEFT JOIN d{last} d USING (host)"""
+    whole, changed = f"{link_trust.MASS * link_trust.FINE}::HUGEINT", f"k % {link_trust.BLOCK} > 0 OR worst > {link_trust.MASS * link_trust.FINE // link_trust.TOLERANCE}::HUGEINT"
+    parts += [
+        "b AS (SELECT 'allow' AS kind, source, target, n FROM e UNION ALL SELECT 'block', target, source, n FROM e)",
+        "l AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY kind, source)::HUGEINT AS links FROM b)",
+        f"s AS MATERIALIZED (SELECT verdict AS kind, host, {whole} // count(*) OVER (PARTITION BY verdict) AS mass FROM seed WHERE verdict IS NOT NULL)",
+        f"""w AS (SELECT kind, host, mass, 0::HUGEINT AS old, {whole} AS worst, 0 AS k FROM s UNION ALL
+SELECT kind, host, mass, old, max(change) OVER () AS worst, k FROM (
+  SELECT *, sum(abs(mass - old)) OVER (PARTITION BY kind)::HUGEINT AS change FROM (
+    SELECT kind, host, sum(mass)::HUGEINT AS mass, sum(old)::HUGEINT AS old, max(k) + 1 AS k FROM (
+      SELECT w.kind, l.target AS host, (w.mass * l.n // l.links * {link_trust.DAMPING}) // 100 AS mass, 0::HUGEINT AS old, k FROM w JOIN l ON w.kind = l.kind AND w.host = l.source WHERE {changed}
+      UNION ALL SELECT s.kind, s.host, s.mass * {100 - link_trust.DAMPING} // 100, 0, m.k FROM s, (SELECT max(k) AS k FROM w WHERE {changed}) AS m WHERE m.k IS NOT NULL
+      UNION ALL SELECT kind, host, 0, CASE WHEN k % {link_trust.BLOCK} = 0 THEN mass ELSE old END, k FROM w WHERE {changed}) GROUP BY kind, host)))""",
+        "z AS MATERIALIZED (SELECT kind, host, mass, k FROM w WHERE k = (SELECT max(k) FROM w))",
+    ]
+    mass = lambda kind: f"coalesce({kind}.mass, 0::HUGEINT)"
+    return f"""WITH RECURSIVE {", ".join(parts)}
+SELECT page_id, u.host, path, rule, coalesce(rv, CASE WHEN {mass("d")} > {link_trust.FACTOR} * {mass("t")} THEN 'block' ELSE 'allow' END) AS verdict,
+  ({mass("t")} // {link_trust.FINE})::BIGINT AS trust, ({mass("d")} // {link_trust.FINE})::BIGINT AS distrust, coalesce((SELECT max(k) FROM w), 0)::INTEGER AS steps
+FROM u LEFT JOIN z t ON t.host = u.host AND t.kind = 'allow' LEFT JOIN z d ON d.host = u.host AND d.kind = 'block'"""
 
 
 @query("op5_link_trust", _link_trust_sql())

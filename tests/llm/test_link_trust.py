@@ -39,18 +39,24 @@ def brute_rank(edges, seeds, steps):
     out = {}
     for (a, _), n in edges.items():
         out[a] = out.get(a, 0) + n
-    seed = lt.MASS // len(seeds)
+    seed = lt.MASS * lt.FINE // len(seeds)
     mass = {s: seed for s in seeds}
     for _ in range(steps):
         after = {s: seed * (100 - lt.DAMPING) // 100 for s in seeds}
         for (a, b), n in edges.items():
             if a in mass:
-                share = n * lt.SHARE // out[a]
-                after[b] = after.get(b, 0) + mass[a] * share // lt.SHARE * lt.DAMPING // 100
+                after[b] = after.get(b, 0) + mass[a] * n // out[a] * lt.DAMPING // 100
         mass = after
     return mass
 
 
+def spread(spark, edges, hosts):
+    """({host: mass}, steps) of one kind."""
+    table = spark.createDataFrame([("allow", a, b, n) for (a, b), n in edges.items()], "kind string, source string, target string, n long")
+    ranks, steps = lt.spread(table, spark.createDataFrame([("allow", h) for h in hosts], "kind string, host string"))
+    return {r.host: int(r.mass) for r in ranks.collect()}, steps
+
+
 def link(*targets):
     return "".join(f"<p><a class=x href='{t}'>t</a>" for t in targets)
 
@@ -74,37 +80,46 @@ def test_trust_spreads_and_hosts_are_judged(spark):
     assert len(got) == len(rows)
     assert [by[i].verdict for i in range(1, 10)] == ["allow", "allow", "allow", "block", "block", "block", "allow", "allow", "allow"]
     edges = {("good.org", "friend.com"): 3, ("friend.com", "far.io:8080"): 1, ("spam.io", "bad.net"): 2, ("farm.io", "spam.io"): 1}
-    trust = brute_rank(edges, ["good.org"], lt.STEPS)
-    distrust = brute_rank({(b, a): n for (a, b), n in edges.items()}, ["bad.net"], lt.STEPS)
+    trust = brute_rank(edges, ["good.org"], got[0].steps)
+    distrust = brute_rank({(b, a): n for (a, b), n in edges.items()}, ["bad.net"], got[0].steps)
     for r in got:
-        assert (r.trust, r.distrust) == (trust.get(r.host, 0), distrust.get(r.host, 0)), r.host
+        assert (r.trust, r.distrust) == (trust.get(r.host, 0) // lt.FINE, distrust.get(r.host, 0) // lt.FINE), r.host
 
 
 def test_a_hub_of_millions_of_links_loses_no_target(spark):
     """Exact fractions by hand, and a chain of rare links that ends far below 1e-12."""
     edges = {("hub", "much"): 1_999_999, ("hub", "rare"): 1, ("rare", "end"): 1}
     edges |= {(f"c{k}", f"c{k + 1}"): 1 for k in range(5)} | {(f"c{k}", "else"): 9_999 for k in range(5)}
-    table = spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "source string, target string, n long")
-    start = spark.createDataFrame([("hub",), ("c0",)], "host string")
-    got = {r.host: int(r.mass) for r in lt.spread(table, start).collect()}
+    got, steps = spread(spark, edges, ["hub", "c0"])
     out, seed = {}, Fraction(lt.MASS * lt.FINE, 2)
     for (a, _), n in edges.items():
         out[a] = out.get(a, 0) + n
     want = {"hub": seed, "c0": seed}
-    for _ in range(lt.STEPS):
+    for _ in range(steps):
         after = {h: seed * (100 - lt.DAMPING) / 100 for h in ("hub", "c0")}
         for (a, b), n in edges.items():
             after[b] = after.get(b, 0) + want.get(a, 0) * n / out[a] * lt.DAMPING / 100
         want = after
-    assert got.keys() == want.keys() and all(abs(got[h] - want[h]) <= 100 for h in want)
+    assert got.keys() == want.keys() and all(abs(got[h] - want[h]) <= 1000 for h in want)
     assert got["rare"] > 0 and got["end"] > 0 and got["c5"] > 0
 
 
 def test_few_links_far_from_many_seeds_are_not_lost(spark):
     """No host has many links, but whole 1e-12ths would run out on the way."""
-    rows = [(f"c{k}", f"c{k + 1}", 1) for k in range(5)] + [(f"c{k}", "else", 999) for k in range(5)]
-    found = lt.spread(spark.createDataFrame(rows, "source string, target string, n long"), spark.createDataFrame([("c0",)], "host string"))
-    assert {r.host: r.mass for r in found.collect()}["c5"] > 0
+    edges = {(f"c{k}", f"c{k + 1}"): 1 for k in range(5)} | {(f"c{k}", "else"): 999 for k in range(5)}
+    assert spread(spark, edges, ["c0"])[0]["c5"] > 0
+
+
+def test_steps_end_when_masses_settle(spark):
+    """A chain without a way back settles once it is walked; a circle goes on until little moves."""
+    chain, steps = spread(spark, {(f"c{k}", f"c{k + 1}"): 1 for k in range(15)}, ["c0"])
+    assert steps == 24 and chain["c15"] > 0 and lt.TOLERANCE * abs(sum(chain.values()) - lt.MASS * lt.FINE) < 100 * lt.MASS * lt.FINE
+    circle = {(f"c{k}", f"c{(k + 1) % 3}"): 1 for k in range(3)}
+    found, steps = spread(spark, circle, ["c0"])
+    further = brute_rank(circle, ["c0"], 200)
+    assert found == brute_rank(circle, ["c0"], steps) and steps <= 48
+    assert sum(abs(found[h] - further[h]) for h in found) < 0.4 * lt.MASS * lt.FINE / lt.TOLERANCE
+    assert spread(spark, circle, [])[1] == 0
 
 
 def test_a_hot_host_does_not_hide_who_links_to_bad_hosts(spark):
