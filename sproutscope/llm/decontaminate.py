@@ -1,6 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-A token is a run of letters and digits, lower-cased. A mask reads some positions of a few tokens in a
+A token is a run of letters and digits, lower-cased; in scripts that don't part words by spaces it is one
+character. A mask reads some positions of a few tokens in a
 row and ignores the others; its hash is equal in a document and a test item even if ignored tokens
 were substituted. A hit fixes how the item lies over the document, and the overlap counts if, in some
 window of ``WINDOW`` tokens of the item (all of a shorter one), at most ``(window - 7) / 2`` differ:
@@ -13,11 +14,16 @@ The hashes of the items are broadcast while a count shows that there are at most
 of them. Beyond it, documents and items are joined by hash in a shuffle of (text, position, hash).
 Texts are cut into parts of a bounded number of tokens first, so a long text is many small rows.
 
-Defined cases: null and empty texts have no tokens and no overlap; items of fewer than ``LEAST_TOKENS``
-tokens (a line of a few common words would condemn clean documents) aren't searched; equal items are
+Items too short for a window (fewer than ``LEAST_TOKENS``) are searched in a second pass, made only if there are
+any: without substitutions, by the hash of all their tokens in a row. As one to three common words are found
+in many clean documents, items of fewer than ``LEAST_RUN`` tokens have to be the whole text.
+
+Defined cases: null and empty texts and items have no tokens and no overlap; equal items are
 all reported; repeated documents are all reported; empty tables give an empty result.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +32,20 @@ from sproutscope.session import stage
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 6, 8, 9), (0, 1, 3, 4, 5))
 WINDOW = 13
 LEAST_TOKENS = 8
+LEAST_RUN = 4
 #: Own tokens of a part of a text, and those beyond that its masks and windows reach.
 PART, MARGIN = 4096, 2 * WINDOW
 BROADCAST_SEEDS = 1_000_000  # of some 300 bytes
 
 TOKEN = r"[\p{L}\p{N}]+"
+#: Thai, Lao, Burmese, Khmer, kana and Han characters, by their blocks.
+UNSPACED = r"([\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}])"
 
 
 def token_hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+    lower = F.lower(text)
+    spaced = F.when(F.octet_length(lower) > F.length(lower), F.regexp_replace(lower, UNSPACED, " $1 ")).otherwise(lower)
+    return F.transform(F.regexp_extract_all(spaced, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
 
 
 def _seed(tokens: Column, at: Column, number: int) -> Column:
@@ -71,9 +82,8 @@ def _around(tokens: Column, place: Column) -> Column:
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, tokens) of each test item that is searched."""
-    cut = benchmark.select("item_id", token_hashes(F.col("text")).alias("tokens"))
-    return cut.where(F.size("tokens") >= LEAST_TOKENS)
+    """(item_id, tokens) of each test item that has a token."""
+    return benchmark.select("item_id", token_hashes(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
 
 
 def item_seeds(tests: DataFrame) -> DataFrame:
@@ -104,13 +114,39 @@ def _verified(hits: DataFrame) -> DataFrame:
     return made.where("matched >= width - (width - 7) DIV 2 AND _apart >= 0").drop("_apart")
 
 
+def short_overlaps(texts: DataFrame, short: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """(text_key, item_id, matched, width) of texts (text_key, tokens) that hold an item of few tokens as it is."""
+    index = stage(short.select("item_id", "tokens", F.size("tokens").alias("width"), F.xxhash64("tokens").alias("seed")), "short-items")
+    widths = [r.width for r in index.select("width").distinct().collect()]  # fewer than LEAST_TOKENS
+    whole = [w for w in widths if w < LEAST_RUN]
+    found = [texts.where(F.size("tokens").isin(whole)).select("text_key", F.col("tokens").alias("run"))] if whole else []
+    runs = [w for w in widths if w >= LEAST_RUN]
+    if runs:
+        laid = parts(texts).select("text_key", "part", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + PART, F.size("part")) - 1)).alias("place"))
+        at_place = F.array(*[F.when(F.col("place") + w <= F.size("part"), F.slice("part", F.col("place") + 1, w)) for w in runs])
+        found.append(laid.select("text_key", F.explode(at_place).alias("run")).where("run IS NOT NULL"))
+    if not found:
+        return texts.select("text_key", F.lit(0).alias("item_id"), F.lit(0).alias("matched"), F.lit(0).alias("width")).where("false")
+    seeded = reduce(DataFrame.union, found).withColumn("seed", F.xxhash64("run"))
+    other = F.broadcast(index) if index.count() <= broadcast_seeds else index
+    hits = seeded.join(other, "seed").where(F.col("run") == F.col("tokens"))
+    return hits.select("text_key", "item_id", F.col("width").alias("matched"), "width").distinct()
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """(text_key, item_id, matched, width): the best overlap of each text with each item.
 
     ``text_key`` is the text's md5, so repeated documents are found together.
     """
-    index = stage(item_seeds(items(benchmark)), "seeds")
-    rows = parts(docs.select(F.md5("text").alias("text_key"), token_hashes(F.col("text")).alias("tokens")))
+    tests = stage(items(benchmark), "items")
+    texts = docs.select(F.md5("text").alias("text_key"), token_hashes(F.col("text")).alias("tokens"))
+    long_ones, short_ones = tests.where(F.size("tokens") >= LEAST_TOKENS), tests.where(F.size("tokens") < LEAST_TOKENS)
+    found = _spaced_overlaps(texts, stage(item_seeds(long_ones), "seeds"), broadcast_seeds)
+    return found if short_ones.isEmpty() else found.unionByName(short_overlaps(texts, short_ones, broadcast_seeds))
+
+
+def _spaced_overlaps(texts: DataFrame, index: DataFrame, broadcast_seeds: int) -> DataFrame:
+    rows = parts(texts)
     laid = seeds(rows)
     near = _around(F.col("part"), F.col("place")).alias("near")
     if index.count() <= broadcast_seeds:

@@ -155,9 +155,17 @@ def _masks_sql(tokens: str, name: str, extra: str) -> str:
     return f"{name} AS ({' UNION ALL '.join(parts)})"
 
 
+def _tokens_sql(text: str) -> str:
+    return rf"regexp_extract_all(regexp_replace(lower({text}), '{decontaminate.UNSPACED}', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
+
+
 DECONTAMINATION_SQL = rf"""WITH
-d AS (SELECT text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
-b AS (SELECT item_id, w FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark) WHERE len(w) >= {decontaminate.LEAST_TOKENS}),
+d AS (SELECT text, {_tokens_sql("text")} AS w FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+a AS (SELECT item_id, {_tokens_sql("text")} AS w FROM benchmark),
+b AS (SELECT * FROM a WHERE len(w) >= {decontaminate.LEAST_TOKENS}),
+runs AS (SELECT DISTINCT text, item_id, n FROM (
+  SELECT text, n, d.w[i:i + n - 1] AS w FROM d, (SELECT DISTINCT len(w) AS n FROM a WHERE len(w) BETWEEN 1 AND {decontaminate.LEAST_TOKENS - 1}), range(1, len(d.w) - n + 2) AS t(i)
+  WHERE n >= {decontaminate.LEAST_RUN} OR n = len(d.w)) JOIN a USING (w)),
 {_masks_sql("d", "ds", "text")},
 {_masks_sql("b", "bs", "item_id")},
 laid AS (SELECT DISTINCT ds.text, bs.item_id, ds.i - bs.i AS shift FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
@@ -167,7 +175,8 @@ eq AS (SELECT laid.text, laid.item_id, shift, b.w AS iw, least(len(b.w), {decont
 best AS (SELECT text, item_id, width, max(list_max(list_transform(range(1, len(e) - width + 2), lambda s: list_sum(e[s:s + width - 1])))) AS matched
          FROM eq GROUP BY text, item_id, width)
 SELECT documents.doc_id, item_id, CAST(matched AS INTEGER) AS matched, CAST(width AS INTEGER) AS width
-FROM best JOIN documents USING (text) WHERE matched >= width - (width - 7) // 2"""
+FROM best JOIN documents USING (text) WHERE matched >= width - (width - 7) // 2
+UNION ALL SELECT doc_id, item_id, CAST(n AS INTEGER), CAST(n AS INTEGER) FROM runs JOIN documents USING (text)"""
 
 
 def captures(pages: DataFrame) -> DataFrame:

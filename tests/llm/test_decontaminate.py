@@ -1,13 +1,15 @@
 import itertools
 import re
 
+import duckdb
 import pytest
 
 from sproutscope.llm import decontaminate as d
+from sproutscope.llm import queries
 
 
 def tokens(text):
-    return re.findall(r"[^\W_]+", (text or "").lower())
+    return re.findall(r"[\u4e00-\u9fff]|[^\W_\u4e00-\u9fff]+", (text or "").lower())
 
 
 def brute_force(pairs, items):
@@ -17,6 +19,9 @@ def brute_force(pairs, items):
         for item_id, item in items:
             w = tokens(item)
             if len(w) < d.LEAST_TOKENS:
+                at = [k for k in range(len(t) - len(w) + 1) if t[k : k + len(w)] == w]
+                if w and at and (len(w) >= d.LEAST_RUN or len(w) == len(t)):
+                    out.add((doc_id, item_id, len(w)))
                 continue
             width = min(len(w), d.WINDOW)
             best = 0
@@ -57,6 +62,35 @@ def test_by_brute_force_on_both_paths(spark, docs, prose, monkeypatch, limit, pa
     assert {(i, j, m) for (i, j), m in by_text.items()} == brute_force(pairs, items)
 
 
+SHORT = [(1, "one"), (2, "One two."), (3, "one two three four"), (4, "a b c d e f g"), (5, "a b c d e f g h"), (6, "…"), (7, None), (8, "one"), (9, "天地玄黄宇宙洪荒日月盈昃"), (10, "天地玄黄")]
+
+
+@pytest.mark.parametrize("limit,part", [(d.BROADCAST_SEEDS, d.PART), (0, 5)])
+def test_short_items_and_scripts_without_spaces(spark, docs, prose, monkeypatch, limit, part):
+    monkeypatch.setattr(d, "PART", part)
+    texts = ["one", "One, two", "one two three", "zero one two three four five", "a b c d e f g", "x a b c d e f g h y", "a b c d e f", "",
+             "我们说天地玄黄宇宙洪荒日月盈昃。完了", "我们说天地玄黄宇宙洪荒x月盈昃", "x天地玄黄y", "天地玄", f"{prose(1, 30)} one two three four {prose(2, 30)}"]
+    pairs = [*enumerate(texts), (98, None), (99, "one")]
+    table, benchmark = docs(pairs), spark.createDataFrame(SHORT, "item_id long, text string")
+    keyed = table.selectExpr("doc_id", "md5(text) AS text_key").join(d.overlaps(table, benchmark, limit), "text_key")
+    want = brute_force(pairs, SHORT)
+    assert {(r.doc_id, r.item_id, r.matched) for r in keyed.collect()} == want and keyed.count() == len(want)
+    assert (3, 3, 4) in want and (2, 1, 1) not in want and (9, 9, 11) in want
+    kept = {r.doc_id for r in d.filter_documents(table, benchmark).collect()}
+    assert kept == {i for i, _ in pairs} - {i for i, _, _ in want}
+
+
+def test_short_items_in_sql(spark, docs, tmp_path):
+    pairs = [(1, "one"), (2, "zero one two three four"), (3, "x天地玄黄y"), (4, "one two"), (4, "one two"), (5, None), (6, "天地玄黄宇宙洪荒日月盈星")]
+    docs(pairs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(SHORT, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = sorted(tuple(r) for r in queries.op7(spark, str(tmp_path)).collect())
+    assert found == sorted(con.execute(queries.DECONTAMINATION_SQL).fetchall()) and len(found) == 8
+
+
 def test_filter_and_empty_tables(spark, docs, prose):
     item = prose("item", 30)
     benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
