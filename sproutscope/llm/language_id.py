@@ -7,8 +7,10 @@ A text gets the language of the lowest cross-entropy per character. Documents fo
 which the counts leave out, give the sharpness of the confidence and, per length of text, the
 cross-entropy beyond which a text is rejected.
 
-The models have a proven size: a 4-gram is kept if it makes up at least the share ``L**2 / CELLS`` of
-its language's grams, so ``L`` languages have ``CELLS / L`` grams and ``CELLS`` cells at most.
+No gram is dropped. Counted models of up to ``CELLS`` cells (4-grams times languages) are broadcast. Larger
+ones stay tables, with discounts, continuation counts and back-off weights taken from all counts in Spark:
+workers then know the most frequent grams, at most ``CELLS / L`` for ``L`` languages, and all other
+grams of the texts are joined with the tables. Both ways give the same probabilities.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and is rejected; without
 any training text every document is ``und``; ties go to the language first in order; repeated rows
@@ -16,6 +18,8 @@ count and are judged one by one; texts are read whole; an empty table gives an e
 of the input are kept, and ``lang`` is never read for a prediction.
 """
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,6 +31,7 @@ from sproutscope.llm.batches import bounded_batches, once, pieces
 from sproutscope.session import stage
 
 ORDER = 4
+#: Cells (4-grams times languages) of the models or of the part of them that workers hold.
 CELLS = 8_000_000
 #: Documents are dealt by crc32 of their id: rest 0 and null ids train, 2 calibrates, 1 is held out.
 FOLDS = 3
@@ -238,15 +243,70 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def learn(docs: DataFrame) -> dict:
-    """Models from the training fold of ``docs`` (doc_id, lang, text)."""
-    trained = docs.where(~fold(F.col("doc_id")).isin(HELD_OUT, CALIBRATION))
-    counts = stage(count_grams(trained), "gram-counts")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    langs = totals.count()
-    # one row per language
-    kept = counts.join(F.broadcast(totals), "lang").where(F.col("n") * F.lit(CELLS) >= F.col("total") * F.lit(langs * langs))
-    return build(kept.select("lang", "gram", "n").toPandas())
+def _low(gram: Column, order: int) -> Column:
+    """The last ``order`` characters of a gram."""
+    return gram.bitwiseAND(F.lit((1 << 16 * order) - 1))
+
+
+def _context(gram: Column) -> Column:
+    return F.shiftrightunsigned(gram, 16)
+
+
+def _by_language(n_langs: int, value: str, default: float) -> Column:
+    """Aggregates rows (lang, value) into an array of a value per language."""
+    known = F.map_from_entries(F.collect_list(F.struct("lang", value)))  # one row per language
+    return F.transform(F.sequence(F.lit(0), F.lit(n_langs - 1)), lambda k: F.coalesce(F.element_at(known, k), F.lit(default)))
+
+
+def _both(a, b, f) -> Column:
+    return F.zip_with(a, b, f)
+
+
+class Tables:
+    """The models of all languages as tables, from rows (lang, gram, n) whose languages are numbers.
+
+    ``grams[o]``: (gram, p) and ``contexts[o]``: (context, gamma), with a column of the languages' values each.
+    """
+
+    def __init__(self, counts: DataFrame, n_langs: int):
+        counted, self.grams, self.contexts, self.n_langs = {ORDER: counts}, {}, {}, n_langs
+        for o in range(ORDER - 1, 0, -1):  # how many characters a shorter gram follows
+            shorter = _low(F.col("gram"), o).alias("gram")
+            counted[o] = stage(counted[o + 1].groupBy("lang", shorter).agg(F.count("*").alias("n")), "gram-counts")
+        alphabet = counted[1].select("gram").distinct().count() + 1
+        for o in range(1, ORDER + 1):
+            ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+            discount = F.when((ones > 0) & (twos > 0), ones / (ones + 2 * twos)).otherwise(0.75)
+            # one row per language
+            rows = counted[o].join(F.broadcast(counted[o].groupBy("lang").agg(discount.alias("discount"))), "lang")
+            rows = rows.withColumn("context", _context(F.col("gram")))
+            left = F.sum(F.least("n", "discount")) / F.sum("n")
+            contexts = stage(rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), left.alias("gamma")), "gram-contexts")
+            own = rows.join(contexts, ["lang", "context"]).select("lang", "gram", (F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total")).alias("p"))
+            direct = own.groupBy("gram").agg(_by_language(n_langs, "p", 0.0).alias("direct"))
+            self.contexts[o] = stage(contexts.groupBy("context").agg(_by_language(n_langs, "gamma", 1.0).alias("gamma")), "gram-contexts")
+            direct = direct.withColumns({"context": _context(F.col("gram")), "shorter": _low(F.col("gram"), o - 1)}).join(self.contexts[o], "context")
+            if o == 1:
+                p = _both("direct", "gamma", lambda d, g: d + g / alphabet)
+            else:
+                direct = direct.join(self.grams[o - 1].withColumnsRenamed({"gram": "shorter", "p": "lower"}), "shorter")
+                p = _both("direct", _both("gamma", "lower", lambda g, q: g * q), lambda d, q: d + q)
+            self.grams[o] = stage(direct.select("gram", p.alias("p")), "grams")
+        self.unseen = [g / alphabet for g in self.contexts[1].first().gamma]
+
+    def logs(self, wanted: DataFrame) -> DataFrame:
+        """(gram, logs): log probabilities by language of all ``wanted`` distinct grams, known or not."""
+        ones = F.array_repeat(F.lit(1.0), self.n_langs)
+        log = lambda a, b: _both(a, b, lambda x, y: F.log(F.greatest(x * y, F.lit(1e-30))).cast("float")).alias("logs")
+        rest, found = wanted.select("gram", F.col("gram").alias("part"), ones.alias("weight")), []
+        for o in range(ORDER, 0, -1):
+            rows = stage(rest.join(self.grams[o].withColumnRenamed("gram", "part"), "part", "left"), "gram-logs")
+            found.append(rows.where("p IS NOT NULL").select("gram", log("weight", "p")))
+            rest = rows.where("p IS NULL").drop("p")
+            if o > 1:  # grams that no language knows go on to shorter ones
+                rest = rest.withColumn("context", _context(F.col("part"))).join(self.contexts[o], "context", "left")
+                rest = rest.select("gram", _low(F.col("part"), o - 1).alias("part"), _both("weight", F.coalesce("gamma", ones), lambda w, g: w * g).alias("weight"))
+        return reduce(DataFrame.union, found, rest.select("gram", log("weight", F.array(*map(F.lit, self.unseen)))))
 
 
 SCORED = "lang_best string, entropy double, chars long, margins array<double>"
@@ -275,6 +335,86 @@ def scorer(spark, models: dict):
     return score
 
 
+PARTLY = "key string, chars long, sums array<double>, rest array<struct<gram: bigint, n: bigint>>"
+
+
+def _partly_scored(texts: DataFrame, known: pa.Table, n_langs: int) -> DataFrame:
+    """Per text (key, text): characters, summed logs of grams in ``known`` (gram, logs), and counts of the rest."""
+    keys = known.column("gram").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    values = known.column("logs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n_langs)
+    shared = texts.sparkSession.sparkContext.broadcast((keys[order], values[order]))
+    pair = pa.struct([("gram", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        table, (keys, values) = once(("letters",), letter_table), shared.value
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                own, ends = grams(part.column("text").to_pylist(), table)
+                chars = np.diff(ends, prepend=0)
+                owner = np.repeat(np.arange(len(ends)), chars)
+                sums = np.zeros((len(ends), n_langs))
+                at = np.searchsorted(keys, own)
+                has = np.zeros(len(own), dtype=bool)
+                inside = at < len(keys)
+                has[inside] = keys[at[inside]] == own[inside]
+                places, who = at[has], owner[has]
+                for a in range(0, len(who), _SLICE):
+                    names = who[a : a + _SLICE]
+                    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+                    sums[names[first]] += np.add.reduceat(values[places[a : a + _SLICE]], first, axis=0, dtype=np.float64)
+                other, who = own[~has], owner[~has]
+                ranked = np.lexsort((other, who))
+                other, who = other[ranked], who[ranked]
+                first = np.flatnonzero(np.concatenate([[True], (other[1:] != other[:-1]) | (who[1:] != who[:-1])])) if len(other) else np.empty(0, np.int64)
+                rest = pa.StructArray.from_arrays([pa.array(other[first].view(np.int64)), pa.array(np.diff(first, append=len(other)))], fields=list(pair))
+                upto = np.concatenate([[0], np.cumsum(np.bincount(who[first], minlength=len(ends)))]).astype(np.int32)
+                arrays = [part.column("key"), pa.array(chars), pa.array(list(sums), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(upto), rest)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "chars", "sums", "rest"])
+
+    bounded_batches(texts.sparkSession)
+    return texts.mapInArrow(run, PARTLY)
+
+
+def _scored_by_join(docs: DataFrame, counts: DataFrame, langs: list[str]) -> DataFrame:
+    """``docs`` with the scores ``__s``, for models that are too large for a worker."""
+    n_langs = len(langs)
+    tables = Tables(counts, n_langs)
+    totals = stage(counts.groupBy("gram").agg(F.sum("n").alias("n")), "gram-totals")
+    total = totals.agg(F.sum("n")).first()[0]
+    frequent = totals.where(F.col("n") * F.lit(CELLS // n_langs) >= F.lit(total)).select("gram")
+    key = F.md5("text")
+    texts = docs.where("text IS NOT NULL").select(key.alias("key"), "text").dropDuplicates(["key"])
+    partly = stage(_partly_scored(texts, tables.logs(frequent).toArrow(), n_langs), "partly-scored")
+    rest = partly.select("key", F.inline("rest"))
+    logs = stage(tables.logs(rest.select("gram").distinct()), "gram-logs")
+    each = rest.join(logs, "gram").select("key", "n", F.posexplode("logs").alias("lang", "log"))
+    sums = each.groupBy("key", "lang").agg(F.sum(F.col("n") * F.col("log").cast("double")).alias("log"))
+    more = sums.groupBy("key").agg(_by_language(n_langs, "log", 0.0).alias("more"))
+    nothing = F.array_repeat(F.lit(0.0), n_langs)
+    whole = partly.where("chars > 0").join(more, "key", "left").select("key", "chars", _both("sums", F.coalesce("more", nothing), lambda a, b: a + b).alias("sums"))
+    ranked = whole.select("key", "chars", F.transform("sums", lambda x: -x / F.col("chars")).alias("found")).withColumn("entropy", F.array_min("found"))
+    best = F.element_at(F.array(*map(F.lit, langs)), F.array_position("found", F.col("entropy")).cast("int"))
+    margins = F.transform("found", lambda x: x - F.col("entropy"))
+    scores = stage(ranked.select(F.col("key").alias("__key"), F.struct(best.alias("lang_best"), "entropy", "chars", margins.alias("margins")).alias("__s")), "scores")
+    return docs.withColumn("__key", key).join(scores, "__key", "left").drop("__key")
+
+
+def with_scores(docs: DataFrame) -> DataFrame:
+    """``docs`` with the scores ``__s`` by models of the training fold of ``docs`` (doc_id, lang, text)."""
+    trained = docs.where(~fold(F.col("doc_id")).isin(HELD_OUT, CALIBRATION)).select("lang", "text")
+    counts = stage(count_grams(trained), "gram-counts")
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    codes = F.array(*map(F.lit, langs)) if langs else F.array().cast("array<string>")
+    numbered = counts.select((F.array_position(codes, F.col("lang")) - 1).cast("int").alias("lang"), "gram", "n")
+    # with fewer than four languages the grams that the driver takes are as many as with four
+    if counts.count() * max(len(langs), 4) > CELLS:
+        return _scored_by_join(docs, numbered, langs)
+    counted = numbered.toArrow().to_pandas()
+    counted["lang"] = pd.Categorical.from_codes(counted["lang"], langs)
+    return docs.withColumn("__s", scorer(docs.sparkSession, build(counted))("text"))
+
+
 def _confidence(sharpness) -> Column:
     """Of the best language, whose margin is 0."""
     return 1 / F.aggregate("margins", F.lit(0.0), lambda total, m: total + F.exp(-F.lit(sharpness) * m))
@@ -311,8 +451,8 @@ def identify(docs: DataFrame) -> DataFrame:
     (its fold) and scored for the result; only counts and scores are stored in between.
     """
     new = ["held_out", "lang_pred", "score", "entropy", "rejected"]
-    score = scorer(docs.sparkSession, learn(docs.select("doc_id", "lang", "text")))
-    trial = docs.where(fold(F.col("doc_id")) == CALIBRATION).select("lang", score("text").alias("s")).select("lang", "s.*")
+    scored = with_scores(docs)
+    trial = scored.where(fold(F.col("doc_id")) == CALIBRATION).select("lang", "__s.*")
     sharpness, limits = calibrate(stage(trial, "calibration"))
     known = F.col("__s.chars") > 0
     margins = F.aggregate("__s.margins", F.lit(0.0), lambda total, m: total + F.exp(-F.lit(sharpness) * m))
@@ -320,7 +460,7 @@ def identify(docs: DataFrame) -> DataFrame:
     if limits:
         by_length = F.create_map(*[F.lit(x) for pair in limits for x in pair])
         limit = F.coalesce(F.element_at(by_length, _length_class(F.col("__s.chars"))), limit)
-    return docs.withColumn("__s", score("text")).select(
+    return scored.select(
         *[c for c in docs.columns if c not in new],
         (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"),
         F.when(known, F.col("__s.lang_best")).otherwise(UNKNOWN).alias("lang_pred"),

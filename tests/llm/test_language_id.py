@@ -98,6 +98,22 @@ def test_without_labels_or_rows(docs):
     assert rows[0].lang_pred == "und" and rows[0].rejected
 
 
+def test_models_beyond_the_bound_give_the_same_scores(docs, prose, monkeypatch):
+    """No gram is dropped: with a bound that bites, the rest of the grams are joined."""
+    pairs = [(k, prose(k, 25) if k % 2 else prose(k, 25, "bcdfinortuvwxyzé")) for k in range(120)]
+    pairs += [(200, None), (201, "12 34 !!"), (202, ""), (203, prose("u", 9, "abxyzж中文")), (204, "zq"), (None, prose(5, 12))]
+    table = docs(pairs, lang={i: None if i is None or i >= 200 else "en" if i % 2 else "xx" if i % 3 else "yy" for i, _ in pairs})
+    rows = lambda: {r.doc_id: r for r in li.identify(table).collect()}
+    want = rows()
+    for cells in (1, 4000):
+        monkeypatch.setattr(li, "CELLS", cells)
+        got = rows()
+        assert got.keys() == want.keys()
+        for i, r in got.items():
+            assert (r.lang_pred, r.rejected, r.held_out) == (want[i].lang_pred, want[i].rejected, want[i].held_out)
+            assert abs(r.score - want[i].score) < 1e-4 and abs((r.entropy or 0) - (want[i].entropy or 0)) < 1e-4
+
+
 @pytest.fixture(scope="module")
 def predicted(spark):
     found = entry.queries()["op2_language_id"](spark, SF).toPandas()
