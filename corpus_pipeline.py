@@ -7,7 +7,6 @@ ids decode to the text's bytes.
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sproutscope.llm import byte_bpe, decontaminate, language_id, near_dup, quality_rules
 from sproutscope.session import stage, tune
@@ -36,8 +35,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document (little-endian 32-bit integers) with their count and digests."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(encoded.withColumn("token_ids", F.col("ids")), ranks)
+    encoded = byte_bpe.encode(docs.drop("token_ids"), ranks, public_tokenizers.PATTERN, digested=True)
+    return encoded.withColumnRenamed("ids", "token_ids")
 
 
 STAGES = [

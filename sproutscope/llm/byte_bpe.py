@@ -169,30 +169,36 @@ def encode(
     text: str = "text",
     chunk_chars: int = CHUNK_CHARS,
     overlap_chars: int = OVERLAP_CHARS,
+    digested: bool = False,
 ) -> DataFrame:
     """``docs`` with ``ids`` (binary: little-endian 32-bit integers) in place of the text.
 
+    ``digested`` adds what ``digests`` does in the same pass, so a task has one Python worker and not two.
+
     Texts of one chunk are encoded where they lie. Longer ones are cut, their chunks are dealt over
     all tasks and encoded there, and come together again per text to be stitched. Only long texts
     are shuffled, copies of one once. An input column named ``ids`` is replaced.
     """
-    kept = [c for c in docs.columns if c not in (text, "ids")]
+    fields = [T.StructField("ids", T.BinaryType()), *(DIGESTS if digested else [])]
+    new = [f.name for f in fields]
+    kept = [c for c in docs.columns if c not in (text, *new)]
     size = F.coalesce(F.length(text), F.lit(0))
 
     def short(part):
         own = loaded(path, pattern)
-        return [pa.array([own.encode(t) if t else b"" for t in part.column(text).to_pylist()], pa.binary())]
+        ids = [own.encode(t) if t else b"" for t in part.column(text).to_pylist()]
+        return [pa.array(ids, pa.binary()), *(_digests(path, ids) if digested else [])]
 
-    whole = add_columns(docs.select(*kept, text).where(size <= chunk_chars), text, [T.StructField("ids", T.BinaryType())], short)
+    whole = add_columns(docs.select(*kept, text).where(size <= chunk_chars), text, fields, short)
     long = docs.where(size > chunk_chars)
     name = F.sha2(F.col(text), 256)
     cut_up = long.select(name.alias("name"), F.col(text).alias("text")).mapInArrow(_cutter(chunk_chars, overlap_chars), CUT)
     # dealing out by (name, number) also leaves one of each repeated chunk
     dealt = cut_up.dropDuplicates(["name", "number"])
     encoded = dealt.mapInArrow(_chunk_encoder(path, pattern), ENCODED)
-    joined = encoded.groupBy("name").applyInArrow(_stitcher(path, pattern), "name string, ids binary")
+    joined = encoded.groupBy("name").applyInArrow(_stitcher(path, pattern, digested), T.StructType([T.StructField("name", T.StringType()), *fields]))
     rest = long.select(F.struct(*kept).alias("rest"), name.alias("name"))
-    return whole.unionByName(rest.join(joined, "name").select("rest.*", "ids"))
+    return whole.unionByName(rest.join(joined, "name").select("rest.*", *new))
 
 
 CUT = "name string, number long, origin long, chunk string"
@@ -223,7 +229,7 @@ def _chunk_encoder(path: str, pattern: str):
     return run
 
 
-def _stitcher(path: str, pattern: str):
+def _stitcher(path: str, pattern: str, digested: bool):
     def run(group: pa.Table) -> pa.Table:
         own = loaded(path, pattern)
         rows = group.sort_by("number").to_pylist()
@@ -235,26 +241,30 @@ def _stitcher(path: str, pattern: str):
                 out.extend(own.ids_of(p) for p in a)
             else:
                 out.append(rows[k]["ids"][ends[k][a] : ends[k][b]])
-        return pa.table({"name": pa.array([rows[0]["name"]], pa.string()), "ids": pa.array([b"".join(out)], pa.binary())})
+        ids = [b"".join(out)]
+        arrays = [pa.array([rows[0]["name"]], pa.string()), pa.array(ids, pa.binary()), *(_digests(path, ids) if digested else [])]
+        return pa.Table.from_arrays(arrays, names=["name", "ids", *([f.name for f in DIGESTS] if digested else [])])
 
     return run
 
 
+DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+
+
+def _digests(path: str, encoded: list[bytes | None]) -> list[pa.Array]:
+    table, names = _tables(path)
+    counts, ids_hex, bytes_hex = [], [], []
+    for raw in encoded:
+        own = np.frombuffer(raw or b"", dtype="<u4").tolist()
+        counts.append(len(own))
+        ids_hex.append(hashlib.sha256(b" ".join([names[i] for i in own])).hexdigest())
+        bytes_hex.append(hashlib.sha256(b"".join([table[i] for i in own])).hexdigest())
+    return [pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(bytes_hex, pa.string())]
+
+
 def digests(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with the count and digests of its ids and of the bytes they decode to."""
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-
-    def compute(part):
-        table, names = _tables(path)
-        counts, ids_hex, bytes_hex = [], [], []
-        for raw in as_bytes(part.column(ids)):
-            own = np.frombuffer(raw or b"", dtype="<u4").tolist()
-            counts.append(len(own))
-            ids_hex.append(hashlib.sha256(b" ".join([names[i] for i in own])).hexdigest())
-            bytes_hex.append(hashlib.sha256(b"".join([table[i] for i in own])).hexdigest())
-        return [pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(bytes_hex, pa.string())]
-
-    return add_columns(encoded, ids, fields, compute)
+    return add_columns(encoded, ids, DIGESTS, lambda part: _digests(path, as_bytes(part.column(ids))))
 
 
 def _tables(path: str) -> tuple[list[bytes], list[bytes]]:

@@ -239,8 +239,8 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     """Digests of the ids of every document and of the bytes they decode to."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(encoded, ranks).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN, digested=True)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 @query("op10_chat_prefixes")

@@ -58,3 +58,12 @@ def test_table_with_long_texts_and_odd_rows(docs, prose):
 
 def test_empty_table(docs):
     assert b.digests(b.encode(docs([]), RANKS, P.PATTERN), RANKS).count() == 0
+
+
+def test_digests_are_taken_by_the_worker_that_encodes(docs, prose):
+    table = docs([(1, None), (2, prose(1, 30)), (3, prose(2, 900)), (3, prose(2, 900))])
+    once = b.encode(table, RANKS, P.PATTERN, chunk_chars=500, overlap_chars=40, digested=True)
+    twice = b.digests(b.encode(table, RANKS, P.PATTERN, chunk_chars=500, overlap_chars=40), RANKS)
+    python = [line for line in once._jdf.queryExecution().executedPlan().toString().split("\n") if "InArrow" in line]
+    assert len(python) == 4  # short texts, cuts, chunks, stitches: none on top of another
+    assert sorted(map(str, once.select(*twice.columns).collect())) == sorted(map(str, twice.collect()))
