@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from sproutscope.llm.batches import add_columns, bounded_batches, once, pieces
+from sproutscope.llm.batches import BATCH_BYTES, add_columns, bounded_batches, once, pieces
 from sproutscope.llm.byte_bpe import Pieces
 from sproutscope.session import new_path
 
@@ -115,17 +115,39 @@ class Words:
                 lengths.append(np.array([len(r) // 4 for r in raw], dtype=np.int64))
         return np.concatenate([np.empty(0, dtype=np.int32), *values]), np.concatenate([np.empty(0, dtype=np.int64), *lengths])
 
-    def _learn(self, new: pa.Array) -> None:
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """The numbers that the words ``new`` get."""
         second = pc.utf8_slice_codeunits(new, 1, 2)
         spaced = pc.and_(pc.starts_with(new, " "), pc.invert(pc.or_(pc.utf8_is_space(second), pc.equal(second, ""))))
         letters = pc.match_substring_regex(new, rf"\A{_LETTERS}\z")
         other = new.filter(pc.invert(pc.or_(spaced, letters)))
         raw = self._encoded(other.to_pylist())
+        kinds = np.where(spaced.to_numpy(zero_copy_only=False), 0, np.where(letters.to_numpy(zero_copy_only=False), 1, 2))
+        numbers = np.empty(len(new), dtype=np.int64)
+        numbers[np.argsort(kinds, kind="stable")] = len(self.known) + np.arange(len(new))
         spaced, letters = new.filter(spaced), new.filter(letters)
         found = [self._together(spaced, ""), self._together(letters, "\n")]
         self.known = pa.concat_arrays([self.known, spaced, letters, other])
         self.values = np.concatenate([self.values, *(v for v, _ in found), np.frombuffer(b"".join(raw), dtype="<i4")])
         self.lengths = np.concatenate([self.lengths, *(n for _, n in found), np.array([len(r) // 4 for r in raw], dtype=np.int64)])
+        return numbers
+
+    def _numbers(self, parts: pa.Array) -> np.ndarray:
+        """The numbers of distinct parts among the known ones; new ones are learnt.
+
+        The known parts are looked up among the few at hand, as Arrow hashes all it looks up in at each call.
+        """
+        at = np.full(len(parts), -1, dtype=np.int64)
+        hits = pc.index_in(self.known, value_set=parts)
+        has = np.flatnonzero(hits.is_valid().to_numpy(zero_copy_only=False))
+        at[hits.fill_null(0).to_numpy()[has]] = has
+        new = np.flatnonzero(at < 0)
+        if len(self.known) and len(self.known) + len(new) > REMEMBERED:
+            self.forget()
+            new = np.arange(len(parts))
+        if len(new):
+            at[new] = self._learn(parts.take(pa.array(new)))
+        return at
 
     def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many each) of words, by way of their parts."""
@@ -136,15 +158,7 @@ class Words:
         matched = pc.extract_regex(words.filter(lines), _PARTS)
         columns = [pc.replace_with_mask(c, lines, pc.struct_field(matched, name)) for c, name in zip(columns, "abcde", strict=True)]
         coded = pa.concat_arrays(columns).dictionary_encode()
-        parts = coded.dictionary
-        at = pc.index_in(parts, value_set=self.known)
-        if at.null_count:
-            if len(self.known) and len(self.known) + at.null_count > REMEMBERED:
-                self.forget()
-                at = pc.index_in(parts, value_set=self.known)
-            self._learn(parts.filter(pc.is_null(at)))
-            at = pc.index_in(parts, value_set=self.known)
-        places = at.to_numpy()[coded.indices.to_numpy()].reshape(len(columns), len(words)).T
+        places = self._numbers(coded.dictionary)[coded.indices.to_numpy()].reshape(len(columns), len(words)).T
         values, lengths = _runs(self.values, self.lengths, places.ravel())
         return values, lengths.reshape(places.shape).sum(axis=1)
 
@@ -208,7 +222,7 @@ def write(docs: DataFrame, tokenizer_path: str, to: str, end_id: int = END_ID) -
     def run(batches):
         own, part, start = loaded(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in pieces(batch, "text"):
+            for rows in pieces(batch, "text", BATCH_BYTES):
                 values, ends = own.column(rows.column("text"), [end_id])
                 offsets = np.concatenate([[0], ends])
                 counts = np.diff(offsets)

@@ -91,5 +91,20 @@ def test_ids_are_the_same_whatever_the_pieces_of_work(prose):
     assert fresh.encode(texts) == together
 
 
+def test_parts_are_looked_up_among_the_few_at_hand(prose, monkeypatch):
+    """Known parts are the values looked up, never the set that Arrow hashes at each call; forgetting changes no id."""
+    sets, find = [], o.pc.index_in
+    monkeypatch.setattr(o.pc, "index_in", lambda values, value_set: (sets.append(len(value_set)), find(values, value_set=value_set))[1])
+    texts = [prose(k, 60) + " a\tb 1." for k in range(30)]
+    want = [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+    for remembered in (o.REMEMBERED, 200):
+        monkeypatch.setattr(o, "REMEMBERED", remembered)
+        own = o.Words(PATH)
+        got = [np.frombuffer(own.encode([t])[0], "<u4").tolist() for t in texts + texts]
+        assert got == want + want
+        assert len(own.known) > 1000 if remembered > 200 else len(own.known) <= 200
+    assert max(sets) < 100
+
+
 def test_empty_table(docs):
     assert o.round_trip(docs([]), PATH).count() == 0
