@@ -35,6 +35,8 @@ LOW, HIGH = 50, 95
 BLOCK_ROWS, ANCHOR_ROWS = 8192, 4096
 #: Scores that are held at once.
 SCORES = 1 << 20
+#: Blocks of rows that share a copy of the anchors, about.
+SHARED_BLOCKS = 16
 
 _BLOCK = "block long, dims int, ids binary, no_id binary, labels binary, vectors binary"
 
@@ -130,18 +132,19 @@ def _anchor_rows(packed: DataFrame, every: int) -> DataFrame:
 def _meetings(packed: DataFrame, anchors: DataFrame, n_anchors: int, anchor_rows: int) -> DataFrame:
     """Every block of rows with every group of anchors.
 
-    Anchors are dealt into groups of about ``anchor_rows``; a group is repeated over so many salts that
-    all tasks have work, and a block of rows goes to one salt of each group.
+    Anchors are dealt into groups of about ``anchor_rows``. Blocks are dealt over so many salts that all
+    tasks have work and none has more than a few blocks; each salt gets a copy of the groups. Copies of
+    blocks and anchors are far larger than their files, so the join is never left to those sizes:
+    nothing of it is broadcast.
     """
-    groups = max(1, -(-n_anchors // anchor_rows))
-    salts = max(1, min(packed.count(), -(-2 * slices_of(packed) // groups)))
+    groups, n_blocks = max(1, -(-n_anchors // anchor_rows)), packed.count()
+    salts = max(1, min(n_blocks, 2 * slices_of(packed)), -(-n_blocks // SHARED_BLOCKS))
     dealt = anchors.withColumn("group", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
     # bounded: a group has about ``anchor_rows`` anchors, however many there are
     grouped = dealt.groupBy("group").agg(F.collect_list(F.struct(*anchors.columns)).alias("anchors"))
-    grouped = grouped.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    copies = grouped.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     salted = packed.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)))
-    rows = salted.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    return rows.join(grouped, ["group", "salt"])
+    return copies.join(salted.hint("merge"), "salt")
 
 
 def _anchor_block(anchors: list[dict]) -> Block:
@@ -295,6 +298,6 @@ def mine(
     best = _best_positives(_meetings(packed, anchors, n_anchors, anchor_rows), n_positives)
     positives = stage(_first_positives(best, n_positives), "positives")
     scores = positives.groupBy("anchor").agg(F.collect_list("score").alias("scores"))  # n_positives at most
-    opened = anchors.join(scores, "anchor")
+    opened = anchors.join(scores.hint("merge"), "anchor")
     negatives = _in_windows(_meetings(packed, opened, n_anchors, anchor_rows), n_negatives, low, high)
     return _windows(positives.unionByName(negatives), n_negatives, low, high)

@@ -63,3 +63,15 @@ def test_empty_table_and_clashing_columns(spark):
     assert mined(spark, []) == []
     extra = spark.createDataFrame([(0, [1.0], 0, 1, "a"), (1, [1.0], 0, 2, "b"), (2, [0.7], 1, 3, "c")], SCHEMA + ", score int, anchor string")
     assert [tuple(r) for r in mining.mine(mining.valid_rows(extra), 50).collect()] == [(0, 1, 1, 2, 65536, 45824)]
+
+
+def test_no_vector_is_broadcast(spark, rows):
+    """Blocks and copies of anchors are many times their files, which the planner goes by."""
+    found = mining.mine(mining.valid_rows(spark.createDataFrame(rows, SCHEMA)), 2, block_rows=7, anchor_rows=5)
+    assert found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.startswith("AdaptiveSparkPlan isFinalPlan=true") and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    packed = mining.blocks(mining.valid_rows(spark.createDataFrame(rows, SCHEMA)), 7)
+    met = mining._meetings(packed, mining._anchor_rows(packed, 2), 70, 5).select("group", "block").collect()
+    groups = {r["group"] for r in met}
+    assert len(met) == len(set(met)) == len(groups) * packed.count() and len(groups) > 1
