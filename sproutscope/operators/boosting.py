@@ -13,6 +13,7 @@ written anew every ``REFRESH`` trees. Both ways use the same sums and give the s
 """
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sproutscope import schemas as S
-from sproutscope.session import stage
+from sproutscope.session import concurrently, stage
 
 BINS = 64
 #: Binned values of one model that a task may hold.
 LOCAL_CELLS = 64_000_000
 BLOCK_ROWS = 1 << 15
+#: Rows of a model that are worked on at once in a task.
+PIECE_ROWS = 1 << 17
 #: Trees after which the scores of spread rows are written anew.
 REFRESH = 20
 #: Less than any gain worth a split.
@@ -56,16 +59,17 @@ class Tree:
         return cls(np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n))
 
     def places(self, bins: np.ndarray, levels: int) -> np.ndarray:
-        """The node that each row comes to after so many levels; it stays at a leaf."""
-        at = np.zeros(len(bins), dtype=np.int64)
-        for _ in range(levels):
-            feature = self.feature[at]
-            right = bins[np.arange(len(bins)), np.maximum(feature, 0)] > self.bin[at]
-            at = np.where(feature >= 0, 2 * at + 1 + right, at)
+        """The node that each row comes to after so many levels; it stays at a leaf. ``bins`` has a row per feature."""
+        at = self.roots(bins.shape[1])
+        for level in range(levels):
+            at = descend(self, bins, at, level)
         return at
 
+    def roots(self, rows: int) -> np.ndarray:
+        return np.zeros(rows, dtype=np.uint8 if len(self.feature) <= 256 else np.int64)
+
     def scores(self, bins: np.ndarray) -> np.ndarray:
-        return self.value[self.places(bins, int(np.log2(len(self.feature) + 1)) - 1)]
+        return self.value.take(self.places(bins, int(np.log2(len(self.feature) + 1)) - 1), mode="clip")
 
 
 def softened(g, alpha: float):
@@ -104,13 +108,22 @@ def features_of(tree: int, n: int, p: dict) -> np.ndarray:
     return np.sort(np.random.default_rng([p.get("seed", 42), tree]).choice(n, k, replace=False)) if k < n else np.arange(n)
 
 
-def sums(bins: np.ndarray, at: np.ndarray, g: np.ndarray, h: np.ndarray, level: int, n_bins: int) -> np.ndarray:
-    """(node of the level, feature, bin, [g, h]): sums over rows; ``at`` are places in the tree."""
-    first, width = 2**level - 1, bins.shape[1]
-    own = (at >= first) & (at < 2 * first + 1)
-    cell = ((at[own] - first)[:, None] * width + np.arange(width)) * n_bins + bins[own]
-    out = [np.bincount(cell.ravel(), np.repeat(x[own], width), minlength=(first + 1) * width * n_bins) for x in (g, h)]
-    return np.stack(out, axis=-1).reshape(first + 1, width, n_bins, 2)
+def sums(bins: np.ndarray, at: np.ndarray, g: np.ndarray, h: np.ndarray, level: int, n_bins: int, wanted=None) -> np.ndarray:
+    """(node of the level, feature, bin, [g, h]): sums over rows; ``at`` are places in the tree.
+
+    ``bins`` has a row per feature. Features that aren't ``wanted`` stay 0.
+    """
+    first, width = 2**level - 1, len(bins)
+    out = np.zeros((first + 1, width, n_bins, 2))
+    # rows that stayed at a leaf above go to one more node that is left out
+    start = np.full(2 * first + 1, (first + 1) * n_bins)
+    start[first:] = np.arange(first + 1) * n_bins
+    base, cell = start.take(at, mode="clip"), np.empty(len(at), dtype=np.int64)
+    for f in range(width) if wanted is None else wanted:
+        np.add(base, bins[f], out=cell)
+        for k, x in enumerate((g, h)):
+            out[:, f, :, k] = np.bincount(cell, x, minlength=(first + 2) * n_bins)[: (first + 1) * n_bins].reshape(first + 1, n_bins)
+    return out
 
 
 def split(tree: Tree, total: np.ndarray, level: int, allowed: np.ndarray, p: dict) -> None:
@@ -142,18 +155,64 @@ def prune(tree: Tree, least: float) -> None:
             tree.feature[node], tree.gain[node] = -1, 0.0
 
 
+def descend(tree: Tree, bins: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
+    """The places of rows one level below ``level``; ``bins`` has a row per feature."""
+    last = 2 ** (level + 1) - 1
+    feature, cut = tree.feature[:last], tree.bin[:last]
+    right = np.zeros(len(at), dtype=bool)
+    for f in np.unique(feature[last // 2 :]):
+        if f >= 0:
+            # bins above that of any row where a node has another feature or none
+            right |= bins[f] > np.where(feature == f, cut, 255).astype(np.uint8).take(at, mode="clip")
+    below = np.arange(last, dtype=at.dtype)
+    split_here = feature >= 0
+    split_here[: last // 2] = False
+    below[split_here] = 2 * below[split_here] + 1
+    return below.take(at, mode="clip") + right
+
+
+def settled(tree: Tree) -> np.ndarray:
+    """The value that a row at each node of a pruned tree gets: that of the leaf on its way."""
+    value = tree.value.copy()
+    ends = tree.feature < 0
+    for node in range(1, len(value)):
+        if ends[(node - 1) // 2]:
+            value[node], ends[node] = value[(node - 1) // 2], True
+    return value
+
+
 def grow(bins, ids, label, weight, p: dict, n_bins: int, allowed=features_of) -> list[Tree]:
-    """All trees of one model whose rows are here."""
-    margin, trees = np.zeros(len(label)), []
+    """All trees of one model whose rows are here.
+
+    A level is one pass over pieces of rows that stay in the processor's cache: rows go down one level,
+    and only the features that a tree may split by are added up. The leaves need no more than their totals.
+    """
+    bins = np.ascontiguousarray(bins.T)
+    width, n = bins.shape
+    margin, trees = np.zeros(n), []
+    pieces = [slice(k, min(k + PIECE_ROWS, n)) for k in range(0, n, PIECE_ROWS)]
     for number in range(p["rounds"]):
-        chosen = drawn(ids, number, p)
-        g, h = gradients(margin, label, weight)
-        own, g, h = bins[chosen], g[chosen], h[chosen]
-        tree = Tree.of(p["depth"])
+        tree, own = Tree.of(p["depth"]), allowed(number, width, p)
+        wanted = np.union1d(own, [0])  # a node's totals are those of the first feature
+        at, rows = tree.roots(n), []
+        for piece in pieces:
+            chosen = np.flatnonzero(drawn(ids[piece], number, p))
+            g, h = gradients(margin[piece][chosen], label[piece][chosen], weight[piece][chosen])
+            found = np.zeros((width, len(chosen)), dtype=np.uint8)
+            for f in wanted:
+                np.take(bins[f, piece], chosen, out=found[f])
+            rows.append((chosen, found, g, h))
         for level in range(p["depth"] + 1):
-            split(tree, sums(own, tree.places(own, level), g, h, level, n_bins), level, allowed(number, bins.shape[1], p), p)
+            total = 0.0
+            for piece, (chosen, found, g, h) in zip(pieces, rows, strict=True):
+                if level:
+                    at[piece] = descend(tree, bins[:, piece], at[piece], level - 1)
+                total = total + sums(found, at[piece].take(chosen), g, h, level, n_bins, wanted if level < p["depth"] else [0])
+            split(tree, total, level, own, p)
         prune(tree, p["min_gain"])
-        margin += tree.scores(bins)
+        value = settled(tree)
+        for piece in pieces:
+            margin[piece] += value.take(at[piece], mode="clip")
         trees.append(tree)
     return trees
 
@@ -180,7 +239,7 @@ class Boosted:
         return dict(zip(self.features, (mean / (mean.sum() or 1)).tolist(), strict=True))
 
     def margins(self, values: np.ndarray) -> np.ndarray:
-        bins = binned(values, self.cuts)
+        bins = np.ascontiguousarray(binned(values, self.cuts).T)
         return sum((t.scores(bins) for t in self.trees), np.zeros(len(values)))
 
     def to_json(self) -> str:
@@ -236,16 +295,26 @@ def _arrays(row: dict, width: int):
     return np.frombuffer(row["bins"], dtype=np.uint8).reshape(-1, width), ids, label, weight, margin
 
 
-def _fit_in_tasks(blocks: DataFrame, width: int, n_bins: int, p: dict) -> dict[int, list[Tree]]:
+def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), dtype=kind) for x in column])
+
+
+def _fit_in_tasks(blocks: DataFrame, models: list[int], width: int, n_bins: int, p: dict) -> dict[int, list[Tree]]:
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        bins, ids, label, weight, _ = (np.concatenate(x) for x in zip(*(_arrays(r, width) for r in rows), strict=True))
+        ids = _joined(table.column("ids"), np.int64)
         order = np.argsort(ids, kind="stable")  # sums don't depend on the order of the blocks
-        found = Boosted([], [], grow(bins[order], ids[order], label[order], weight[order], p, n_bins))
-        return pa.table({"model": pa.array([rows[0]["model"]], pa.int32()), "fitted": [found.to_json()]})
+        bins = _joined(table.column("bins"), np.uint8).reshape(-1, width)[order]
+        label, weight = (_joined(table.column(c), np.float64)[order] for c in ("labels", "weights"))
+        found = Boosted([], [], grow(bins, ids[order], label, weight, p, n_bins))
+        return pa.table({"model": table.column("model")[:1], "fitted": [found.to_json()]})
+
+    def fitted(model: int) -> list[Tree]:
+        # a job per model, as models dealt by hash may share a task
+        own = blocks.where(F.col("model") == model).drop("margins")
+        (row,) = own.groupBy("model").applyInArrow(run, "model int, fitted string").collect()
+        return Boosted.from_json(row["fitted"]).trees
 
-    fitted = blocks.groupBy("model").applyInArrow(run, "model int, fitted string").collect()
-    return {r["model"]: Boosted.from_json(r["fitted"]).trees for r in fitted}
+    return dict(zip(models, concurrently(blocks.sparkSession, fitted, models), strict=True))
 
 
 def _fit_spread(blocks: DataFrame, models: list[int], width: int, n_bins: int, p: dict) -> dict[int, list[Tree]]:
@@ -256,15 +325,17 @@ def _fit_spread(blocks: DataFrame, models: list[int], width: int, n_bins: int, p
 
     def scored(row: dict, trees: dict[int, list[Tree]]):
         bins, ids, label, weight, margin = _arrays(row, width)
+        bins = np.ascontiguousarray(bins.T)
         return bins, ids, label, weight, margin + sum((t.scores(bins) for t in trees[row["model"]]), np.zeros(len(ids)))
 
     for number in range(p["rounds"]):
         growing = {m: Tree.of(p["depth"]) for m in models}
         allowed = features_of(number, width, p)
+        wanted = np.union1d(allowed, [0])  # a node's totals are those of the first feature
         for level in range(p["depth"] + 1):
             shared = spark.sparkContext.broadcast((since, growing))  # bounded: REFRESH trees a model
 
-            def level_sums(batches, shared=shared, number=number, level=level):
+            def level_sums(batches, shared=shared, number=number, level=level, wanted=wanted):
                 trees, now = shared.value
                 totals: dict[int, np.ndarray] = {}
                 for batch in batches:
@@ -272,8 +343,8 @@ def _fit_spread(blocks: DataFrame, models: list[int], width: int, n_bins: int, p
                         bins, ids, label, weight, margin = scored(row, trees)
                         chosen = drawn(ids, number, p)
                         g, h = gradients(margin, label, weight)
-                        own = bins[chosen]
-                        found = sums(own, now[row["model"]].places(own, level), g[chosen], h[chosen], level, n_bins)
+                        own = bins[:, chosen]
+                        found = sums(own, now[row["model"]].places(own, level), g[chosen], h[chosen], level, n_bins, wanted if level < p["depth"] else [0])
                         totals[row["model"]] = totals.get(row["model"], 0) + found
                 keys = [(m, k) for m, t in totals.items() for k in range(len(t))]
                 yield pa.RecordBatch.from_arrays(
@@ -324,7 +395,7 @@ def fit(rows: DataFrame, features: list[str], bins: int = BINS, local_cells: int
     sizes = {r["model"]: r["n"] for r in rows.groupBy("model").agg(F.count("*").alias("n")).collect()}  # a row per model
     blocks = stage(_blocks(rows.select("model", "id", "label", "weight", *features), features, cuts), "binned")
     if max(sizes.values(), default=0) * len(features) <= local_cells:
-        trees = _fit_in_tasks(blocks, len(features), bins, p)
+        trees = _fit_in_tasks(blocks, sorted(sizes), len(features), bins, p)
     else:
         trees = _fit_spread(blocks, sorted(sizes), len(features), bins, p)
     return {m: Boosted(features, cuts, t) for m, t in trees.items()}
@@ -336,12 +407,16 @@ def score(models: dict[int, Boosted], df: DataFrame, model: str = "model") -> Da
     shared = df.sparkSession.sparkContext.broadcast({m: b.to_json() for m, b in models.items()})  # trees alone
 
     @F.pandas_udf("double")
-    def chance(number: pd.Series, *columns: pd.Series) -> pd.Series:
-        values, out = np.stack([c.to_numpy(dtype=np.float64) for c in columns], axis=1), np.zeros(len(number))
-        for m in number.unique():
-            own = (number == m).to_numpy()
-            out[own] = 1 / (1 + np.exp(-Boosted.from_json(shared.value[int(m)]).margins(values[own])))
-        return pd.Series(out)
+    def chance(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        known: dict[int, Boosted] = {}
+        for number, *columns in batches:
+            values, out = np.stack([c.to_numpy(dtype=np.float64) for c in columns], axis=1), np.zeros(len(number))
+            for m in number.unique():
+                own = (number == m).to_numpy()
+                if int(m) not in known:
+                    known[int(m)] = Boosted.from_json(shared.value[int(m)])
+                out[own] = 1 / (1 + np.exp(-known[int(m)].margins(values[own])))
+            yield pd.Series(out)
 
     scored = df.withColumn("score", chance(F.col(model), *[F.col(f).cast("double") for f in features]))
     return scored.withColumn("prediction", (F.col("score") >= 0.5).cast("double"))

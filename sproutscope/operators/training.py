@@ -1,9 +1,7 @@
 """Splits, folds and the cross-validated boosted-tree classifier."""
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,7 +12,7 @@ from sproutscope import schemas as S
 from sproutscope.operators import boosting
 from sproutscope.operators.evaluation import auc_spread, class_report, fold_auc
 from sproutscope.operators.smote import smote
-from sproutscope.session import stage
+from sproutscope.session import concurrently, stage
 
 FOLD_BUCKETS = 1024
 
@@ -218,12 +216,6 @@ def cv_boost(
     return CrossValidation(stage(scored, "scored"), importances)
 
 
-def concurrently(spark, function, items) -> list:
-    """``function`` of each item, from threads that submit their jobs side by side."""
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(function), items))
-
-
 def mean_importance(importances: DataFrame, top: int = 15) -> DataFrame:
     """Mean importance over the folds, the largest first."""
     return (

@@ -2,8 +2,9 @@
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import cloudpickle
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 import sproutscope
@@ -58,3 +59,9 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def concurrently(spark, function, items) -> list:
+    """``function`` of each item, from threads that submit their jobs side by side."""
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(function), items))

@@ -114,3 +114,40 @@ def test_folds_at_once(spark, data):
     assert len(per_fold) == 3 and all(abs(r[1] - 1) < 1e-9 for r in per_fold)
     again = tr.cv_boost(rows, NAMES, k=3, rounds=20, depth=3)
     assert sorted(map(tuple, again.scored.collect())) == sorted(map(tuple, found.scored.collect()))
+
+
+def test_rows_in_pieces_give_the_same_trees(data, monkeypatch):
+    """A level is a pass over pieces; splits that were cut back leave their rows with the leaf above."""
+    x, y = data
+    bins, ids, weight = x.astype(np.uint8), np.arange(len(y)), np.where(y == 1, 1.5, 1.0)
+    p = bt.settings(rounds=6, depth=4, min_gain=2.0, seed=4)
+    whole = bt.grow(bins, ids, y.astype(float), weight, p, 12)
+    monkeypatch.setattr(bt, "PIECE_ROWS", 37)
+    pieces = bt.grow(bins, ids, y.astype(float), weight, p, 12)
+    margin = np.zeros(len(y))
+    for a, b in zip(whole, pieces, strict=True):
+        assert (a.feature == b.feature).all() and (a.bin == b.bin).all() and np.allclose(a.value, b.value)
+        for row in range(len(y)):
+            at = 0
+            while a.feature[at] >= 0:
+                at = 2 * at + 1 + int(bins[row, a.feature[at]] > a.bin[at])
+            margin[row] += a.value[at]
+    cuts = [np.arange(11.0)] * 3
+    assert np.allclose(bt.Boosted(NAMES, cuts, whole).margins(x), margin)
+
+
+def test_models_never_share_a_task(spark, data):
+    x, y = data
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = table(spark, x, y, models=range(4))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.sparkContext.setJobGroup("fit", "models")
+    try:
+        found = bt.fit(rows, NAMES, rounds=2, depth=2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    assert sorted(found) == [0, 1, 2, 3]
+    # quantiles, sizes and binned rows take jobs too
+    assert len(tracker.getJobIdsForGroup("fit")) >= 4 + 3
