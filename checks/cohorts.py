@@ -45,9 +45,7 @@ def _(t):
 )
 def _(t):
     """Good and malformed lines counted by the pass that lands the events."""
-    path = new_path(t.spark, "feed")
-    t.archive_lines.write.text(path)
-    good, counts = src.read_feed(t.spark, path)
+    good, counts = src.read_feed(t.spark, t.archive_files("feed"))
     landed = stage(src.flatten_events(good), "landed").count()
     return t.spark.createDataFrame([(counts.get["good"], counts.get["malformed"], landed)], "good long, malformed long, landed long")
 

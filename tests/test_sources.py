@@ -181,3 +181,25 @@ def test_a_landed_day_is_few_files(spark, tmp_path):
         folders = {f.parent for f in files}
         assert len(folders) == 6 and len(files) <= 6 * src.DAY_REPO_BUCKETS * src.DAY_EVENT_BUCKETS
         assert spark.read.parquet(str(tmp_path / "t")).count() == 3000
+
+
+def test_archive_text_is_compressed_and_not_shuffled(spark, tmp_path, monkeypatch):
+    """The files of feeds and streams: every line once, in six files or more, with keys that repeat or are null."""
+    import checks.adapters as adapters
+
+    day = "DATE '1996-01-02'"
+    make = lambda name, sql: spark.sql(sql).write.parquet(str(tmp_path / f"{name}.parquet"))
+    make("customer", "SELECT id AS c_custkey, id % 3 AS c_nationkey FROM range(4) UNION ALL SELECT NULL, 1L")
+    make("orders", f"SELECT id % 40 AS o_orderkey, id % 4 AS o_custkey, {day} AS o_orderdate, if(id % 9 = 0, 'P', 'F') AS o_orderstatus FROM range(45) UNION ALL SELECT NULL, 1L, {day}, 'F'")
+    make("lineitem", f"SELECT if(id % 50 = 0, NULL, id % 45) AS l_orderkey, id AS l_partkey, id % 5 AS l_suppkey, CAST(id % 7 + 1 AS INT) AS l_linenumber, {day} AS l_shipdate, if(id % 2 = 0, 'N', 'A') AS l_returnflag, if(id % 3 = 0, 'F', 'O') AS l_linestatus FROM range(300)")
+    tables = adapters.Tables(spark, str(tmp_path))
+    path = tables.archive_files("watched", 6)
+    names = [f.rsplit("/", 1)[1] for f in spark.read.text(path).inputFiles()]
+    assert len(names) >= 6 and all(n.endswith(".txt.gz") for n in names)
+    lines = lambda df: sorted(r[0] for r in df.collect())
+    assert lines(spark.read.text(path)) == lines(tables.archive_lines)
+    assert spark.read.text(path).where("value LIKE '%created_at%'").count() == spark.sql(
+        f"SELECT 1 FROM parquet.`{tmp_path}/lineitem.parquet` JOIN parquet.`{tmp_path}/orders.parquet` ON l_orderkey = o_orderkey JOIN parquet.`{tmp_path}/customer.parquet` ON o_custkey = c_custkey"
+    ).count() > 200
+    monkeypatch.setattr(adapters, "FILE_LINES", 20)  # long files are split, however many are asked for
+    assert len(spark.read.text(tables.archive_files("feed")).inputFiles()) >= 12
