@@ -1,26 +1,26 @@
 """Streaming runs drained over the archive text, compared with the batch SQL."""
 
-from pyspark.sql import functions as F
-
 from checks.activity import ACTIVITY_SQL
 from checks.adapters import with_archive
 from checks.registry import check
 from sproutscope.session import new_path
 from sproutscope.streaming import archive as st
 
+FILES, BATCHES = 6, 3
+
 
-def _folder(t) -> str:
-    """The archive text in several files, the watched folder of the streams."""
-    path = new_path(t.spark, "watched")
-    t.archive_lines.repartitionByRange(6, F.xxhash64("value")).write.text(path)
-    return path
+def _archive(t):
+    """The events of the archive text in several files, a third of them in each batch."""
+    path = t.archive_files("watched", FILES)
+    files = t.spark.read.format("binaryFile").load(path).select("path").count()
+    return st.stream_archive(t.spark, path, max(1, -(-files // BATCHES)))
 
 
 @check("str1_str2_stream_activity", with_archive(ACTIVITY_SQL))
 def _(t):
     cohort = t.cohort
     table, checkpoint = new_path(t.spark, "activity"), new_path(t.spark, "progress")
-    st.drain(st.stream_activity(st.stream_archive(t.spark, _folder(t), 2), cohort, table, checkpoint))
+    st.drain(st.stream_activity(_archive(t), cohort, table, checkpoint))
     return st.read_activity(t.spark.read.parquet(table), cohort)
 
 
@@ -35,7 +35,7 @@ FROM cohort c LEFT JOIN archive a ON a.repo_name = c.repo_name GROUP BY 1
 def _(t):
     cohort = t.cohort
     table, checkpoint = new_path(t.spark, "labels"), new_path(t.spark, "progress")
-    st.drain(st.stream_labels(st.stream_archive(t.spark, _folder(t), 2), cohort, table, checkpoint))
+    st.drain(st.stream_labels(_archive(t), cohort, table, checkpoint))
     return st.read_labels(t.spark.read.schema("repo_name string").parquet(table), cohort)
 
 
@@ -43,5 +43,5 @@ def _(t):
 def _(t):
     cohort = t.cohort
     table, checkpoint = new_path(t.spark, "months"), new_path(t.spark, "progress")
-    st.drain(st.stream_contributor_months(st.stream_archive(t.spark, _folder(t), 2), cohort, table, checkpoint))
+    st.drain(st.stream_contributor_months(_archive(t), cohort, table, checkpoint))
     return st.read_contributor_months(t.spark.read.parquet(table))
