@@ -62,7 +62,7 @@ class Tree:
         """The node that each row comes to after so many levels; it stays at a leaf. ``bins`` has a row per feature."""
         at = self.roots(bins.shape[1])
         for level in range(levels):
-            at = descend(self, bins, at, level)
+            at = descend(step(self, level), bins, at)
         return at
 
     def roots(self, rows: int) -> np.ndarray:
@@ -155,20 +155,26 @@ def prune(tree: Tree, least: float) -> None:
             tree.feature[node], tree.gain[node] = -1, 0.0
 
 
-def descend(tree: Tree, bins: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
-    """The places of rows one level below ``level``; ``bins`` has a row per feature."""
+def step(tree: Tree, level: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    """How rows go down from a level: (feature, cut of each node) of the features that it splits by, and the left child of each node."""
     last = 2 ** (level + 1) - 1
-    feature, cut = tree.feature[:last], tree.bin[:last]
+    feature = tree.feature[:last].copy()
+    feature[: last // 2] = -1
+    # bins above that of any row where a node has another feature or none
+    cuts = [(int(f), np.where(feature == f, tree.bin[:last], 255).astype(np.uint8)) for f in np.unique(feature) if f >= 0]
+    nodes = np.arange(last)
+    return cuts, np.where(feature >= 0, 2 * nodes + 1, nodes).astype(tree.roots(0).dtype)
+
+
+def descend(down: tuple, bins: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places of rows after a :func:`step`; ``bins`` has a row per feature."""
+    cuts, left = down
+    if not cuts:
+        return at
     right = np.zeros(len(at), dtype=bool)
-    for f in np.unique(feature[last // 2 :]):
-        if f >= 0:
-            # bins above that of any row where a node has another feature or none
-            right |= bins[f] > np.where(feature == f, cut, 255).astype(np.uint8).take(at, mode="clip")
-    below = np.arange(last, dtype=at.dtype)
-    split_here = feature >= 0
-    split_here[: last // 2] = False
-    below[split_here] = 2 * below[split_here] + 1
-    return below.take(at, mode="clip") + right
+    for f, cut in cuts:
+        right |= bins[f] > cut.take(at, mode="clip")
+    return left.take(at, mode="clip") + right
 
 
 def settled(tree: Tree) -> np.ndarray:
@@ -203,10 +209,10 @@ def grow(bins, ids, label, weight, p: dict, n_bins: int, allowed=features_of) ->
                 np.take(bins[f, piece], chosen, out=found[f])
             rows.append((chosen, found, g, h))
         for level in range(p["depth"] + 1):
-            total = 0.0
+            total, down = 0.0, step(tree, level - 1) if level else None
             for piece, (chosen, found, g, h) in zip(pieces, rows, strict=True):
                 if level:
-                    at[piece] = descend(tree, bins[:, piece], at[piece], level - 1)
+                    at[piece] = descend(down, bins[:, piece], at[piece])
                 total = total + sums(found, at[piece].take(chosen), g, h, level, n_bins, wanted if level < p["depth"] else [0])
             split(tree, total, level, own, p)
         prune(tree, p["min_gain"])
@@ -227,6 +233,8 @@ class Boosted:
     features: list[str]
     cuts: list[np.ndarray]
     trees: list[Tree] = field(default_factory=list)
+    #: The steps of the trees, made when they are first needed.
+    steps: list = field(default_factory=list, repr=False, compare=False)
 
     def importances(self) -> dict[str, float]:
         """Mean gain of a feature's splits, summing to 1."""
@@ -239,8 +247,16 @@ class Boosted:
         return dict(zip(self.features, (mean / (mean.sum() or 1)).tolist(), strict=True))
 
     def margins(self, values: np.ndarray) -> np.ndarray:
-        bins = np.ascontiguousarray(binned(values, self.cuts).T)
-        return sum((t.scores(bins) for t in self.trees), np.zeros(len(values)))
+        bins = np.ascontiguousarray(binned(values, self.cuts).T, dtype=np.uint8)
+        if len(self.steps) != len(self.trees):
+            self.steps = [[step(t, k) for k in range(int(np.log2(len(t.feature) + 1)) - 1)] for t in self.trees]
+        total = np.zeros(len(values))
+        for tree, steps in zip(self.trees, self.steps, strict=True):
+            at = tree.roots(len(values))
+            for down in steps:
+                at = descend(down, bins, at)
+            total += tree.value.take(at, mode="clip")
+        return total
 
     def to_json(self) -> str:
         trees = [{k: getattr(t, k).tolist() for k in ("feature", "bin", "gain", "value")} for t in self.trees]
